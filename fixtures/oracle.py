@@ -434,7 +434,9 @@ def advice_rows(components: str) -> str:
     values = ", ".join(f"('{name}', '{state}', '{text}')" for name, state, text in ADVICE)
     return f"""SELECT c.dataset, c.position, c.component_name, a.text AS recommendation
       FROM ({components}) AS c JOIN (VALUES {values}) AS a(name, state, text)
-      ON c.component_name = a.name AND c.status = a.state"""
+      ON c.component_name = a.name AND c.status = a.state
+      UNION ALL SELECT dataset, 0, 'all', 'nothing to do, the table looks ready' FROM ({components})
+      GROUP BY dataset HAVING bool_and(component_name = 'check_coverage' OR status NOT IN ('weak', 'skipped'))"""
 
 
 VERIFIED = "\nUNION ALL ".join(

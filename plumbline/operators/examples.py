@@ -69,4 +69,6 @@ def first_offenders(
 
 def pick(literals: Sequence[str | None]) -> Column:
     """The literal that belongs to the row's item."""
-    return F.get(F.array(*[F.lit(v).cast("string") for v in literals]), F.col("item"))
+    return F.get(
+        F.array(*[F.lit(v) for v in literals]).cast("array<string>"), F.col("item")
+    )

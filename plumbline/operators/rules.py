@@ -204,16 +204,26 @@ def rule_examples(
     check_rule_definitions(table, rules)
     if not rules or max_examples == 0:
         return df.sparkSession.createDataFrame([], RULE_EXAMPLE_ROW)
-    reference_date = reference_date or date.today()
     scan = Scan(table, dataset)
-    offences = [
+    offences = rule_offences(scan, rules, reference_date or date.today(), date_formats)
+    found = first_offenders(scan, offences, row_id, max_examples)
+    return label_rule_examples(found, rules, dataset)
+
+
+def rule_offences(
+    scan: Scan, rules: Sequence[Rule], reference_date: date, date_formats: tuple[str, ...] = ()
+) -> list[tuple[Column, Column]]:
+    return [
         (
             violates(scan, rule, reference_date, date_formats),
-            shown(table.column(rule.column_name).cast("string")),
+            shown(scan.table.column(rule.column_name).cast("string")),
         )
         for rule in rules
     ]
-    return first_offenders(scan, offences, row_id, max_examples).select(
+
+
+def label_rule_examples(found: DataFrame, rules: Sequence[Rule], dataset: str) -> DataFrame:
+    return found.select(
         F.lit(dataset).alias("dataset"),
         pick([rule.rule_name for rule in rules]).alias("rule_name"),
         pick([rule.column_name for rule in rules]).alias("column_name"),

@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 from dataclasses import dataclass, field
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from plumbline.functions.grading import check_limit
 from plumbline.functions.parsing import NESTED_TYPES
 from plumbline.plans.config import SqlQuery
+from plumbline.plans.storage import side_by_side
 from plumbline.plans.table import Scan, Table, rows_of
 
 # Words no read-only query may contain.
@@ -150,7 +152,9 @@ def run_queries(
     if not queries:
         return []
     with sql_session(df, table_name) as session:
-        return [_run(session, query, table_name, max_rows) for query in queries]
+        return side_by_side(
+            session, [partial(_run, session, query, table_name, max_rows) for query in queries]
+        )
 
 
 def batch_status(results: Sequence[SqlResult]) -> str:

@@ -153,18 +153,36 @@ def type_examples(
     check_limit("max_examples", max_examples)
     table = Table.of(df)
     check_expected_schema(table, expected_schema)
-    judged = {n: e for n, e in expected_schema.items() if e != "string"}
+    judged = judged_columns(expected_schema)
     if not judged or max_examples == 0:
         return df.sparkSession.createDataFrame([], TYPE_EXAMPLE_ROW)
     scan = Scan(table, dataset)
-    offences = [
-        (is_invalid(scan, name, expected, date_formats), table.column(name).cast("string"))
-        for name, expected in judged.items()
+    offences = type_offences(scan, judged, date_formats)
+    found = first_offenders(scan, offences, row_id, max_examples)
+    return label_type_examples(found, judged, dataset)
+
+
+def judged_columns(expected_schema: Mapping[str, str]) -> dict[str, str]:
+    """The columns that can hold an invalid value at all."""
+    return {name: expected for name, expected in expected_schema.items() if expected != "string"}
+
+
+def type_offences(
+    scan: Scan, expected_schema: Mapping[str, str], date_formats: tuple[str, ...] = ()
+) -> list[tuple[Column, Column]]:
+    return [
+        (is_invalid(scan, name, expected, date_formats), scan.table.column(name).cast("string"))
+        for name, expected in expected_schema.items()
     ]
-    return first_offenders(scan, offences, row_id, max_examples).select(
+
+
+def label_type_examples(
+    found: DataFrame, expected_schema: Mapping[str, str], dataset: str
+) -> DataFrame:
+    return found.select(
         F.lit(dataset).alias("dataset"),
-        pick(list(judged)).alias("column_name"),
-        pick(list(judged.values())).alias("expected_type"),
+        pick(list(expected_schema)).alias("column_name"),
+        pick(list(expected_schema.values())).alias("expected_type"),
         "example_rank",
         "row_label",
         "value",

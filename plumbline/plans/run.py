@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
 from datetime import date
+from functools import partial
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,7 +17,14 @@ from plumbline.operators import findings
 from plumbline.operators.duplicates import DuplicateGroups
 from plumbline.operators.missing import plan_missing, summarize_missing
 from plumbline.operators.profile import plan_profile
-from plumbline.operators.rules import plan_rules, rule_examples, summarize_rules
+from plumbline.operators.examples import first_offenders
+from plumbline.operators.rules import (
+    RULE_EXAMPLE_ROW,
+    label_rule_examples,
+    plan_rules,
+    rule_offences,
+    summarize_rules,
+)
 from plumbline.operators.scoring import score_components, score_recommendations, score_totals
 from plumbline.operators.sqlcheck import (
     SqlResult,
@@ -29,11 +37,18 @@ from plumbline.operators.sqlcheck import (
     summarize_sql,
 )
 from plumbline.operators.suggest import describe_table, suggest_config, suggestion_notes
-from plumbline.operators.types import plan_types, summarize_types, type_examples
+from plumbline.operators.types import (
+    TYPE_EXAMPLE_ROW,
+    judged_columns,
+    label_type_examples,
+    plan_types,
+    summarize_types,
+    type_offences,
+)
 from plumbline.operators.verification import summarize_verification, verify
 from plumbline.plans.config import RunConfig, SqlQuery
 from plumbline.plans.facts import collect_facts, merge
-from plumbline.plans.storage import settle
+from plumbline.plans.storage import settle, side_by_side
 from plumbline.plans.table import Scan, Table
 
 
@@ -139,17 +154,28 @@ def run_checks(
     numbers, days = _ranges_in_scan(table, config.sql_queries)
     parts["numbers"] = plan_numeric_summary(scan, numbers)
     parts["days"] = plan_date_range(scan, days)
-    # Built before any job runs, so that a wrong configuration is noticed first.
-    found = DuplicateGroups(df, config.duplicate_key_columns, dataset)
-    examples = _examples(df, config, row_id, reference_date, max_examples)
-
-    one_row = settle(scan.row(**parts))
-    # Both read the same groups, so in one job these are computed once.
-    duplicates = settle(
-        found.summary(1.0, 5.0).unionByName(found.largest(max_groups), allowMissingColumns=True)
+    # A wrong configuration is noticed before any job runs.
+    table.require(config.duplicate_key_columns or (), "duplicate key")
+    table.require(row_id, "row id")
+
+    def count_duplicates() -> DataFrame:
+        groups = DuplicateGroups(df, config.duplicate_key_columns, dataset)
+        # Both read the same groups, so in one job these are computed once.
+        return settle(
+            groups.summary(1.0, 5.0).unionByName(
+                groups.largest(max_groups), allowMissingColumns=True
+            )
+        )
+
+    one_row, duplicates = side_by_side(
+        df.sparkSession, [lambda: settle(scan.row(**parts)), count_duplicates]
+    )
+    counted = one_row.first()
+    found = partial(
+        _find_examples, table, config, counted, row_id, reference_date, max_examples
     )
-    if examples is not None:
-        examples = settle(examples)
+    answers = partial(_answer_queries, df, config.sql_queries, counted)
+    (type_samples, rule_samples), results = side_by_side(df.sparkSession, [found, answers])
 
     counts = one_row.select("dataset", "row_count", "column_count")
     tables = {
@@ -167,15 +193,12 @@ def run_checks(
     if config.expected_schema:
         tables["types"] = one_row.select("dataset", F.inline("types"))
         tables["type_summary"] = summarize_types(one_row)
-        tables["type_examples"] = examples.filter("expected_type IS NOT NULL").drop(
-            "rule_name", "message"
-        )
+        tables["type_examples"] = type_samples
     if config.business_rules:
         tables["rules"] = one_row.select("dataset", F.inline("rules"))
         tables["rule_summary"] = summarize_rules(one_row)
-        tables["rule_examples"] = examples.filter("rule_name IS NOT NULL").drop("expected_type")
+        tables["rule_examples"] = rule_samples
     if config.sql_queries:
-        results = _answer_queries(df, config.sql_queries, one_row, numbers, days)
         tables["sql_results"] = sql_results(df.sparkSession, results, dataset)
         tables["sql_rows"] = sql_result_rows(df.sparkSession, results, dataset)
         tables["sql_summary"] = summarize_sql(tables["sql_results"])
@@ -269,43 +292,47 @@ def _ranges_in_scan(table: Table, queries: Sequence[SqlQuery]) -> tuple[list[str
     return numbers, days
 
 
-def _examples(
-    df: DataFrame,
+def _find_examples(
+    table: Table,
     config: RunConfig,
+    counted: Row,
     row_id: Sequence[str],
     reference_date: date,
     max_examples: int,
-) -> DataFrame | None:
-    parts = []
-    if config.expected_schema:
-        parts.append(
-            type_examples(df, config.expected_schema, row_id, config.dataset_name, max_examples)
-        )
-    if config.business_rules:
-        parts.append(
-            rule_examples(
-                df, config.business_rules, row_id, config.dataset_name, max_examples, reference_date
-            )
+) -> tuple[DataFrame, DataFrame]:
+    """Examples of invalid values and of rule violations, in one pass over the table.
+
+    The counts are known by now, so items without any offence are left out, and nothing is read
+    where there is none at all.
+    """
+    spark, dataset = table.frame.sparkSession, config.dataset_name
+    offending = {r.column_name for r in counted["types"] if r.invalid_count} if config.expected_schema else ()
+    broken = {r.position for r in counted["rules"] if r.violation_count} if config.business_rules else ()
+    schema = {n: e for n, e in judged_columns(config.expected_schema or {}).items() if n in offending}
+    rules = [rule for i, rule in enumerate(config.business_rules) if i in broken]
+    scan = Scan(table, dataset)
+    offences = type_offences(scan, schema) + rule_offences(scan, rules, reference_date)
+    if not offences or max_examples == 0:
+        return (
+            spark.createDataFrame([], TYPE_EXAMPLE_ROW),
+            spark.createDataFrame([], RULE_EXAMPLE_ROW),
         )
-    if not parts:
-        return None
-    if len(parts) == 1:
-        missing = {"expected_type", "rule_name", "message"} - set(parts[0].columns)
-        return parts[0].withColumns({n: F.lit(None).cast("string") for n in missing})
-    return parts[0].unionByName(parts[1], allowMissingColumns=True)
+    found = settle(first_offenders(scan, offences, row_id, max_examples))
+    of_types = found.filter(F.col("item") < len(schema))
+    of_rules = found.filter(F.col("item") >= len(schema))
+    of_rules = of_rules.withColumn("item", F.col("item") - len(schema))
+    return (
+        label_type_examples(of_types, schema, dataset),
+        label_rule_examples(of_rules, rules, dataset),
+    )
 
 
 def _answer_queries(
-    df: DataFrame,
-    queries: Sequence[SqlQuery],
-    one_row: DataFrame,
-    numbers: list[str],
-    days: list[str],
+    df: DataFrame, queries: Sequence[SqlQuery], counted: Row
 ) -> list[SqlResult]:
     """Results in the order of the queries; suggested summaries come from the shared pass."""
-    summary = one_row.select("row_count", "numbers", "days").first()
-    answers = {("total_rows", None): {"row_count": summary.row_count}}
-    for kind, rows in (("numeric_summary", summary.numbers), ("date_range", summary.days)):
+    answers = {("total_rows", None): {"row_count": counted["row_count"]}}
+    for kind, rows in (("numeric_summary", counted["numbers"]), ("date_range", counted["days"])):
         for row in rows:
             values = row.asDict()
             answers[kind, values.pop("column_name")] = values

@@ -1,10 +1,22 @@
-"""Where intermediate results are kept."""
+"""Where intermediate results are kept, and jobs that run side by side."""
+
+from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from typing import TypeVar
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
+Result = TypeVar("Result")
+
+# How many jobs of one run are submitted at a time. Independent jobs fill the slots that the last
+# tasks of another leave idle.
+JOBS_AT_A_TIME = 4
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The checkpoint folder all executors can reach; on a single machine one is made if needed."""
@@ -31,3 +43,12 @@ def settle(df: DataFrame) -> DataFrame:
     """
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def side_by_side(spark: SparkSession, jobs: Sequence[Callable[[], Result]]) -> list[Result]:
+    """The results of independent jobs, in order."""
+    if len(jobs) < 2:
+        return [job() for job in jobs]
+    with ThreadPoolExecutor(JOBS_AT_A_TIME) as pool:
+        started = [pool.submit(inheritable_thread_target(spark)(job)) for job in jobs]
+        return [job.result() for job in started]

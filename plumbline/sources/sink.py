@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from datetime import date
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.plans.run import RunResult
+from plumbline.plans.storage import side_by_side
 
 
 def write_result(result: RunResult, path: str, run_id: str, run_date: date | None = None) -> None:
@@ -17,7 +19,8 @@ def write_result(result: RunResult, path: str, run_id: str, run_date: date | Non
     repeated attempt does not double its rows.
     """
     day = (run_date or date.today()).isoformat()
-    for name, table in {**result.tables(), "report": result.report()}.items():
+
+    def write(name: str, table: DataFrame) -> None:
         (
             table.withColumns({"run_date": F.lit(day), "run_id": F.lit(run_id)})
             .write.mode("overwrite")
@@ -26,6 +29,12 @@ def write_result(result: RunResult, path: str, run_id: str, run_date: date | Non
             .parquet(f"{path}/{name}")
         )
 
+    tables = {**result.tables(), "report": result.report()}
+    side_by_side(
+        result.facts.sparkSession,
+        [partial(write, name, table) for name, table in tables.items()],
+    )
+
 
 def read_result(
     spark: SparkSession, path: str, name: str, run_id: str | None = None
