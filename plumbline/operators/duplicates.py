@@ -15,7 +15,8 @@ from plumbline.functions.grading import (
     percent,
     severity,
 )
-from plumbline.functions.parsing import NESTED_TYPES, is_fractional
+from plumbline.functions.hashing import holds_map, key_hashes, key_value
+from plumbline.functions.parsing import NESTED_TYPES
 from plumbline.functions.text import shown
 from plumbline.plans.storage import settle
 from plumbline.plans.table import Table
@@ -34,15 +35,13 @@ def _keys(table: Table, key_columns: Sequence[str] | None) -> tuple[str, list[st
 def _key_frame(table: Table, keys: list[str]) -> DataFrame:
     """Only the key columns, as k0, k1, ...; -0.0 becomes 0.0 so that both are one key."""
     return table.frame.select(
-        *[_key_value(table, name).alias(f"k{i}") for i, name in enumerate(keys)]
+        *[
+            key_value(table.column(name), table.kind(name)).alias(f"k{i}")
+            for i, name in enumerate(keys)
+        ]
     )
 
 
-def _key_value(table: Table, name: str) -> Column:
-    kind, value = table.kind(name), table.column(name)
-    return value + F.lit(0.0).cast(kind) if is_fractional(kind) else value
-
-
 def _count_copies(rows: DataFrame) -> DataFrame:
     return rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("copies"))
 
@@ -51,13 +50,12 @@ def _suspect_rows(rows: DataFrame) -> DataFrame:
     """The rows that can have a copy, found through row hashes.
 
     Grouping whole rows would send the whole table through a shuffle. Grouping their hashes sends
-    a few bytes per row; then only rows whose hash repeats need the exact comparison. The hash
-    covers which columns are null, since null itself leaves a hash unchanged. Should too many
-    hashes repeat to broadcast them, all rows are returned and compared.
+    a few bytes per row; then only rows whose hash repeats need the exact comparison. Should too
+    many hashes repeat to broadcast them, all rows are returned and compared.
     """
-    hashable = [f.name for f in rows.schema.fields if not _holds_map(f.dataType)]
-    nulls = F.concat(*[F.when(F.col(c).isNull(), "1").otherwise("0") for c in rows.columns])
-    row_hash = F.xxhash64(*hashable, nulls)
+    row_hash, _ = key_hashes(
+        [F.col(name) for name in rows.columns], [f.dataType for f in rows.schema.fields]
+    )
     repeated = settle(
         rows.groupBy(row_hash.alias("row_hash"))
         .agg(F.count(F.lit(1)).alias("copies"))
@@ -73,16 +71,6 @@ def _suspect_rows(rows: DataFrame) -> DataFrame:
     )
 
 
-def _holds_map(kind: T.DataType) -> bool:
-    if isinstance(kind, T.MapType):
-        return True
-    if isinstance(kind, T.ArrayType):
-        return _holds_map(kind.elementType)
-    if isinstance(kind, T.StructType):
-        return any(_holds_map(f.dataType) for f in kind.fields)
-    return False
-
-
 class DuplicateGroups:
     """The repeated keys of a table, from which summary and examples are derived."""
 
@@ -213,12 +201,16 @@ def duplicate_rows(df: DataFrame, key_columns: Sequence[str] | None = None) -> D
     rows = _key_frame(table, keys)
     repeated = _count_copies(rows).filter("copies > 1")
     keyed = table.frame.select(
-        "*", *[_key_value(table, name).alias(f"r{i}") for i, name in enumerate(keys)]
+        "*",
+        *[
+            key_value(table.column(name), table.kind(name)).alias(f"r{i}")
+            for i, name in enumerate(keys)
+        ],
     )
     match = None
     for i, kind in enumerate(table.kind(n) for n in keys):
         left, right = F.col(f"r{i}"), F.col(f"k{i}")
-        if _holds_map(kind):
+        if holds_map(kind):
             left, right = F.to_json(left), F.to_json(right)
         same = left.eqNullSafe(right)
         match = same if match is None else match & same

@@ -7,44 +7,43 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.functions.parsing import is_fractional
+from plumbline.functions.hashing import key_hashes, key_value
 from plumbline.operators.sqlcheck import is_read_only
 from plumbline.plans.facts import merge
 from plumbline.plans.table import Table
 
 
+# Added up over the rows of a result table, to be compared with what its summary reports.
+SUMS = (
+    "missing_sum", "missing_columns", "invalid_sum", "invalid_columns", "violation_sum",
+    "violated_rules", "unsafe_queries", "failed_queries", "component_sum", "bad_components",
+)
+REPORTED = (
+    "total_invalid_values", "columns_with_invalid_values", "total_violations",
+    "rules_with_violations", "overall_score",
+)
+
+
 def recount(df: DataFrame, key_columns: Sequence[str], dataset: str = "dataset") -> DataFrame:
     """Rows, missing cells and duplicate rows, counted another way than the checks count them.
 
-    Missing cells are counted along rows instead of columns, and duplicates by a digest of the
-    key's text instead of the key. One scan and one shuffle of digests give all three.
+    Missing cells are counted along rows instead of columns, and duplicates by two hashes of the
+    key instead of the key. One scan and one shuffle of hashes give all three.
     """
     table = Table.of(df)
     known = [name for name in key_columns if name in table.names]
     missing_in_row = F.lit(0)
     for name in table.names:
         missing_in_row = missing_in_row + table.column(name).isNull().cast("int")
-    digest = F.md5(
-        F.to_json(
-            F.struct(
-                *[
-                    (
-                        table.column(name) + F.lit(0.0).cast(table.kind(name))
-                        if is_fractional(table.kind(name))
-                        else table.column(name)
-                    ).alias(f"k{i}")
-                    for i, name in enumerate(known)
-                ]
-            ),
-            {"ignoreNullFields": "false"},
-        )
-        if known
-        else F.lit("")
-    )
+    kinds = [table.kind(name) for name in known]
+    values = [key_value(table.column(name), kind) for name, kind in zip(known, kinds, strict=True)]
+    first, second = key_hashes(values, kinds) if known else (F.lit(0), F.lit(0))
     copies = F.col("copies")
     return (
-        table.frame.select(digest.alias("digest"), missing_in_row.alias("missing"))
-        .groupBy("digest")
+        table.frame.select(
+            first.alias("first"), second.alias("second"), missing_in_row.alias("missing")
+        )
+        .groupBy("first", "second")
         .agg(F.count(F.lit(1)).alias("copies"), F.sum("missing").alias("missing"))
         .agg(
             F.coalesce(F.sum("copies"), F.lit(0)).cast("long").alias("actual_rows"),
@@ -100,67 +99,60 @@ def verify(df: DataFrame, result, recounted: DataFrame | None = None) -> DataFra
     dataset = result.config.dataset_name
     if recounted is None:
         recounted = recount(df, key_columns, dataset)
-    zero = F.lit(0).cast("long")
 
-    def total(rows: DataFrame, count: str, sum_name: str, affected_name: str) -> DataFrame:
-        return rows.groupBy("dataset").agg(
-            F.coalesce(F.sum(count), zero).alias(sum_name),
-            F.count_if(F.col(count) > 0).alias(affected_name),
+    def counted(rows: DataFrame, count: str, sum_name: str, affected_name: str) -> DataFrame:
+        return rows.select(
+            "dataset", F.col(count).alias(sum_name), (F.col(count) > 0).cast("long").alias(affected_name)
         )
 
     parts = [
         recounted,
         result.counts.select("dataset", "row_count", "column_count"),
         result.missing_summary.select("dataset", "total_missing_values"),
-        total(result.missing, "null_count", "missing_sum", "missing_columns"),
+        counted(result.missing, "null_count", "missing_sum", "missing_columns"),
         result.duplicates.select(
             "dataset", F.col("row_count").alias("duplicate_base"), "duplicate_row_count"
         ),
     ]
-    never = F.lit(False)
-    types, rules, queries, score = never, never, never, never
+    types, rules, queries, score = (
+        F.lit(table is not None)
+        for table in (result.types, result.rules, result.sql_results, result.score)
+    )
     if result.types is not None:
-        types = F.lit(True)
         parts += [
             result.type_summary.select(
                 "dataset", "total_invalid_values", "columns_with_invalid_values"
             ),
-            total(result.types, "invalid_count", "invalid_sum", "invalid_columns"),
+            counted(result.types, "invalid_count", "invalid_sum", "invalid_columns"),
         ]
     if result.rules is not None:
-        rules = F.lit(True)
         parts += [
             result.rule_summary.select("dataset", "total_violations", "rules_with_violations"),
-            total(result.rules, "violation_count", "violation_sum", "violated_rules"),
+            counted(result.rules, "violation_count", "violation_sum", "violated_rules"),
         ]
     if result.sql_results is not None:
-        queries = F.lit(True)
         parts.append(
-            result.sql_results.groupBy("dataset").agg(
-                F.count_if(~is_read_only(F.col("sql"))).alias("unsafe_queries"),
-                F.count_if(F.col("status") == "failed").alias("failed_queries"),
+            result.sql_results.select(
+                "dataset",
+                (~is_read_only(F.col("sql"))).cast("long").alias("unsafe_queries"),
+                (F.col("status") == "failed").cast("long").alias("failed_queries"),
             )
         )
     if result.score is not None:
-        score = F.lit(True)
         parts += [
             result.score.select("dataset", "overall_score"),
-            result.score_components.groupBy("dataset").agg(
-                F.sum("score").alias("component_sum"),
-                F.count_if(
-                    (F.col("score") < 0) | (F.col("score") > F.col("max_score"))
-                ).alias("bad_components"),
+            result.score_components.select(
+                "dataset",
+                F.col("score").cast("long").alias("component_sum"),
+                (~F.col("score").between(F.lit(0), F.col("max_score")))
+                .cast("long")
+                .alias("bad_components"),
             ),
         ]
-    merged = merge(parts)
-    for name in (
-        "total_invalid_values", "columns_with_invalid_values", "invalid_sum", "invalid_columns",
-        "total_violations", "rules_with_violations", "violation_sum", "violated_rules",
-        "unsafe_queries", "failed_queries", "overall_score", "component_sum", "bad_components",
-    ):
+    merged = merge(parts, SUMS)
+    for name in (*SUMS, *REPORTED):
         if name not in merged.columns:
-            merged = merged.withColumn(name, zero)
-    merged = merged.withColumn("missing_sum", F.coalesce("missing_sum", zero))
+            merged = merged.withColumn(name, F.lit(0).cast("long"))
 
     checks = [
         _check(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Collection
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -33,14 +34,20 @@ FACTS = {
 }
 
 
-def merge(parts: list[DataFrame]) -> DataFrame:
-    """One row per dataset out of several partial ones; each column is known to one part only.
+def merge(parts: list[DataFrame], sums: Collection[str] = ()) -> DataFrame:
+    """One row per dataset out of several small tables; each column is known to one of them.
 
-    The parts are a few rows each, so this is a union and a small aggregation, not a join.
+    Columns named in ``sums`` are added up over the rows of their table, all others have one value
+    per dataset. This is a union and one small aggregation, not a join.
     """
     united = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     columns = [c for c in united.columns if c != "dataset"]
-    return united.groupBy("dataset").agg(*[F.max(c).alias(c) for c in columns])
+    return united.groupBy("dataset").agg(
+        *[
+            (F.coalesce(F.sum(c), F.lit(0).cast("long")) if c in sums else F.max(c)).alias(c)
+            for c in columns
+        ]
+    )
 
 
 def collect_facts(
