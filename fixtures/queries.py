@@ -43,7 +43,7 @@ RUN_DAY = date(2026, 1, 2)
 SQL = {
     "sql_grouped_sum": (
         "orders",
-        "SELECT o_orderstatus, COUNT(*) AS n, SUM(CAST(o_totalprice AS DECIMAL(18,2))) AS total "
+        "SELECT o_orderstatus, COUNT(*) AS n, CAST(SUM(CAST(o_totalprice AS DECIMAL(18,2))) AS DECIMAL(38,2)) AS total "
         "FROM dataset GROUP BY o_orderstatus ORDER BY total DESC",
     ),
     "sql_count_distinct": (
@@ -63,14 +63,14 @@ SQL = {
     ),
     "sql_window_rank": (
         "events",
-        "SELECT event_type, n, RANK() OVER (ORDER BY n DESC) AS place FROM "
+        "SELECT event_type, n, CAST(RANK() OVER (ORDER BY n DESC) AS BIGINT) AS place FROM "
         "(SELECT event_type, COUNT(*) AS n FROM dataset GROUP BY event_type) AS t",
     ),
     "sql_set_ops": (
         "events",
-        "(SELECT user_id FROM dataset WHERE event_type = 'purchase' "
+        "SELECT user_id FROM ((SELECT user_id FROM dataset WHERE event_type = 'purchase' "
         "EXCEPT SELECT user_id FROM dataset WHERE event_type = 'error') "
-        "UNION SELECT user_id FROM dataset WHERE value > 400",
+        "UNION SELECT user_id FROM dataset WHERE value > 400) AS t",
     ),
     "sql_cube": (
         "orders",
@@ -96,7 +96,6 @@ SQL = {
         "COUNT(*) FILTER (WHERE value > 100) AS large FROM dataset GROUP BY event_type",
     ),
 }
-SQL["sql_set_ops"] = (SQL["sql_set_ops"][0], "SELECT user_id FROM (" + SQL["sql_set_ops"][1] + ") AS t")
 
 BATCH = (
     pl.SqlQuery("statuses", "SELECT status, COUNT(*) AS n FROM dataset GROUP BY status ORDER BY n DESC, status"),

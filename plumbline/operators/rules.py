@@ -16,7 +16,7 @@ from plumbline.functions.grading import (
     graded,
 )
 from plumbline.functions.parsing import is_checkable
-from plumbline.functions.text import shown, strip
+from plumbline.functions.text import is_one_of, shown
 from plumbline.operators.examples import first_offenders, pick
 from plumbline.plans.config import RULE_TYPES, Rule
 from plumbline.plans.table import Scan, Table, rows_of
@@ -63,8 +63,8 @@ def _violates_present(
     scan: Scan, rule: Rule, reference_date: date, date_formats: tuple[str, ...]
 ) -> Column:
     if rule.rule_type == "allowed_values":
-        text = strip(scan.table.column(rule.column_name).cast("string"))
-        return ~text.isin([str(allowed).strip() for allowed in rule.allowed_values])
+        text = scan.table.column(rule.column_name).cast("string")
+        return ~is_one_of(text, [str(allowed).strip() for allowed in rule.allowed_values])
     if rule.rule_type == "not_future_date":
         day = F.to_date(scan.timestamp(rule.column_name, date_formats))
         return _fails(day > F.lit(reference_date))

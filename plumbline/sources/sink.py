@@ -21,8 +21,10 @@ def write_result(result: RunResult, path: str, run_id: str, run_date: date | Non
     day = (run_date or date.today()).isoformat()
 
     def write(name: str, table: DataFrame) -> None:
+        # A table has a few rows per column, rule or query, so one file each is enough.
         (
-            table.withColumns({"run_date": F.lit(day), "run_id": F.lit(run_id)})
+            table.coalesce(1)
+            .withColumns({"run_date": F.lit(day), "run_id": F.lit(run_id)})
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
             .partitionBy("run_date", "run_id")
