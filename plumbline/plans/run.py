@@ -306,10 +306,16 @@ def _find_examples(
     where there is none at all.
     """
     spark, dataset = table.frame.sparkSession, config.dataset_name
-    offending = {r.column_name for r in counted["types"] if r.invalid_count} if config.expected_schema else ()
-    broken = {r.position for r in counted["rules"] if r.violation_count} if config.business_rules else ()
-    schema = {n: e for n, e in judged_columns(config.expected_schema or {}).items() if n in offending}
-    rules = [rule for i, rule in enumerate(config.business_rules) if i in broken]
+    invalid = {r.column_name: r.invalid_count for r in counted["types"]} if config.expected_schema else {}
+    violations = [r.violation_count for r in counted["rules"]] if config.business_rules else []
+    schema = {
+        name: expected
+        for name, expected in judged_columns(config.expected_schema or {}).items()
+        if invalid[name]
+    }
+    rules = [
+        rule for rule, count in zip(config.business_rules, violations, strict=True) if count
+    ]
     scan = Scan(table, dataset)
     offences = type_offences(scan, schema) + rule_offences(scan, rules, reference_date)
     if not offences or max_examples == 0:
@@ -317,7 +323,8 @@ def _find_examples(
             spark.createDataFrame([], TYPE_EXAMPLE_ROW),
             spark.createDataFrame([], RULE_EXAMPLE_ROW),
         )
-    found = settle(first_offenders(scan, offences, row_id, max_examples))
+    offender_count = sum(invalid.values()) + sum(violations)
+    found = settle(first_offenders(scan, offences, row_id, max_examples, offender_count))
     of_types = found.filter(F.col("item") < len(schema))
     of_rules = found.filter(F.col("item") >= len(schema))
     of_rules = of_rules.withColumn("item", F.col("item") - len(schema))

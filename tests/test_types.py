@@ -4,6 +4,10 @@ import pytest
 from conftest import one, plan_of, rows
 
 from plumbline import check_types, type_examples, type_summary
+from plumbline.operators import examples
+from plumbline.operators.examples import first_offenders
+from plumbline.operators.types import type_offences
+from plumbline.plans.table import Scan, Table
 
 SHOWN = ("column_name", "non_null_count", "invalid_count", "invalid_percentage", "severity")
 
@@ -101,3 +105,34 @@ def test_examples_of_a_column_that_is_mostly_invalid(spark):
     plan = plan_of(found)
     # Only a few candidates per task, item and slice are shuffled.
     assert plan.count("WindowGroupLimit") == 4
+
+
+@pytest.mark.parametrize("many", [0, 10**9])
+def test_examples_with_and_without_a_bound_on_ids(spark, monkeypatch, many):
+    """Ids with gaps, repeats and nulls, for two columns with different offenders."""
+    monkeypatch.setattr(examples, "MANY_OFFENDERS", many)
+    df = spark.range(5_000).selectExpr(
+        "CASE WHEN id % 500 = 7 THEN null ELSE (id * 7919) % 3001 END AS row",
+        "CASE WHEN id % 3 = 0 THEN 'bad' ELSE '1' END AS a",
+        "CASE WHEN (id * 7919) % 3001 > 2990 THEN concat('x', id) ELSE '2' END AS b",
+    )
+    pdf = df.toPandas()
+    scan = Scan(Table.of(df))
+    offences = type_offences(scan, {"a": "integer", "b": "integer"})
+    found = first_offenders(scan, offences, ["row"], 12, offender_count=5_000)
+    for item, column in enumerate("ab"):
+        bad = pdf[~pdf[column].isin(["1", "2"])]
+        bad = bad.sort_values(["row", column], na_position="first").head(12)
+        expected = ["" if r != r else str(int(r)) for r in bad["row"]]
+        got = found.filter(f"item = {item}").orderBy("example_rank").collect()
+        assert [r.row_label for r in got] == expected
+        assert [r.value for r in got] == list(bad[column])
+
+
+def test_bounded_examples_with_few_distinct_ids(spark, monkeypatch):
+    monkeypatch.setattr(examples, "MANY_OFFENDERS", 0)
+    df = spark.range(300).selectExpr("id % 2 AS row", "concat('v', id) AS a")
+    scan = Scan(Table.of(df))
+    offences = type_offences(scan, {"a": "integer"})
+    found = first_offenders(scan, offences, ["row"], 5, offender_count=300)
+    assert sorted(r.value for r in found.collect()) == ["v0", "v10", "v100", "v102", "v104"]
