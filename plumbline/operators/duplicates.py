@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -91,7 +92,23 @@ class DuplicateGroups:
             self.row_total = None
             self.groups = _count_copies(rows)
 
-    def summary(self, warning_threshold: float, high_threshold: float) -> DataFrame:
+    def keep(self) -> None:
+        """Compute the repeated keys now and hold them on the executors' disks.
+
+        Usually there are few, and what follows does not aggregate all keys again. Afterwards
+        ``summary`` has to be told the row count.
+        """
+        if self.groups is not None:
+            self.groups = self.groups.filter("copies > 1").persist(StorageLevel.DISK_ONLY)
+            self.groups.count()
+
+    def release(self) -> None:
+        if self.groups is not None:
+            self.groups.unpersist()
+
+    def summary(
+        self, warning_threshold: float, high_threshold: float, row_count: int | None = None
+    ) -> DataFrame:
         copies = F.col("copies")
         if self.groups is None:
             counts = self.table.frame.agg(
@@ -106,7 +123,9 @@ class DuplicateGroups:
                 F.coalesce(F.sum(F.when(repeated, copies)), F.lit(0)).cast("long").alias("rows"),
                 F.count_if(repeated).alias("groups"),
             )
-            if self.row_total is not None:
+            if row_count is not None:
+                counts = counts.withColumn("row_count", F.lit(row_count).cast("long"))
+            elif self.row_total is not None:
                 counts = (
                     counts.withColumn("row_count", F.lit(0).cast("long"))
                     .unionByName(

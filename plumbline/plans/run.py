@@ -158,24 +158,35 @@ def run_checks(
     table.require(config.duplicate_key_columns or (), "duplicate key")
     table.require(row_id, "row id")
 
-    def count_duplicates() -> DataFrame:
+    def group_keys() -> DuplicateGroups:
         groups = DuplicateGroups(df, config.duplicate_key_columns, dataset)
-        # Both read the same groups, so in one job these are computed once.
-        return settle(
-            groups.summary(1.0, 5.0).unionByName(
+        groups.keep()
+        return groups
+
+    one_row, groups = side_by_side(
+        df.sparkSession, [lambda: settle(scan.row(**parts)), group_keys]
+    )
+    counted = one_row.first()
+
+    def describe_duplicates() -> DataFrame:
+        found = settle(
+            groups.summary(1.0, 5.0, counted["row_count"]).unionByName(
                 groups.largest(max_groups), allowMissingColumns=True
             )
         )
+        groups.release()
+        return found
 
-    one_row, duplicates = side_by_side(
-        df.sparkSession, [lambda: settle(scan.row(**parts)), count_duplicates]
-    )
-    counted = one_row.first()
-    found = partial(
-        _find_examples, table, config, counted, row_id, reference_date, max_examples
+    duplicates, (type_samples, rule_samples), results = side_by_side(
+        df.sparkSession,
+        [
+            describe_duplicates,
+            partial(
+                _find_examples, table, config, counted, row_id, reference_date, max_examples
+            ),
+            partial(_answer_queries, df, config.sql_queries, counted),
+        ],
     )
-    answers = partial(_answer_queries, df, config.sql_queries, counted)
-    (type_samples, rule_samples), results = side_by_side(df.sparkSession, [found, answers])
 
     counts = one_row.select("dataset", "row_count", "column_count")
     tables = {
