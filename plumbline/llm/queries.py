@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontaminate, exact_dedup, mixing, tokens
-from plumbline.llm.common import read_table
+from plumbline.llm import decontaminate, exact_dedup, language, mixing, quality, tokens
+from plumbline.llm.common import held_out, read_table
 
 
 def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
@@ -17,6 +17,24 @@ def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, read_table(spark, sf_dir, "labels"))
+    scored = quality.score_documents(docs, model)
+    return scored.select(
+        F.col("doc.doc_id").alias("doc_id"),
+        held_out(F.col("doc.doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= quality.CUT).cast("int").alias("predicted"),
+    )
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    found = language.predict_languages(docs, language.fit(docs))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     hits = decontaminate.judged(
@@ -52,6 +70,8 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_quality_classifier": op1_quality_classifier,
+        "op2_language_id": op2_language_id,
         "op3_benchmark_decontamination": op3_benchmark_decontamination,
         "op5_exact_dedup": op5_exact_dedup,
         "op8_mixing": op8_mixing,
