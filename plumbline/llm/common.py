@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,5 +42,52 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+#: A group of more than this share of the rows is hot. There are at most 1 / HOT_SHARE such groups,
+#: which bounds the broadcast of them.
+HOT_SHARE = 0.001
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
+    """Join each row with its group; `groups` has one row per key, and `size` counts its `rows`.
+
+    A group that many rows belong to meets them without a shuffle; no other group is large.
+    """
+    hot = F.col(size) > F.lit(HOT_SHARE * total)
+    few = F.broadcast(groups.filter(hot))
+    return rows.join(few, key).unionByName(
+        rows.join(few.select(key), key, "left_anti").join(groups.filter(~hot), key)
+    )
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+_M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """Spreads 64-bit integers: the finishing step of a public-domain generator (splitmix64)."""
+    x = (x ^ (x >> np.uint64(30))) * _M1
+    x = (x ^ (x >> np.uint64(27))) * _M2
+    return x ^ (x >> np.uint64(31))
+
+
+def run_hashes(words: np.ndarray, width: int) -> np.ndarray:
+    """Hash of the `width` words from each place on; the last width - 1 places have none.
+
+    Built from runs of 1, 2, 4, ... words, so a long width costs its number of bits.
+    """
+    n = len(words) - width + 1
+    if n <= 0:
+        return words[:0]
+    out, done, run, size = None, 0, words, 1
+    while True:
+        if width & size:
+            piece = run[done : done + n]
+            out = piece if out is None else mixed(out * _M2 + piece)
+            done += size
+        if done == width:
+            return out
+        run = mixed(run[: len(run) - size] * _M1 + run[size:])
+        size *= 2

@@ -17,14 +17,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import numbered, saved, shuffle_partitions, text_of
+from plumbline.llm.common import join_groups, numbered, saved, shuffle_partitions, text_of
 from plumbline.plans.storage import scratch_path
 
-#: A group of more than this share of the rows is hot. There are at most 1 / HOT_SHARE such groups,
-#: which bounds the broadcast of them.
-HOT_SHARE = 0.001
-
-
 @dataclass(frozen=True)
 class DigestIndex:
     """Where an index is: a folder, and the number of buckets it was made with."""
@@ -83,12 +78,7 @@ def append_new(index: DigestIndex, docs: DataFrame) -> DataFrame:
     fresh = resolved.join(index.read().hint("merge"), "digest", "left_anti")
     fresh.select("digest", "keep_id").write.insertInto(index.table)
 
-    # A text that many rows share meets its group without a shuffle; no other group is large.
-    hot = F.col("group_size") > F.lit(HOT_SHARE) * digests.count()
-    few = F.broadcast(resolved.filter(hot))
-    joined = digests.join(few, "digest").unionByName(
-        digests.join(few, "digest", "left_anti").join(resolved.filter(~hot), "digest")
-    )
+    joined = join_groups(digests, resolved, "digest", "group_size", digests.count())
     return joined.select(
         "doc_id",
         "keep_id",

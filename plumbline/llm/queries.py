@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontaminate, exact_dedup, language, mixing, quality, tokens
+from plumbline.llm import decontaminate, exact_dedup, language, mixing, near_dedup, quality, tokens
 from plumbline.llm.common import held_out, read_table
 
 
@@ -64,6 +64,11 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_by_document(sizes, plan, mixing.draw(sizes, plan))
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_dedup.near_duplicates(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "class_id", "class_size", "kept")
+
+
 def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_documents(read_table(spark, sf_dir, "documents"), tokenizer_file())
 
@@ -75,5 +80,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_benchmark_decontamination": op3_benchmark_decontamination,
         "op5_exact_dedup": op5_exact_dedup,
         "op8_mixing": op8_mixing,
+        "op9_near_dedup": op9_near_dedup,
         "op10_token_output": op10_token_output,
     }
