@@ -42,6 +42,43 @@ SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_siz
 FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
 
+# btrim with the six white-space characters, which the driver of the SQL gets as they are.
+OP6 = """
+WITH lines AS (
+  SELECT doc_id, i, line, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM (SELECT doc_id, unnest(parts) AS line, generate_subscripts(parts, 1) AS i
+    FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents))),
+keys AS (SELECT key, min(doc_id) AS first FROM lines WHERE length(key) >= 10
+  GROUP BY key HAVING count(DISTINCT doc_id) > 1),
+judged AS (SELECT lines.*, first IS NOT NULL AND first <> doc_id AS dropped
+  FROM lines LEFT JOIN keys ON lines.key = keys.key)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE dropped) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT dropped), '')) AS kept_sha256
+FROM judged GROUP BY doc_id
+"""
+
+OP7 = r"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (
+  SELECT doc_id, i, md5(array_to_string(w[i : i + 19], ' ')) AS h
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM words WHERE len(w) >= 20)),
+gone AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS p
+  FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY h ORDER BY doc_id, i) AS turn FROM windows)
+  WHERE turn > 1),
+each AS (
+  SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM words),
+kept AS (
+  SELECT each.doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY each.p) AS t
+  FROM each LEFT JOIN gone ON gone.doc_id = each.doc_id AND gone.p = each.p
+  WHERE gone.p IS NULL GROUP BY each.doc_id)
+SELECT words.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(t, '')) AS kept_sha256
+FROM words LEFT JOIN kept ON kept.doc_id = words.doc_id
+"""
+
 # The water level L at which the targets least(weight * L, 2 * size) add up to 150% of all sizes.
 OP8 = rf"""
 WITH docs AS (
@@ -86,5 +123,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op3_benchmark_decontamination": OP3,
         "op5_exact_dedup": OP5,
+        "op6_line_dedup": OP6,
+        "op7_substring_dedup": OP7,
         "op8_mixing": OP8,
     }

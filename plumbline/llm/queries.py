@@ -7,7 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontaminate, exact_dedup, language, mixing, near_dedup, quality, tokens
+from plumbline.llm import (
+    decontaminate,
+    exact_dedup,
+    language,
+    line_dedup,
+    mixing,
+    near_dedup,
+    quality,
+    substring_dedup,
+    tokens,
+)
 from plumbline.llm.common import held_out, read_table
 
 
@@ -58,6 +68,16 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.without_repeats(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.without_repeats(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     sizes = mixing.measure(read_table(spark, sf_dir, "documents"))
     plan = mixing.plan_sources(sizes)
@@ -79,6 +99,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_language_id": op2_language_id,
         "op3_benchmark_decontamination": op3_benchmark_decontamination,
         "op5_exact_dedup": op5_exact_dedup,
+        "op6_line_dedup": op6_line_dedup,
+        "op7_substring_dedup": op7_substring_dedup,
         "op8_mixing": op8_mixing,
         "op9_near_dedup": op9_near_dedup,
         "op10_token_output": op10_token_output,
