@@ -16,6 +16,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
+    """Where a vocabulary file of the installed public tokenizers is, here and on the executors."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """The rows written once to the shared folder and read from there.
 

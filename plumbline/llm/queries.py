@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from plumbline.llm import (
     decontaminate,
     exact_dedup,
@@ -15,16 +16,11 @@ from plumbline.llm import (
     mixing,
     near_dedup,
     quality,
+    secrets,
     substring_dedup,
     tokens,
 )
-from plumbline.llm.common import held_out, read_table
-
-
-def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
-    import public_tokenizers
-
-    return str(public_tokenizers.path(name))
+from plumbline.llm.common import held_out, read_table, tokenizer_file
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,6 +56,20 @@ def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(read_table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["kind"] < 3)
+    return found.select(
+        "doc_id",
+        *[
+            F.size(F.filter("spans", lambda s, n=n: s["kind"] == n)).cast("long").alias(f"n_{kind}")
+            for n, kind in enumerate(secrets.KINDS[:3])
+        ],
+        F.sha2(secrets.as_text(base), 256).alias("base_sha256"),
+        secrets.as_text(F.col("spans")).alias("spans"),
+    )
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = exact_dedup.open_index(spark)
     found = exact_dedup.append_new(index, read_table(spark, sf_dir, "documents"))
@@ -93,15 +103,21 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_documents(read_table(spark, sf_dir, "documents"), tokenizer_file())
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_classifier": op1_quality_classifier,
         "op2_language_id": op2_language_id,
         "op3_benchmark_decontamination": op3_benchmark_decontamination,
+        "op4_secret_scan": op4_secret_scan,
         "op5_exact_dedup": op5_exact_dedup,
         "op6_line_dedup": op6_line_dedup,
         "op7_substring_dedup": op7_substring_dedup,
         "op8_mixing": op8_mixing,
         "op9_near_dedup": op9_near_dedup,
         "op10_token_output": op10_token_output,
+        "pipeline": pipeline,
     }
