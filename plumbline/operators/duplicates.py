@@ -19,12 +19,8 @@ from plumbline.functions.grading import (
 from plumbline.functions.hashing import holds_map, key_hashes, key_value
 from plumbline.functions.parsing import NESTED_TYPES
 from plumbline.functions.text import shown
-from plumbline.plans.storage import settle
 from plumbline.plans.table import Table
 
-# Row hashes are broadcast only up to this many, eight bytes each.
-MAX_BROADCAST_HASHES = 1_000_000
-
 
 def _keys(table: Table, key_columns: Sequence[str] | None) -> tuple[str, list[str]]:
     if key_columns:
@@ -50,26 +46,25 @@ def _count_copies(rows: DataFrame) -> DataFrame:
 def _suspect_rows(rows: DataFrame) -> DataFrame:
     """The rows that can have a copy, found through row hashes.
 
-    Grouping whole rows would send the whole table through a shuffle. Grouping their hashes sends
-    a few bytes per row; then only rows whose hash repeats need the exact comparison. Should too
-    many hashes repeat to broadcast them, all rows are returned and compared.
+    Hashes are counted first, a few bytes per row; then only rows whose hash repeats are compared
+    exactly. How the two meet is left to adaptive execution, which broadcasts few hashes and splits
+    those of hot rows.
     """
-    row_hash, _ = key_hashes(
-        [F.col(name) for name in rows.columns], [f.dataType for f in rows.schema.fields]
-    )
-    repeated = settle(
-        rows.groupBy(row_hash.alias("row_hash"))
+    return _with_repeated_hash(rows, rows.columns).drop("row_hash")
+
+
+def _with_repeated_hash(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The rows whose ``row_hash`` over the key columns occurs more than once."""
+    kinds = [rows.schema[name].dataType for name in keys]
+    row_hash, _ = key_hashes([F.col(name) for name in keys], kinds)
+    hashed = rows.withColumn("row_hash", row_hash)
+    repeated = (
+        hashed.groupBy("row_hash")
         .agg(F.count(F.lit(1)).alias("copies"))
         .filter("copies > 1")
         .select("row_hash")
     )
-    if repeated.count() > MAX_BROADCAST_HASHES:
-        return rows
-    return (
-        rows.withColumn("row_hash", row_hash)
-        .join(F.broadcast(repeated), "row_hash", "left_semi")
-        .drop("row_hash")
-    )
+    return hashed.join(repeated, "row_hash", "left_semi")
 
 
 class DuplicateGroups:
@@ -217,8 +212,10 @@ def duplicate_rows(df: DataFrame, key_columns: Sequence[str] | None = None) -> D
     _, keys = _keys(table, key_columns)
     if not keys:
         return df.limit(0).withColumn("duplicate_count", F.lit(0).cast("long"))
-    rows = _key_frame(table, keys)
-    repeated = _count_copies(rows).filter("copies > 1")
+    key_names = [f"k{i}" for i in range(len(keys))]
+    suspects = _with_repeated_hash(_key_frame(table, keys), key_names)
+    repeated = suspects.groupBy("row_hash", *key_names).agg(F.count(F.lit(1)).alias("copies"))
+    repeated = repeated.filter("copies > 1").withColumnRenamed("row_hash", "copies_hash")
     keyed = table.frame.select(
         "*",
         *[
@@ -226,13 +223,13 @@ def duplicate_rows(df: DataFrame, key_columns: Sequence[str] | None = None) -> D
             for i, name in enumerate(keys)
         ],
     )
-    match = None
+    keyed = _with_repeated_hash(keyed, [f"r{i}" for i in range(len(keys))])
+    match = F.col("row_hash") == F.col("copies_hash")
     for i, kind in enumerate(table.kind(n) for n in keys):
         left, right = F.col(f"r{i}"), F.col(f"k{i}")
         if holds_map(kind):
             left, right = F.to_json(left), F.to_json(right)
-        same = left.eqNullSafe(right)
-        match = same if match is None else match & same
+        match = match & left.eqNullSafe(right)
     return keyed.join(repeated, match, "inner").select(
         *[F.col(f"c{i}").alias(name) for i, name in enumerate(table.names)],
         F.col("copies").alias("duplicate_count"),

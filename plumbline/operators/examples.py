@@ -6,49 +6,29 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from plumbline.plans.table import Scan
 
-# Candidates of one item are first thinned in this many random slices, so that an item violated by
-# most rows of a huge table is never ranked in a single task.
-SLICES = 32
-
-# Beyond this many offenders it pays to bound their ids in a pass of its own before ranking them.
-MANY_OFFENDERS = 2_000_000
-
-# Types whose minimum Spark keeps in place while hashing groups.
-FIXED_WIDTH = (
-    T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.DateType, T.TimestampType,
-    T.TimestampNTZType,
-)
-
-
 def first_offenders(
     scan: Scan,
     offences: Sequence[tuple[Column, Column]],
     row_id: Sequence[str],
     max_examples: int,
-    offender_count: int = 0,
 ) -> DataFrame:
     """Rows ``(item, example_rank, row_label, value)``, item being the index into ``offences``.
 
     An offence is a pair of a condition and the text to show. Examples come in the order of the
-    ``row_id`` columns, then by text. ``offender_count`` says how many there are, where known.
+    ``row_id`` columns, then by text. Candidates of one item are first thinned in as many random
+    slices as there are shuffle partitions, so that an item violated by most rows of a huge table is
+    never ranked in a single task; each task passes on its first few of every slice only.
     """
     scan.table.require(row_id, "row id")
     ids = [scan.table.column(name).alias(f"id_{i}") for i, name in enumerate(row_id)]
     id_names = [f"id_{i}" for i in range(len(row_id))]
-    if (
-        offender_count > MANY_OFFENDERS
-        and max_examples > 0
-        and row_id
-        and isinstance(scan.table.kind(row_id[0]), FIXED_WIDTH)
-    ):
-        offences = _nearest_to_the_top(scan, offences, row_id[0], max_examples)
     found = _offenders(scan, offences, ids).select(*id_names, "item", "value")
+    slices = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sliced = found.withColumn(
-        "slice", F.pmod(F.xxhash64("item", "value", *id_names), F.lit(SLICES))
+        "slice", F.pmod(F.xxhash64("item", "value", *id_names), F.lit(slices))
     )
     order = [*id_names, "value"]
     in_slice = Window.partitionBy("item", "slice").orderBy(*order)
@@ -87,35 +67,8 @@ def _offenders(
         for item in range(len(offences))
     ]
     id_names = [name for name in values.columns if name.startswith("id_")]
-    return values.select(*id_names, F.inline(F.array(*entries))).filter("offends")
-
-
-def _nearest_to_the_top(
-    scan: Scan, offences: Sequence[tuple[Column, Column]], first_id: str, max_examples: int
-) -> list[tuple[Column, Column]]:
-    """The offences, limited to rows that can be among the first ``max_examples`` of their item.
-
-    Ranking would sort all offenders of a task. A pass before it takes the smallest id in each of
-    many hash classes of ids; these are different ids, so the ``max_examples``-th smallest of them
-    bounds the ids of the first examples from above. One number per item comes to the driver.
-    """
-    row_id = scan.table.column(first_id)
-    hash_class = F.pmod(F.xxhash64("id_0"), F.lit(4 * max_examples))
-    smallest = (
-        _offenders(scan, offences, [row_id.alias("id_0")])
-        .groupBy("item", hash_class.alias("class"))
-        .agg(F.min("id_0").alias("smallest"))
-        .groupBy("item")
-        .agg(F.array_sort(F.collect_list("smallest")).alias("smallest"))
-        .select("item", F.get("smallest", F.lit(max_examples - 1)).alias("bound"))
-    )
-    bounds = {row.item: row.bound for row in smallest.collect() if row.bound is not None}
-    return [
-        (offends & (row_id.isNull() | (row_id <= F.lit(bounds[item]))), text)
-        if item in bounds
-        else (offends, text)
-        for item, (offends, text) in enumerate(offences)
-    ]
+    offenders = F.filter(F.array(*entries), lambda entry: entry["offends"])
+    return values.select(*id_names, F.inline(offenders))
 
 
 def pick(literals: Sequence[str | None]) -> Column:
