@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -93,7 +93,7 @@ def sample_values(df: DataFrame, dataset: str = "dataset", max_values: int = 5)
 
     Spark has no aggregate that keeps the k smallest distinct values, and grouping by value would
     shuffle every distinct value of the table. So each task first thins its part to ``max_values``
-    rows, column by column, and only those are shuffled and ranked.
+    rows, column by column, each in the order of its own type, and only those meet.
     """
     table = Table.of(df)
     if max_values <= 0 or not table.names:
@@ -105,34 +105,25 @@ def sample_values(df: DataFrame, dataset: str = "dataset", max_values: int = 5)
         ]
     )
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in values.schema.fields])
-    thinned = values.mapInArrow(_thinner(max_values), schema)
-    cells = []
-    for i, kind in enumerate(table.kinds):
-        value = F.col(f"c{i}")
-        number = value.cast("double") if isinstance(kind, T.NumericType) else F.lit(None).cast("double")
-        cells.append(
-            F.when(
-                value.isNotNull(),
-                F.struct(
-                    F.lit(i).alias("position"),
-                    number.alias("number"),
-                    value.cast("string").alias("sample_value"),
-                ),
-            )
+    # Each task's few rows meet in one, which holds no more than the smallest values either.
+    smallest = values.mapInArrow(_thinner(max_values), schema).repartition(1)
+    rows = smallest.mapInArrow(_thinner(max_values), schema).withColumn(
+        "sample_rank", (F.monotonically_increasing_id() + 1).cast("int")
+    )
+    cells = [
+        F.when(
+            F.col(f"c{i}").isNotNull(),
+            F.struct(F.lit(i).alias("position"), F.col(f"c{i}").cast("string").alias("sample_value")),
         )
-    distinct = thinned.select(F.inline(F.array_compact(F.array(*cells)))).distinct()
-    order = Window.partitionBy("position").orderBy("number", "sample_value")
+        for i in range(len(table.names))
+    ]
     names = F.array(*[F.lit(name) for name in table.names])
-    return (
-        distinct.withColumn("sample_rank", F.row_number().over(order))
-        .filter(F.col("sample_rank") <= max_values)
-        .select(
-            F.lit(dataset).alias("dataset"),
-            "position",
-            F.get(names, F.col("position")).alias("column_name"),
-            "sample_rank",
-            "sample_value",
-        )
+    return rows.select("sample_rank", F.inline(F.array_compact(F.array(*cells)))).select(
+        F.lit(dataset).alias("dataset"),
+        "position",
+        F.get(names, F.col("position")).alias("column_name"),
+        "sample_rank",
+        "sample_value",
     )
 
 

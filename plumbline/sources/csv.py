@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 from pathlib import PurePosixPath
+from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions.parsing import NUMBER_PATTERN, matching
@@ -28,13 +29,14 @@ def read_csv(
     spark: SparkSession,
     path: str,
     types: Mapping[str, str] | None = None,
-    multi_line: bool = True,
+    multi_line: bool | None = None,
 ) -> DataFrame:
     """Read one CSV file with a header, or a folder or pattern of such files.
 
     Types are inferred from all values in one extra pass; ``types`` (column to Spark type, the
-    rest being text) saves that pass. Set ``multi_line`` to False where no value contains a line
-    break: large files can then be read by many tasks.
+    rest being text) saves that pass. A file can be read by many tasks unless a quoted value holds a
+    line break. One pass over the lines finds the files where that may be, by an odd number of
+    quotes in a line; ``multi_line`` saves that pass, saying so for all files or for none.
     """
     text = read_csv_text(spark, path, multi_line)
     if types is None:
@@ -51,18 +53,18 @@ def read_csv(
     )
 
 
-def read_csv_text(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+def read_csv_text(spark: SparkSession, path: str, multi_line: bool | None = None) -> DataFrame:
     """The CSV as it is, all columns as text."""
     last = PurePosixPath(path).name
-    reader = (
-        spark.read.option("header", True)
-        .option("enforceSchema", False)
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("multiLine", multi_line)
-    )
     try:
-        raw = reader.csv(path)
+        if multi_line is None:
+            whole, split = _files_by_quotes(spark, path)
+        else:
+            whole, split = ([path], []) if multi_line else ([], [path])
+        parts = [
+            _reader(spark, several).csv(files) for several, files in ((False, split), (True, whole)) if files
+        ]
+        raw = parts[0] if parts else _reader(spark, False).csv(path)
     except AnalysisException as error:
         if error.getCondition() == "PATH_NOT_FOUND":
             raise FileNotFoundError(f"no CSV file at {path}") from error
@@ -70,9 +72,37 @@ def read_csv_text(spark: SparkSession, path: str, multi_line: bool = True) -> Da
     suffix = PurePosixPath(last).suffix.lower()
     if suffix not in ("", ".csv"):
         raise ValueError(f"expected a .csv file, not {suffix}")
+    if len(parts) == 2:
+        if parts[0].columns != parts[1].columns:
+            raise ValueError("the files have different headers")
+        raw = raw.union(parts[1])
     return raw
 
 
+def _reader(spark: SparkSession, multi_line: bool) -> DataFrameReader:
+    return (
+        spark.read.option("header", True)
+        .option("enforceSchema", False)
+        .option("quote", '"')
+        .option("escape", '"')
+        .option("multiLine", multi_line)
+    )
+
+
+def _files_by_quotes(spark: SparkSession, path: str) -> tuple[list[str], list[str]]:
+    """Files with a line that has an odd number of quotes, and the others; one row per file comes here.
+
+    Without such a line no quote is open at any line's end, so every line break ends a record.
+    """
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"),
+        (F.length("value") - F.length(F.replace("value", F.lit('"')))).alias("quotes"),
+    )
+    found = lines.groupBy("file").agg(F.max(F.col("quotes") % 2).alias("odd")).collect()
+    files = [(unquote(row["file"]), row["odd"]) for row in found]
+    return [file for file, odd in files if odd], [file for file, odd in files if not odd]
+
+
 def infer_types(text: DataFrame) -> dict[str, str]:
     """The narrowest of bigint, double and boolean that all values of a column fit, else string.
 

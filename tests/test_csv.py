@@ -79,3 +79,21 @@ def test_wrong_paths(spark, tmp_path):
         read_csv(spark, str(tmp_path / "t.txt"))
     (tmp_path / "t.CSV").write_text("a\n1\n")
     assert read_csv(spark, str(tmp_path / "t.CSV")).count() == 1
+
+
+def test_only_files_with_line_breaks_in_values_are_read_whole(spark, tmp_path):
+    folder = tmp_path / "many files"
+    folder.mkdir()
+    lines = "".join(f'{i},"plain ""{i}"""\n' for i in range(60_000))
+    (folder / "large one.csv").write_text("n,t\n" + lines)
+    (folder / "broken.csv").write_text('n,t\n-1,"two\nlines"\n-2,"a ""b\nc"\n')
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200k")
+    try:
+        text = read_csv_text(spark, str(folder))
+        assert text.rdd.getNumPartitions() > 4
+        df = read_csv(spark, str(folder))
+        assert (df.count(), dict(df.dtypes)["n"]) == (60_002, "bigint")
+        assert rows(df.filter("n < 0"), "n", "t") == [(-1, "two\nlines"), (-2, 'a "b\nc')]
+        assert rows(df.filter("n = 7"), "t") == [('plain "7"',)]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")

@@ -1,3 +1,4 @@
+from decimal import Decimal
 import pytest
 from conftest import one, rows
 
@@ -97,3 +98,18 @@ def test_samples_are_the_smallest_distinct_values(spark):
     assert found["day"] == [str(v) for v in sorted(set(pdf.day))[:5]]
     assert sample_values(df, max_values=2).count() == 11
     assert sample_values(df, max_values=0).count() == 0
+
+
+def test_sample_values_in_the_order_of_their_own_type(spark):
+    """Numbers that a double can't tell apart, and decimals, of either sign."""
+    edge = 2**62
+    longs = [sign * edge + i for sign in (-1, 1) for i in range(8)]
+    df = spark.createDataFrame(
+        [(n, Decimal(n) / 10**15, str(n)) for n in reversed(longs)], "n bigint, d decimal(38,15), t string"
+    ).repartition(5)
+    found = {}
+    for r in sample_values(df).orderBy("position", "sample_rank").collect():
+        found.setdefault(r.column_name, []).append(r.sample_value)
+    assert found["n"] == [str(n) for n in sorted(longs)[:5]]
+    assert [Decimal(x) for x in found["d"]] == [Decimal(n) / 10**15 for n in sorted(longs)[:5]]
+    assert found["t"] == sorted(map(str, longs))[:5]
