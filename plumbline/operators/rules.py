@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from datetime import date
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -86,13 +88,19 @@ def _fails(condition: Column) -> Column:
     return F.coalesce(condition, F.lit(True))
 
 
+def _exact(bound: float) -> str:
+    """All digits that tell the number from others, without an empty fraction."""
+    text = format(Decimal(repr(float(bound))), "f") if math.isfinite(bound) else repr(float(bound))
+    return text.rstrip("0").rstrip(".") if "." in text else text
+
+
 def violation_message(rule: Rule) -> str:
     if rule.rule_type == "range":
         if rule.max_value is None:
-            return f"expected at least {rule.min_value:g}"
+            return f"expected at least {_exact(rule.min_value)}"
         if rule.min_value is None:
-            return f"expected at most {rule.max_value:g}"
-        return f"expected a number from {rule.min_value:g} to {rule.max_value:g}"
+            return f"expected at most {_exact(rule.max_value)}"
+        return f"expected a number from {_exact(rule.min_value)} to {_exact(rule.max_value)}"
     return {
         "not_null": "expected a value",
         "positive": "expected a number above zero",

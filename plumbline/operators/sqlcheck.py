@@ -9,11 +9,13 @@ from contextlib import contextmanager
 from dataclasses import dataclass, field
 from functools import partial
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions.grading import check_limit
 from plumbline.functions.parsing import NESTED_TYPES
+from plumbline.functions.text import strip
 from plumbline.plans.config import SqlQuery
 from plumbline.plans.storage import side_by_side
 from plumbline.plans.table import Scan, Table, rows_of
@@ -34,15 +36,6 @@ SQL_RESULT_SCHEMA = (
 )
 SQL_ROW_SCHEMA = "dataset string, query_name string, row_number int, row map<string,string>"
 
-# Settings of the caller's session that decide what a query returns.
-CARRIED_SETTINGS = (
-    "spark.sql.session.timeZone",
-    "spark.sql.ansi.enabled",
-    "spark.sql.shuffle.partitions",
-    "spark.sql.adaptive.enabled",
-)
-
-
 def check_read_only(sql: str) -> None:
     """Raise unless the text looks like one SELECT or WITH query without forbidden words."""
     text = sql.strip().rstrip(";").lower()
@@ -57,7 +50,7 @@ def check_read_only(sql: str) -> None:
 
 def is_read_only(sql: Column) -> Column:
     """The same test as a column expression, for stored results."""
-    text = F.lower(F.trim(sql))
+    text = F.lower(strip(sql))
     words = F.split(text, r"[^\p{L}\p{N}_]+")
     forbidden = F.array(*[F.lit(w) for w in (*FORBIDDEN_WORDS, *FORBIDDEN_IN_SPARK)])
     return text.rlike(READ_ONLY_START) & ~F.arrays_overlap(words, forbidden)
@@ -76,8 +69,9 @@ def sql_session(df: DataFrame, table_name: str = "dataset") -> Iterator[SparkSes
     table.frame.toDF(*table.names).createGlobalTempView(handover)
     try:
         session = spark.newSession()
-        for setting in CARRIED_SETTINGS:
-            session.conf.set(setting, spark.conf.get(setting))
+        for setting, value in spark.conf.getAll.items():
+            if setting.startswith("spark.sql.") and spark.conf.isModifiable(setting):
+                session.conf.set(setting, value)
         session.conf.set("spark.sql.runSQLOnFiles", "false")
         session.table(f"global_temp.{handover}").createOrReplaceTempView(table_name)
         yield session
@@ -129,9 +123,13 @@ class SqlResult:
 def _run(session: SparkSession, query: SqlQuery, table_name: str, max_rows: int) -> SqlResult:
     try:
         result = query_dataset(session, query.sql, table_name)
-        # One row more than shown tells whether counting needs a job of its own.
-        shown = as_text(result).limit(max_rows + 1).collect()
-        row_count = len(shown) if len(shown) <= max_rows else result.count()
+        # What is computed for the rows shown is held, so that counting does not run it again.
+        result = result.persist(StorageLevel.DISK_ONLY)
+        try:
+            shown = as_text(result).limit(max_rows + 1).collect()
+            row_count = len(shown) if len(shown) <= max_rows else result.count()
+        finally:
+            result.unpersist()
     except Exception as error:
         return SqlResult(query.query_name, query.sql, "failed", error_message=str(error))
     return SqlResult(
@@ -243,11 +241,13 @@ def plan_numeric_summary(scan: Scan, columns: Sequence[str]) -> Column:
     return rows_of(rows, NUMERIC_ROW)
 
 
-def plan_date_range(scan: Scan, columns: Sequence[str]) -> Column:
+def plan_date_range(
+    scan: Scan, columns: Sequence[str], date_formats: tuple[str, ...] = ()
+) -> Column:
     scan.table.require(columns, "date range")
     rows = []
     for name in columns:
-        i, day = scan.table.position(name), F.to_date(scan.timestamp(name))
+        i, day = scan.table.position(name), F.to_date(scan.timestamp(name, date_formats))
         rows.append(
             F.struct(
                 F.lit(name).alias("column_name"),

@@ -10,11 +10,13 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from plumbline.functions.parsing import DATE_PATTERN, NUMBER_PATTERN
-from plumbline.functions.text import is_boolean_word, strip
+from plumbline.functions.parsing import DATE_PATTERN, NUMBER_PATTERN, is_checkable
+from plumbline.functions.text import WHITESPACE, is_boolean_word, strip
 from plumbline.operators.profile import sample_values
 from plumbline.plans.config import Rule, RunConfig, SqlQuery
+from plumbline.plans.table import Table
 
 # Words in a column name, and what they say about the column.
 DATE_WORDS = ("date", "datetime", "timestamp", "time")
@@ -30,7 +32,9 @@ DAY_TYPES = ("date", "timestamp", "timestamp_ntz")
 
 
 def describe_tables(tables: Mapping[str, DataFrame]) -> DataFrame:
-    """Rows ``(dataset, position, column_name, data_type, sample_values)`` for several tables."""
+    """Rows ``(dataset, position, column_name, data_type, sample_values, boolean_words)`` for
+    several tables; the last says whether all values there are read as a boolean.
+    """
     return reduce(
         DataFrame.unionByName, [describe_table(df, name) for name, df in tables.items()]
     )
@@ -55,18 +59,41 @@ def describe_table(df: DataFrame, dataset: str = "dataset") -> DataFrame:
     )
     return (
         schema.unionByName(samples, allowMissingColumns=True)
+        .unionByName(_boolean_columns(df, dataset), allowMissingColumns=True)
         .groupBy("dataset", "position", "column_name")
         .agg(
             F.max("data_type").alias("data_type"),
+            F.max("boolean_words").alias("boolean_words"),
             F.transform(ranked, lambda sample: sample["sample_value"]).alias("sample_values"),
         )
     )
 
 
+def _boolean_columns(df: DataFrame, dataset: str) -> DataFrame:
+    """Whether all values of a column are words for a boolean, in one pass over the table."""
+    table = Table.of(df)
+    found = []
+    for i, (name, kind) in enumerate(zip(table.names, table.kinds, strict=True)):
+        text = F.col(f"c{i}").cast("string") if is_checkable(kind) else F.lit("none")
+        other = F.count_if(F.coalesce(~is_boolean_word(text), F.lit(False)))
+        found.append(
+            F.struct(
+                F.lit(i).alias("position"), F.lit(name).alias("column_name"), (other == 0).alias("boolean_words")
+            )
+        )
+    if not found:
+        return df.sparkSession.createDataFrame(
+            [], "dataset string, position int, column_name string, boolean_words boolean"
+        )
+    return table.frame.agg(F.array(*found).alias("found")).select(
+        F.lit(dataset).alias("dataset"), F.inline("found")
+    )
+
+
 class _Traits:
-    """What a column's name, type and samples say about it."""
+    """What a column's name, type and values say about it."""
 
-    def __init__(self):
+    def __init__(self, columns: DataFrame):
         name = F.lower(strip(F.col("column_name")))
         self.name = F.btrim(F.regexp_replace(name, "[^a-z0-9]+", "_"), F.lit("_"))
         self.words = F.split(self.name, "_")
@@ -84,11 +111,13 @@ class _Traits:
         self.names_amount = self._has(*AMOUNT_WORDS)
         self.names_count = self._has(*COUNT_WORDS)
         samples = F.col("sample_values")
+        # Columns described by hand may have samples only.
+        all_words = F.col("boolean_words") if "boolean_words" in columns.columns else F.lit(True)
         self.like_boolean = (
             self.is_boolean
             | reduce(Column.__or__, [self.name.startswith(p) for p in FLAG_PREFIXES])
             | self._has(*FLAG_WORDS)
-            | ((F.size(samples) > 0) & F.forall(samples, is_boolean_word))
+            | ((F.size(samples) > 0) & F.forall(samples, is_boolean_word) & all_words)
         )
         self.is_category = ~self.names_date & (self._has(*CATEGORY_WORDS) | self.is_text)
 
@@ -111,7 +140,7 @@ class _Traits:
 
 def suggest_types(columns: DataFrame) -> DataFrame:
     """The expected type of every column that holds single values."""
-    traits = _Traits()
+    traits = _Traits(columns)
     return columns.filter(~traits.is_nested).select(
         "dataset",
         "position",
@@ -123,7 +152,7 @@ def suggest_types(columns: DataFrame) -> DataFrame:
 
 def suggest_keys(columns: DataFrame) -> DataFrame:
     """The first column of every table that looks like an identifier, null where there is none."""
-    names_id = _Traits().names_id
+    names_id = _Traits(columns).names_id
     return columns.groupBy("dataset").agg(
         F.min_by("column_name", F.when(names_id, F.col("position"))).alias("key_column")
     )
@@ -131,7 +160,7 @@ def suggest_keys(columns: DataFrame) -> DataFrame:
 
 def suggest_rules(columns: DataFrame) -> DataFrame:
     """Rules that follow from column names; of several with one name, the first."""
-    traits = _Traits()
+    traits = _Traits(columns)
 
     def rule(applies, order, suffix, kind, low=None, high=None, allow_null=True, why=""):
         return F.when(
@@ -177,26 +206,34 @@ def suggest_rules(columns: DataFrame) -> DataFrame:
     )
 
 
+# What the generated queries are made of. White space around values is stripped as everywhere else, and
+# the cast alone would accept text such as '1d' or '2024'.
+_STRIPPED = "BTRIM({c}, '%s')" % "".join(f"\\u{ord(c):04X}" for c in WHITESPACE)
+TEXT_NUMBER = f"CASE WHEN {_STRIPPED} RLIKE '^(?:{NUMBER_PATTERN})$' THEN TRY_CAST({_STRIPPED} AS DOUBLE) END"
+OTHER_NUMBER = "TRY_CAST({c} AS DOUBLE)"
+TEXT_DAY = f"CASE WHEN {_STRIPPED} RLIKE '^(?:{DATE_PATTERN})$' THEN TRY_CAST({_STRIPPED} AS DATE) END"
+OTHER_DAY = "TRY_CAST({c} AS DATE)"
+NUMBER_SUMMARY = "SELECT MIN({c}) AS min_value, MAX({c}) AS max_value, AVG({c}) AS avg_value FROM dataset"
+DAY_RANGE = "SELECT MIN({c}) AS min_date, MAX({c}) AS max_date FROM dataset"
+TOTAL_ROWS = "SELECT COUNT(*) AS row_count FROM dataset"
+
+
 def suggest_queries(
     columns: DataFrame,
-    max_categorical_queries: int = 3,
-    max_numeric_queries: int = 3,
-    max_date_queries: int = 2,
+    max_categorical_queries: int | None = 3,
+    max_numeric_queries: int | None = 3,
+    max_date_queries: int | None = 2,
 ) -> DataFrame:
-    """Queries worth running on every table: its size, and per column a distribution or a range."""
-    traits = _Traits()
+    """Queries worth running on every table: its size, and per column a distribution or a range.
+
+    The first columns of each kind get one, with None all of them.
+    """
+    traits = _Traits(columns)
     quoted = F.concat(
         F.lit("`"), F.replace(F.col("column_name"), F.lit("`"), F.lit("``")), F.lit("`")
     )
-    # TRY_CAST alone would accept text such as '1d' or '2024'.
-    as_double = F.when(
-        traits.is_text,
-        _fill("CASE WHEN TRIM({c}) RLIKE '^(?:%s)$' THEN TRY_CAST({c} AS DOUBLE) END" % NUMBER_PATTERN, quoted),
-    ).otherwise(_fill("TRY_CAST({c} AS DOUBLE)", quoted))
-    as_day = F.when(
-        traits.is_text,
-        _fill("CASE WHEN TRIM({c}) RLIKE '^(?:%s)$' THEN TRY_CAST({c} AS DATE) END" % DATE_PATTERN, quoted),
-    ).otherwise(_fill("TRY_CAST({c} AS DATE)", quoted))
+    number = F.when(traits.is_text, _fill(TEXT_NUMBER, quoted)).otherwise(_fill(OTHER_NUMBER, quoted))
+    day = F.when(traits.is_text, _fill(TEXT_DAY, quoted)).otherwise(_fill(OTHER_DAY, quoted))
 
     def query(applies, order, kind, suffix, sql, what):
         return F.when(
@@ -224,30 +261,26 @@ def suggest_queries(
             ),
             query(
                 numeric, 2, "numeric_summary", "_numeric_summary",
-                _fill(
-                    "SELECT MIN({c}) AS min_value, MAX({c}) AS max_value, "
-                    "AVG({c}) AS avg_value FROM dataset",
-                    as_double,
-                ),
+                _fill(NUMBER_SUMMARY, number),
                 "smallest, largest and average number in ",
             ),
             query(
                 traits.names_date, 3, "date_range", "_date_range",
-                _fill("SELECT MIN({c}) AS min_date, MAX({c}) AS max_date FROM dataset", as_day),
+                _fill(DAY_RANGE, day),
                 "first and last day in ",
             ),
         )
     )
     nth_of_kind = Window.partitionBy("dataset", "kind").orderBy("position")
     limit = (
-        F.when(F.col("kind") == "distribution", max_categorical_queries)
-        .when(F.col("kind") == "numeric_summary", max_numeric_queries)
-        .otherwise(max_date_queries)
+        F.when(F.col("kind") == "distribution", F.lit(max_categorical_queries))
+        .when(F.col("kind") == "numeric_summary", F.lit(max_numeric_queries))
+        .otherwise(F.lit(max_date_queries))
     )
     chosen = (
         columns.select("dataset", "position", "column_name", F.inline(per_column))
         .withColumn("nth", F.row_number().over(nth_of_kind))
-        .filter(F.col("nth") <= limit)
+        .filter(limit.isNull() | (F.col("nth") <= limit))
         .drop("nth")
     )
     size = columns.groupBy("dataset").agg(
@@ -256,7 +289,7 @@ def suggest_queries(
         F.lit(0).alias("kind_order"),
         F.lit("total_rows").alias("kind"),
         F.lit("total_rows").alias("query_name"),
-        F.lit("SELECT COUNT(*) AS row_count FROM dataset").alias("sql"),
+        F.lit(TOTAL_ROWS).alias("sql"),
         F.lit("number of rows").alias("description"),
     )
     return size.unionByName(chosen)
@@ -271,7 +304,25 @@ def _fill(template: str, value: Column) -> Column:
     return F.concat(*pieces)
 
 
-def suggest_configs(columns: DataFrame) -> dict[str, RunConfig]:
+def is_generated(query: SqlQuery, kind: T.DataType | None) -> bool:
+    """Whether the text of a query is what is suggested for its kind and the type of its column."""
+    name = "`" + (query.column_name or "").replace("`", "``") + "`"
+    text = isinstance(kind, T.StringType)
+    number, day = (TEXT_NUMBER, TEXT_DAY) if text else (OTHER_NUMBER, OTHER_DAY)
+    generated = {
+        "total_rows": TOTAL_ROWS,
+        "numeric_summary": NUMBER_SUMMARY.replace("{c}", number.replace("{c}", name)),
+        "date_range": DAY_RANGE.replace("{c}", day.replace("{c}", name)),
+    }
+    return query.sql == generated.get(query.kind)
+
+
+def suggest_configs(
+    columns: DataFrame,
+    max_categorical_queries: int | None = 3,
+    max_numeric_queries: int | None = 3,
+    max_date_queries: int | None = 2,
+) -> dict[str, RunConfig]:
     """All suggestions for every table as run configurations.
 
     ``columns`` should be settled. Only suggestions, a few rows per column, come to the driver.
@@ -280,7 +331,9 @@ def suggest_configs(columns: DataFrame) -> dict[str, RunConfig]:
         "types": suggest_types(columns),
         "key": suggest_keys(columns),
         "rules": suggest_rules(columns),
-        "queries": suggest_queries(columns),
+        "queries": suggest_queries(
+            columns, max_categorical_queries, max_numeric_queries, max_date_queries
+        ),
     }
     rows = reduce(
         lambda a, b: a.unionByName(b, allowMissingColumns=True),
@@ -314,9 +367,20 @@ def _as_config(dataset: str, parts: dict[str, list]) -> RunConfig:
     )
 
 
-def suggest_config(columns: DataFrame, dataset: str = "dataset") -> RunConfig:
+def suggest_config(
+    columns: DataFrame,
+    dataset: str = "dataset",
+    max_categorical_queries: int | None = 3,
+    max_numeric_queries: int | None = 3,
+    max_date_queries: int | None = 2,
+) -> RunConfig:
     """All suggestions for one table as a run configuration."""
-    found = suggest_configs(columns.filter(F.col("dataset") == dataset))
+    found = suggest_configs(
+        columns.filter(F.col("dataset") == dataset),
+        max_categorical_queries,
+        max_numeric_queries,
+        max_date_queries,
+    )
     return found.get(dataset, RunConfig(dataset))
 
 

@@ -95,7 +95,8 @@ def verify(df: DataFrame, result, recounted: DataFrame | None = None) -> DataFra
     ``result`` is a ``RunResult``, or anything with the same tables, such as one read back from
     storage. ``recounted`` may be given where the data was recounted before.
     """
-    key_columns = list(result.config.duplicate_key_columns or Table.of(df).names)
+    reported = result.duplicates.select("key_columns").first()
+    key_columns = list((reported and reported["key_columns"]) or Table.of(df).names)
     dataset = result.config.dataset_name
     if recounted is None:
         recounted = recount(df, key_columns, dataset)

@@ -7,16 +7,16 @@ from dataclasses import dataclass, replace
 from datetime import date
 from functools import partial
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.functions.grading import check_limit
+from plumbline.functions.grading import check_limit, check_thresholds
 from plumbline.functions.parsing import TIME_TYPES, is_checkable
 from plumbline.operators import findings
 from plumbline.operators.duplicates import DuplicateGroups
 from plumbline.operators.missing import plan_missing, summarize_missing
-from plumbline.operators.profile import plan_profile
+from plumbline.operators.profile import plan_profile, sample_values
 from plumbline.operators.examples import first_offenders
 from plumbline.operators.rules import (
     RULE_EXAMPLE_ROW,
@@ -36,7 +36,12 @@ from plumbline.operators.sqlcheck import (
     sql_results,
     summarize_sql,
 )
-from plumbline.operators.suggest import describe_table, suggest_config, suggestion_notes
+from plumbline.operators.suggest import (
+    describe_table,
+    is_generated,
+    suggest_config,
+    suggestion_notes,
+)
 from plumbline.operators.types import (
     TYPE_EXAMPLE_ROW,
     judged_columns,
@@ -59,6 +64,7 @@ class RunResult:
     config: RunConfig
     counts: DataFrame
     profile: DataFrame
+    samples: DataFrame
     missing: DataFrame
     missing_summary: DataFrame
     duplicates: DataFrame
@@ -92,6 +98,7 @@ class RunResult:
         identity = {
             "counts": ("overview", []),
             "profile": ("schema", ["column_name"]),
+            "samples": ("sample_values", ["column_name", "sample_rank"]),
             "missing_summary": ("missing_values", []),
             "missing": ("missing_by_column", ["column_name"]),
             "duplicates": ("duplicates", []),
@@ -129,28 +136,40 @@ def run_checks(
     reference_date: date | None = None,
     max_examples: int = 10,
     max_groups: int = 10,
+    max_rows: int = 50,
+    date_formats: tuple[str, ...] = (),
+    warning_threshold: float = 1.0,
+    high_threshold: float = 5.0,
+    missing_thresholds: tuple[float, float] = (5.0, 20.0),
 ) -> RunResult:
     """Run every configured check.
 
     One pass answers profile, missing values, types, rules and the suggested ranges; duplicates,
     examples and every other query take one job each. Their results are small and are kept, so
     score, log and report only read those. ``row_id`` names the columns by which examples are
-    ordered and labelled, by default the duplicate key.
+    ordered and labelled, by default the duplicate key. ``date_formats`` are read besides ISO dates,
+    ``max_rows`` bounds the rows kept of a query's result. The thresholds are percentages from which
+    duplicates, invalid values and violations are a warning or high, and those of missing values.
     """
     config = config or RunConfig()
     check_limit("max_examples", max_examples)
     check_limit("max_groups", max_groups)
+    check_limit("max_rows", max_rows)
+    check_thresholds(warning_threshold, high_threshold)
+    thresholds = (warning_threshold, high_threshold)
     reference_date = reference_date or date.today()
     row_id = list(config.duplicate_key_columns or ()) if row_id is None else list(row_id)
     dataset = config.dataset_name
     table = Table.of(df)
 
     scan = Scan(table, dataset)
-    parts = {"profile": plan_profile(scan), "missing": plan_missing(scan)}
+    parts = {"profile": plan_profile(scan), "missing": plan_missing(scan, *missing_thresholds)}
     if config.expected_schema:
-        parts["types"] = plan_types(scan, config.expected_schema)
+        parts["types"] = plan_types(scan, config.expected_schema, *thresholds, date_formats)
     if config.business_rules:
-        parts["rules"] = plan_rules(scan, config.business_rules, reference_date=reference_date)
+        parts["rules"] = plan_rules(
+            scan, config.business_rules, *thresholds, reference_date, date_formats
+        )
     numbers, days = _ranges_in_scan(table, config.sql_queries)
     parts["numbers"] = plan_numeric_summary(scan, numbers)
     parts["days"] = plan_date_range(scan, days)
@@ -163,28 +182,35 @@ def run_checks(
         groups.keep()
         return groups
 
-    one_row, groups = side_by_side(
-        df.sparkSession, [lambda: settle(scan.row(**parts)), group_keys]
+    one_row, groups, samples = side_by_side(
+        df.sparkSession,
+        [
+            lambda: settle(scan.row(**parts)),
+            group_keys,
+            lambda: settle(sample_values(df, dataset)),
+        ],
     )
-    counted = one_row.first()
+    counted = one_row.withColumns({part: _as_texts(one_row, part) for part in ("numbers", "days")}).first()
 
     def describe_duplicates() -> DataFrame:
-        found = settle(
-            groups.summary(1.0, 5.0, counted["row_count"]).unionByName(
-                groups.largest(max_groups), allowMissingColumns=True
+        try:
+            return settle(
+                groups.summary(*thresholds, counted["row_count"]).unionByName(
+                    groups.largest(max_groups), allowMissingColumns=True
+                )
             )
-        )
-        groups.release()
-        return found
+        finally:
+            groups.release()
 
     duplicates, (type_samples, rule_samples), results = side_by_side(
         df.sparkSession,
         [
             describe_duplicates,
             partial(
-                _find_examples, table, config, counted, row_id, reference_date, max_examples
+                _find_examples, table, config, counted, row_id, reference_date, max_examples,
+                date_formats,
             ),
-            partial(_answer_queries, df, config.sql_queries, counted),
+            partial(_answer_queries, df, config.sql_queries, counted, max_rows),
         ],
     )
 
@@ -192,6 +218,7 @@ def run_checks(
     tables = {
         "counts": counts,
         "profile": one_row.select("dataset", F.inline("profile")),
+        "samples": samples,
         "missing": one_row.select("dataset", F.inline("missing")),
         "missing_summary": summarize_missing(one_row),
         "duplicates": duplicates.filter("scope IS NOT NULL").drop(
@@ -279,11 +306,21 @@ def auto_run(
     dataset_name: str = "dataset",
     row_id: Sequence[str] | None = None,
     reference_date: date | None = None,
+    max_categorical_queries: int | None = 3,
+    max_numeric_queries: int | None = 3,
+    max_date_queries: int | None = 2,
+    **options,
 ) -> AutoRun:
-    """Describe the table, take all suggested checks, run and verify them."""
+    """Describe the table, take all suggested checks, run and verify them.
+
+    The numbers of suggested queries are those of ``suggest_queries``, None for all columns;
+    ``options`` are those of ``run_checks``.
+    """
     columns = settle(describe_table(df, dataset_name))
-    config = suggest_config(columns, dataset_name)
-    result = run_checks(df, config, row_id=row_id, reference_date=reference_date)
+    config = suggest_config(
+        columns, dataset_name, max_categorical_queries, max_numeric_queries, max_date_queries
+    )
+    result = run_checks(df, config, row_id=row_id, reference_date=reference_date, **options)
     return AutoRun(columns, config, suggestion_notes(config), verify_run(df, result))
 
 
@@ -294,6 +331,8 @@ def _ranges_in_scan(table: Table, queries: Sequence[SqlQuery]) -> tuple[list[str
         if query.column_name not in table.names:
             continue
         kind = table.kind(query.column_name)
+        if not is_generated(query, kind):
+            continue
         if query.kind == "numeric_summary" and (
             isinstance(kind, (T.StringType, T.NumericType, T.BooleanType)) and is_checkable(kind)
         ):
@@ -310,6 +349,7 @@ def _find_examples(
     row_id: Sequence[str],
     reference_date: date,
     max_examples: int,
+    date_formats: tuple[str, ...],
 ) -> tuple[DataFrame, DataFrame]:
     """Examples of invalid values and of rule violations, in one pass over the table.
 
@@ -328,14 +368,15 @@ def _find_examples(
         rule for rule, count in zip(config.business_rules, violations, strict=True) if count
     ]
     scan = Scan(table, dataset)
-    offences = type_offences(scan, schema) + rule_offences(scan, rules, reference_date)
+    offences = type_offences(scan, schema, date_formats) + rule_offences(
+        scan, rules, reference_date, date_formats
+    )
     if not offences or max_examples == 0:
         return (
             spark.createDataFrame([], TYPE_EXAMPLE_ROW),
             spark.createDataFrame([], RULE_EXAMPLE_ROW),
         )
-    offender_count = sum(invalid.values()) + sum(violations)
-    found = settle(first_offenders(scan, offences, row_id, max_examples, offender_count))
+    found = settle(first_offenders(scan, offences, row_id, max_examples))
     of_types = found.filter(F.col("item") < len(schema))
     of_rules = found.filter(F.col("item") >= len(schema))
     of_rules = of_rules.withColumn("item", F.col("item") - len(schema))
@@ -345,30 +386,43 @@ def _find_examples(
     )
 
 
+def _as_texts(one_row: DataFrame, part: str) -> Column:
+    """The summaries of the shared pass with all values as the text Spark prints."""
+    names = one_row.schema[part].dataType.elementType.names
+    return F.transform(
+        part, lambda row: F.struct(*[row[name].cast("string").alias(name) for name in names])
+    )
+
+
 def _answer_queries(
-    df: DataFrame, queries: Sequence[SqlQuery], counted: Row
+    df: DataFrame, queries: Sequence[SqlQuery], counted: Row, max_rows: int
 ) -> list[SqlResult]:
-    """Results in the order of the queries; suggested summaries come from the shared pass."""
-    answers = {("total_rows", None): {"row_count": counted["row_count"]}}
+    """Results in the order of the queries; the shared pass answers those it generated itself."""
+    answers = {("total_rows", None): {"row_count": str(counted["row_count"])}}
+    kinds = dict(zip(df.columns, [field.dataType for field in df.schema.fields], strict=True))
     for kind, rows in (("numeric_summary", counted["numbers"]), ("date_range", counted["days"])):
         for row in rows:
             values = row.asDict()
             answers[kind, values.pop("column_name")] = values
 
     def known(query: SqlQuery) -> SqlResult | None:
-        if query.kind is None or (query.kind, query.column_name) not in answers:
+        if (query.kind, query.column_name) not in answers or not max_rows:
+            return None
+        if not is_generated(query, kinds.get(query.column_name)):
             return None
         values = answers[query.kind, query.column_name]
         try:
             check_read_only(query.sql)
         except ValueError as error:
             return SqlResult(query.query_name, query.sql, "failed", error_message=str(error))
-        shown = {n: "" if v is None else str(v) for n, v in values.items()}
+        shown = {n: "" if v is None else v for n, v in values.items()}
         return SqlResult(query.query_name, query.sql, "passed", 1, list(values), [shown])
 
     from_scan = [known(query) for query in queries]
     others = run_queries(
-        df, [q for q, answer in zip(queries, from_scan, strict=True) if answer is None]
+        df,
+        [q for q, answer in zip(queries, from_scan, strict=True) if answer is None],
+        max_rows=max_rows,
     )
     remaining = iter(others)
     return [next(remaining) if answer is None else answer for answer in from_scan]

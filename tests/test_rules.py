@@ -17,10 +17,13 @@ def texts(spark, *values):
 
 
 def test_clean_table(spark):
-    df = spark.createDataFrame([(1, 29, "FR", 10.0, "2024-01-15")], "id int, age int, c string, v double, d string")
+    df = spark.createDataFrame(
+        [("p-7", 6.5, "oak", 220, "2019-11-30"), ("p-8", 7.0, "elm", 3, "2025-12-31")],
+        "plank string, width double, wood string, length int, cut_on string",
+    )
     rules = [
-        Rule("id", "id", "not_null"), Rule("age", "age", "range", 0, 120), Rule("c", "c", "allowed_values", allowed_values=["FR"]),
-        Rule("v", "v", "positive"), Rule("d", "d", "not_future_date"),
+        Rule("plank", "plank", "not_null"), Rule("width", "width", "range", 6, 7), Rule("wood", "wood", "allowed_values", allowed_values=["elm", "oak"]),
+        Rule("length", "length", "positive"), Rule("cut", "cut_on", "not_future_date"),
     ]
     found = one(rule_summary(df, rules, reference_date=DAY))
     assert (found.status, found.rules_checked, found.rules_with_violations, found.total_violations) == ("passed", 5, 0, 0)
@@ -34,17 +37,25 @@ def test_not_null(spark):
 
 
 def test_range(spark):
-    df = texts(spark, "29", "-1", "121", "unknown", None, " 120 ")
-    assert count(df, Rule("r", "x", "range", 0, 120)) == 3
-    assert count(df, Rule("r", "x", "range", min_value=0)) == 2
-    assert count(df, Rule("r", "x", "range", max_value=120)) == 2
-    assert count(df, Rule("r", "x", "range", 0, 120, allow_null=False)) == 4
+    # Below, at both ends, above, no number at all, and missing.
+    df = texts(spark, "3.99", "4", "\t8.25 ", "8.26", "1e3", "wide", None, None)
+    assert count(df, Rule("r", "x", "range", 4, 8.25)) == 4
+    assert count(df, Rule("r", "x", "range", min_value=4)) == 2
+    assert count(df, Rule("r", "x", "range", max_value=8.25)) == 3
+    assert count(df, Rule("r", "x", "range", 4, 8.25, allow_null=False)) == 6
+
+
+def test_messages_show_the_bounds_exactly(spark):
+    df = texts(spark, "-1")
+    for low, high, text in ((1234567.5, 99999999, "from 1234567.5 to 99999999"), (0.1, 1e16, "from 0.1 to 10000000000000000")):
+        found = one(rule_examples(df, [Rule("r", "x", "range", low, high)], ["row"], reference_date=DAY))
+        assert text in found.message
 
 
 def test_signs(spark):
-    df = texts(spark, "1", "0", "-1", "x", None)
-    assert count(df, Rule("r", "x", "positive")) == 3
-    assert count(df, Rule("r", "x", "non_negative")) == 2
+    df = texts(spark, "0.5", "-0.0", "0", "-7", "-1e-9", "much", None)
+    assert count(df, Rule("r", "x", "positive")) == 5
+    assert count(df, Rule("r", "x", "non_negative")) == 3
 
 
 def test_allowed_values_are_trimmed_and_case_sensitive(spark):
@@ -62,8 +73,8 @@ def test_future_dates(spark):
 
 
 def test_nulls_disallowed(spark):
-    df = spark.createDataFrame([(29,), (None,), (41,)], "age int")
-    assert count(df, Rule("r", "age", "range", 0, 120, allow_null=False)) == 1
+    df = spark.createDataFrame([(None,), (7,), (None,), (90,), (8,)], "floor int")
+    assert count(df, Rule("r", "floor", "range", -2, 60, allow_null=False)) == 3
 
 
 def test_all_missing_column(spark):

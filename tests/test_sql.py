@@ -16,7 +16,7 @@ from plumbline.operators.sqlcheck import (
 )
 
 ALLOWED = [
-    "SELECT 1", "  select * from dataset ;", "WITH a AS (SELECT 1 AS x) SELECT x FROM a", "select(1)",
+    "\n\tSELECT 1\n", "\u00a0with a as (select 1 as x) select x from a", "SELECT 1", "  select * from dataset ;", "WITH a AS (SELECT 1 AS x) SELECT x FROM a", "select(1)",
 ]
 REFUSED = [
     "", " ; ", "DELETE FROM dataset", "selectx FROM dataset", "/* hi */ SELECT 1", "SELECT 1; DROP TABLE dataset",
@@ -27,8 +27,10 @@ REFUSED = [
 
 @pytest.fixture(scope="module")
 def sales(spark):
+    """Bottles filled by a mill."""
     return spark.createDataFrame(
-        [("FR", 10, None), ("MA", 5, 1.5), ("FR", 20, float("nan"))], "country string, amount int, x double"
+        [("rye", 7, 0.25), ("oat", 40, None), ("rye", 8, float("nan")), ("oat", 2, float("nan"))],
+        "grain string, bottles int, x double",
     )
 
 
@@ -47,16 +49,15 @@ def test_other_queries_are_refused(spark, sql):
 
 
 def test_grouped_sum(sales):
-    [found] = run_queries(
-        sales, [SqlQuery("q", "SELECT country, COUNT(*) AS n, SUM(amount) AS total FROM dataset GROUP BY country ORDER BY total DESC")]
-    )
-    assert (found.status, found.row_count, found.columns) == ("passed", 2, ["country", "n", "total"])
-    assert found.rows == [{"country": "FR", "n": "2", "total": "30"}, {"country": "MA", "n": "1", "total": "5"}]
+    query = "SELECT grain, SUM(bottles) AS filled, COUNT(*) AS fills FROM dataset GROUP BY grain ORDER BY filled"
+    [found] = run_queries(sales, [SqlQuery("q", query)])
+    assert (found.status, found.row_count, found.columns) == ("passed", 2, ["grain", "filled", "fills"])
+    assert found.rows == [{"grain": "rye", "filled": "15", "fills": "2"}, {"grain": "oat", "filled": "42", "fills": "2"}]
 
 
 def test_missing_values_become_empty_text(sales):
-    [found] = run_queries(sales, [SqlQuery("q", "SELECT x, array(amount) AS a FROM dataset ORDER BY amount")])
-    assert found.rows == [{"x": "1.5", "a": "[5]"}, {"x": "", "a": "[10]"}, {"x": "", "a": "[20]"}]
+    [found] = run_queries(sales, [SqlQuery("q", "SELECT x, array(bottles) AS a FROM dataset ORDER BY bottles")])
+    assert found.rows == [{"x": "", "a": "[2]"}, {"x": "0.25", "a": "[7]"}, {"x": "", "a": "[8]"}, {"x": "", "a": "[40]"}]
 
 
 def test_preview_is_limited_and_all_rows_are_counted(spark):
@@ -72,10 +73,10 @@ def test_preview_is_limited_and_all_rows_are_counted(spark):
 
 
 def test_batch(spark, sales):
-    good = SqlQuery("good", "SELECT COUNT(DISTINCT country) AS n FROM dataset")
+    good = SqlQuery("good", "SELECT COUNT(DISTINCT grain) AS n FROM dataset")
     failing = [
         SqlQuery("column", "SELECT nope FROM dataset"),
-        SqlQuery("runtime", "SELECT CAST(country AS int) AS x FROM dataset"),
+        SqlQuery("runtime", "SELECT CAST(grain AS int) AS x FROM dataset"),
         SqlQuery("write", "DROP TABLE dataset"),
         SqlQuery("two", "SELECT 1; SELECT 2"),
     ]
@@ -118,8 +119,8 @@ def test_nothing_else_can_be_read(spark, sales, tmp_path):
 
 def test_lazy_result_outlives_its_session(sales):
     with sql_session(sales) as session:
-        found = query_dataset(session, "SELECT country FROM dataset")
-    assert found.count() == 3
+        found = query_dataset(session, "SELECT grain FROM dataset")
+    assert found.count() == 4
 
 
 def test_generated_summaries(spark):
@@ -131,3 +132,26 @@ def test_generated_summaries(spark):
     assert [tuple(r) for r in value_distribution(df, "n").collect()][0] == (None, 1)
     with pytest.raises(ValueError):
         value_distribution(df, "nope")
+
+
+def test_settings_of_the_caller_hold_inside(spark, sales):
+    spark.conf.set("spark.sql.caseSensitive", "true")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        with sql_session(sales) as session:
+            assert session.conf.get("spark.sql.caseSensitive") == "true"
+            assert session.conf.get("spark.sql.autoBroadcastJoinThreshold") == "-1"
+            assert session.conf.get("spark.sql.runSQLOnFiles") == "false"
+    finally:
+        spark.conf.unset("spark.sql.caseSensitive")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_a_large_result_is_computed_once(spark, sales):
+    """Count and rows shown are of one execution."""
+    runs = spark.sparkContext.accumulator(0)
+    seen = F.udf(lambda n: runs.add(1) or n, "bigint")
+    df = spark.range(200).repartition(2).select(seen("id").alias("n"))
+    [found] = run_queries(df, [SqlQuery("q", "SELECT n FROM dataset")], max_rows=3)
+    assert (found.row_count, len(found.rows)) == (200, 3)
+    assert runs.value == 200

@@ -131,3 +131,11 @@ def test_many_tables_at_once(spark):
     assert suggest_config(columns, "three") == RunConfig("three")
     assert suggestion_notes(configs["two"])[0] == "no key found, whole rows are compared"
     assert suggestion_notes(configs["one"])[0] == "key: user_id"
+
+
+def test_boolean_words_are_looked_for_in_all_values(spark):
+    """The five smallest are all words for a boolean, one further value is none."""
+    words = ["0", "1", "N", "NO", "Y", "yes", "zebra"]
+    df = spark.createDataFrame([(w, w if w != "zebra" else None) for w in words], "mark string, vote string")
+    found = {r.column_name: r.expected_type for r in suggest_types(describe_table(df)).collect()}
+    assert found == {"mark": "string", "vote": "boolean"}
