@@ -26,6 +26,7 @@ columns are ignored.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -66,49 +67,52 @@ _ARROW = pa.schema(
 )
 
 
+_COUNTS = np.array([*[count for count, _ in FIELDS], 0, 1], dtype=np.uint8)
+
+
 def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """64-bit words, and the number of ids before each block of BLOCK words."""
     ids = np.ascontiguousarray(ids, dtype=np.uint64)
     n = len(ids)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    # The widest id among the next 1, 2, 4, ... ids, from which any run's widest is the larger of two.
-    spans = [ids]
+    # The bits that an id takes; one too many near powers beyond 2 ** 53, which is harmless.
+    bits = np.frexp(ids.astype(np.float64))[1].astype(np.uint8)
+    # The widest of the next 1, 2, 4, ... ids, from which any run's widest is the larger of two.
+    spans = [bits]
     while 2 << (len(spans) - 1) <= min(n, FIELDS[0][0]):
         step, last = 1 << (len(spans) - 1), spans[-1]
         spans.append(np.maximum(last[: len(last) - step], last[step:]))
-    selector = np.full(n, ESCAPE, dtype=np.int64)
-    taken = np.ones(n, dtype=np.int64)
+    selector = np.full(n, ESCAPE, dtype=np.uint8)
     for number in range(len(FIELDS) - 1, -1, -1):  # a denser selector overrules
-        count, bits = FIELDS[number]
+        count, width = FIELDS[number]
         if count > n:
             break
         level = count.bit_length() - 1
         span, offset = spans[level], count - (1 << level)
         widest = np.maximum(span[: n - count + 1], span[offset : offset + n - count + 1])
-        fits = np.flatnonzero(widest < np.uint64(1 << bits))
-        selector[fits], taken[fits] = number, count
-    following = (np.arange(n) + taken).tolist()
+        np.copyto(selector[: n - count + 1], number, where=widest <= width)
+    taken = _COUNTS[selector].tobytes()
     starts, at = [], 0
     while at < n:
         starts.append(at)
-        at = following[at]
+        at += taken[at]
     start = np.array(starts, dtype=np.int64)
     chosen = selector[start]
     # An escape takes two words and may not be cut by the end of a block.
     place = _places(chosen == ESCAPE)
     size = int(place[-1]) + (2 if chosen[-1] == ESCAPE else 1)
     words = np.full(size, len(FIELDS), dtype=np.uint64)  # selector 14: no ids
-    for number in np.unique(chosen):
+    for number in np.unique(chosen).tolist():
         mine = np.flatnonzero(chosen == number)
         if number == ESCAPE:
             words[place[mine]] = ESCAPE
             words[place[mine] + 1] = ids[start[mine]]
             continue
-        count, bits = FIELDS[number]
+        count, width = FIELDS[number]
         packed = np.full(len(mine), number, dtype=np.uint64)
         for field in range(count):
-            packed |= ids[start[mine] + field] << np.uint64(4 + field * bits)
+            packed |= ids[start[mine] + field] << np.uint64(4 + field * width)
         words[place[mine]] = packed
     first = np.searchsorted(place, np.arange(0, size, BLOCK))
     return words, start[np.minimum(first, len(start) - 1)]
@@ -130,13 +134,13 @@ def _places(escaped: np.ndarray) -> np.ndarray:
 def decode(words: np.ndarray) -> np.ndarray:
     """The ids of whole blocks, from their first word on."""
     words = np.ascontiguousarray(words, dtype=np.uint64)
-    kind = (words & np.uint64(15)).astype(np.int64)
+    kind = (words & np.uint64(15)).astype(np.uint8)
     raw = np.zeros(len(words), dtype=bool)
     # A raw word follows an escape; what looks like an escape within a raw word is none.
     for at in np.flatnonzero(kind == ESCAPE).tolist():
         if not raw[at]:
             raw[at + 1] = True
-    counts = np.array([*[count for count, _ in FIELDS], 0, 1], dtype=np.int64)[kind]
+    counts = _COUNTS[kind].astype(np.int64)
     counts[raw] = 0
     starts = np.cumsum(counts) - counts
     out = np.zeros(int(counts.sum()), dtype=np.uint64)
@@ -164,16 +168,23 @@ def read_ids(words: bytes, block_starts: bytes, first: int, end: int) -> np.ndar
 #: By vocabulary file, for all tasks of a Python worker.
 _KNOWN: dict[str, dict[bytes, bytes]] = {}
 _TOKENIZERS: dict[str, object] = {}
-#: Words that a Python worker remembers; then it starts over.
-REMEMBERED = 600_000
+#: Words that a Python worker remembers (some 200 bytes each); then it starts over.
+REMEMBERED = 1_000_000
+#: Texts tokenized at a time.
+TEXTS = 256
+
+#: A lower-cased letter may join what follows in a composed character that its capital doesn't have;
+#: such texts, and those with special tokens, aren't lower-cased beforehand.
+_DELICATE = re.compile(rb"[A-Z][\x80-\xff]|<\|")
+_STOPS = (b".", b",")
 
 
 class WordTokenizer:
-    """Tokenizes texts word by word for a vocabulary that drops white space.
+    """Tokenizes texts word by word for a lower-case vocabulary that drops white space.
 
     Words repeat, and a word's ids don't depend on its neighbours: the normalizer and the splitter of
-    such a vocabulary see no further than the white space. Each distinct word is encoded once by the
-    library, and remembered.
+    such a vocabulary see no further than the white space. Each distinct word is encoded by the
+    library when it first comes, and remembered.
     """
 
     def __init__(self, path: str) -> None:
@@ -184,44 +195,61 @@ class WordTokenizer:
             _TOKENIZERS[path] = Tokenizer.from_file(path)
         self.tokenizer = _TOKENIZERS[path]
         self.known = _KNOWN.setdefault(path, {})
+        names = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
+        self.ends[[number for name, number in names.items() if name.endswith("</w>")]] = True
 
     def encode_batch(self, texts: Iterable[bytes]) -> list[bytes]:
         """The ids of each text in UTF-8 as little-endian 32-bit integers."""
-        split = [text.split() for text in texts]
+        split = [self._words(text) for text in texts]
+        found = [list(map(self.known.get, words)) for words in split]
+        self._learn({w for words, ids in zip(split, found) if None in ids
+                     for w, i in zip(words, ids) if i is None})
         known = self.known
-        new = {word for words in split for word in words if word not in known}
-        if len(known) + len(new) > REMEMBERED:
+        out = [
+            b"".join([known[w] if i is None else i for w, i in zip(words, ids)] if None in ids else ids)
+            for words, ids in zip(split, found)
+        ]
+        if len(known) > REMEMBERED:
             known.clear()
-            new = {word for words in split for word in words}
-        self._learn(new)
-        return [b"".join(map(known.__getitem__, words)) for words in split]
+        return out
+
+    @staticmethod
+    def _words(text: bytes) -> list[bytes]:
+        if (not text.isascii() or b"<|" in text) and _DELICATE.search(text):
+            return text.split()
+        return text.lower().split()
 
     def _learn(self, words: set[bytes]) -> None:
-        # An ASCII word may be lower-cased first, as the vocabulary is lower-case, and what follows its
-        # last letter and is no apostrophe is split from it anyway. Special tokens are left alone.
-        bare: dict[bytes, tuple[bytes, bytes]] = {}
+        plain, other, ended = set(), [], []
         for word in words:
-            low, core = word, word
-            if word.isascii() and b"<|" not in word:
-                low = word.lower()
-                core = low.rstrip(_TAIL)
-            bare[word] = (core, low[len(core) :]) if core[-1:].isalpha() else (low, b"")
-        pieces = {piece for pair in bare.values() for piece in pair if piece}
-        unknown = list(pieces - self.known.keys())
-        encoded = self.tokenizer.encode_batch(
-            [piece.decode() for piece in unknown], add_special_tokens=False
-        )
-        for piece, code in zip(unknown, encoded, strict=True):
-            self.known[piece] = np.array(code.ids, dtype="<u4").tobytes()
-        for word, (core, tail) in bare.items():
-            if tail:
-                self.known[word] = self.known[core] + self.known[tail]
+            # After a letter a comma or full stop, alone, is a token run of its own.
+            if word[-1:] in _STOPS and word[-2:-1].isalpha():
+                ended.append(word)
+                word = word[:-1]
+                if word in self.known:
+                    continue
+            text = word.decode()
+            if text.isalpha():
+                plain.add(text)
             else:
-                self.known[word] = self.known[core]
-
-
-#: ASCII signs that can end a word: none joins the letter before it, and no contraction has them.
-_TAIL = b"!#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+                other.append(text)
+        other += [stop.decode() for stop in _STOPS if stop not in self.known]
+        # A word of letters is one piece, whose last id ends a word: many words take one call.
+        if plain:
+            ids = np.array(self.tokenizer.encode(" ".join(plain), add_special_tokens=False).ids, dtype="<u4")
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) == len(plain):
+                raw, first = ids.tobytes(), 0
+                for text, end in zip(plain, (4 * ends).tolist()):
+                    self.known[text.encode()] = raw[first:end]
+                    first = end
+            else:  # another kind of vocabulary
+                other += plain
+        for text, code in zip(other, self.tokenizer.encode_batch(other, add_special_tokens=False)):
+            self.known[text.encode()] = np.array(code.ids, dtype="<u4").tobytes()
+        for word in ended:
+            self.known[word] = self.known[word[:-1]] + self.known[word[-1:]]
 
 
 def write_tokens(
@@ -264,15 +292,16 @@ def write_tokens(
             return pa.RecordBatch.from_pylist([row], schema=_ARROW)
 
         for batch in batches:
-            texts = batch.column("text").cast(pa.binary()).to_pylist()
-            for name, ids in zip(batch.column("doc_id").to_pylist(), tokenizer.encode_batch(texts)):
-                names.append(name)
-                held.append(ids + ending)
-                size += len(ids) // 4 + 1
-                if size >= segment_ids:
-                    yield flush()
-                    segment, size = segment + 1, 0
-                    names, held = [], []
+            for some in (batch.slice(i, TEXTS) for i in range(0, batch.num_rows, TEXTS)):
+                texts = some.column("text").cast(pa.binary()).to_pylist()
+                for name, ids in zip(some.column("doc_id").to_pylist(), tokenizer.encode_batch(texts)):
+                    names.append(name)
+                    held.append(ids + ending)
+                    size += len(ids) // 4 + 1
+                    if size >= segment_ids:
+                        yield flush()
+                        segment, size = segment + 1, 0
+                        names, held = [], []
         if held:
             yield flush()
 
