@@ -64,7 +64,7 @@ class PerfectHash:
 
     @staticmethod
     def _place(high: np.ndarray, low: np.ndarray, level: int, size: int) -> np.ndarray:
-        seed = np.uint64(level + 1) * _STEP
+        seed = np.uint64((level + 1) * int(_STEP) & (1 << 64) - 1)
         return (mixed(mixed(high ^ seed) + low) % np.uint64(size)).astype(np.int64)
 
     @classmethod
