@@ -252,11 +252,8 @@ def mix_documents(
     A document comes once for each pass in which all its blocks are drawn, whole and unchanged. Where
     only some of its blocks are drawn, the row holds their words, joined by single spaces.
     """
-    row = "row_"
-    while row in docs.columns:
-        row += "_"
-    kept = saved(docs.withColumn(row, F.monotonically_increasing_id()), "mixed")
-    sizes = measure(kept, row)
+    kept = saved(numbered(docs, F.struct(*docs.columns).alias("doc")), "mixed")
+    sizes = measure(kept.select("row", "doc.doc_id", "doc.text", "doc.source"), "row")
     plan = plan_sources(sizes, block_words)
     draws = draw(sizes, plan, block_words, shard_blocks, seed)
     # A document's blocks are few, and their numbers are all that is gathered.
@@ -265,17 +262,15 @@ def mix_documents(
         F.max("size").alias("draw_size"),
         F.sort_array(F.collect_list(F.struct("block", "taken"))).alias("draw_blocks"),
     )
-    words = F.regexp_extract_all(F.coalesce(F.col("text"), F.lit("")), F.lit(SPACED_WORD), F.lit(0))
+    whole = F.col("doc.text")
+    words = F.regexp_extract_all(F.coalesce(whole, F.lit("")), F.lit(SPACED_WORD), F.lit(0))
     pieces = F.transform(
         F.col("draw_blocks"),
         lambda b: F.array_join(
             F.slice(words, (b["block"] * block_words + 1).cast("int"), b["taken"].cast("int")), " "
         ),
     )
-    text = F.when(F.col("draw_taken") == F.col("draw_size"), F.col("text")).otherwise(
-        F.array_join(pieces, " ")
-    )
-    joined = kept.join(passes, F.col(row) == F.col("draw_row"))
-    return joined.select(
-        *[text.alias(c) if c == "text" else kept[c] for c in docs.columns]
+    text = F.when(F.col("draw_taken") == F.col("draw_size"), whole).otherwise(F.array_join(pieces, " "))
+    return kept.join(passes, F.col("row") == F.col("draw_row")).select(
+        *[text.alias(c) if c == "text" else F.col("doc")[c].alias(c) for c in docs.columns]
     )

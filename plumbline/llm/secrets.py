@@ -7,7 +7,7 @@ Base spans are the leftmost, non-overlapping matches of three patterns that are
     hex      24 or more of 0-9a-f
 
 The method adds `random` spans. Candidates are runs of 20 or more of A-Za-z0-9+/_=- with a letter and a
-digit. Each is taken for the narrowest encoding its characters allow (hex, base32, base62 or base64) and
+digit. Each is taken for the narrowest encoding its characters allow (hex, base32, base62, base64) and
 read as a sequence of that alphabet's places. Three tests ask whether the places could be uniform and
 independent: chi-squared of the counts, the number of runs above and below the alphabet's middle, and the
 correlation of neighbours. The p-value of a candidate is three times the least of the three.
@@ -50,7 +50,8 @@ ENCODINGS = (
     ("^[A-Z2-7]+$", _UPPER + "234567"),
     ("^[0-9A-Za-z]+$", _DIGITS + _UPPER + _LOWER),
     ("^[0-9A-Za-z_-]+$", "-" + _DIGITS + _UPPER + "_" + _LOWER),
-    ("", "+/" + _DIGITS + _UPPER + _LOWER),
+    ("^[0-9A-Za-z+/]+$", "+/" + _DIGITS + _UPPER + _LOWER),
+    ("", "+-/=_" + _DIGITS + _UPPER + _LOWER),
 )
 
 
