@@ -23,7 +23,6 @@ none to each other. Texts are read whole. Other columns are ignored.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,24 +32,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import mixed, run_hashes
+from plumbline.llm.sketches import hit_twice, sketch_portions
 
 WINDOW = 20
 ANCHOR = 10
 SKETCH_BITS = 27
-#: Cells of a block, which one task merges at a time.
-BLOCK_BITS = 21
 #: Words handled at a time, but for a text that is longer.
 WORDS = 1_000_000
 
 _LAST = (1 << 63) - 1
-_ROWS = (np.uint64(0), np.uint64(0x9E3779B97F4A7C15))
 _OTHER = np.uint64(0xD6E8FEB86659FD93)
 
 
-def _cells(anchors: np.ndarray, row: int, bits: int) -> np.ndarray:
-    return (mixed(anchors ^ _ROWS[row]) >> np.uint64(64 - bits)).astype(np.int64)
-
-
 def _sliding(x: np.ndarray, width: int, smaller: bool) -> np.ndarray:
     """The least or largest of `width` values from each place on."""
     least = np.minimum if smaller else np.maximum
@@ -117,59 +110,6 @@ def _rows_of(docs: DataFrame) -> DataFrame:
     return docs.select(at.alias("at"), F.xxhash64(text).alias("tag"), text.alias("text"))
 
 
-def sketch(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, bits: int = SKETCH_BITS) -> np.ndarray:
-    """For each row of the sketch, a bit for each cell that was hit at least twice."""
-    block_bits = min(BLOCK_BITS, bits)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, _, texts in _portions(batches):
-            places = Portion(texts, window, anchor).anchor_places(window, anchor)
-            blocks: list[int] = []
-            packed: list[bytes] = []
-            for row in range(len(_ROWS)):
-                cells, times = np.unique(_cells(places, row, bits), return_counts=True)
-                # Distances to the cell before, and whether the cell is hit twice here already.
-                block = cells >> block_bits
-                edges = np.flatnonzero(np.diff(block, prepend=-1)).tolist()
-                for first, end in zip(edges, [*edges[1:], len(cells)]):
-                    inner = cells[first:end] & ((1 << block_bits) - 1)
-                    code = (np.diff(inner, prepend=0) << 1 | (times[first:end] > 1)).astype("<u4")
-                    blocks.append((row << (bits - block_bits)) + int(block[first]))
-                    packed.append(zlib.compress(code.view(np.uint8).reshape(-1, 4).T.tobytes(), 1))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(blocks, pa.int32()), pa.array(packed, pa.binary())], ["block", "cells"]
-            )
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for block, packed in zip(batch.column("block").to_pylist(), batch.column("cells").to_pylist()):
-                planes = np.frombuffer(zlib.decompress(packed), dtype=np.uint8).reshape(4, -1)
-                code = np.ascontiguousarray(planes.T).view("<u4").ravel()
-                cells = np.cumsum(code >> 1)
-                held = counts.setdefault(block, np.zeros(1 << block_bits, dtype=np.uint8))
-                held[cells] = np.minimum(held[cells] + 1 + (code & 1).astype(np.uint8), 2)
-        for block, held in counts.items():
-            twice = np.packbits(held > 1, bitorder="little").tobytes()
-            yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int32()), "cells": [twice]})
-
-    blocks = len(_ROWS) << (bits - block_bits)
-    sent = _rows_of(docs).mapInArrow(count, "block int, cells binary")
-    merged = sent.repartition(blocks, "block").mapInArrow(merge, "block int, cells binary")
-    out = np.zeros((blocks, (1 << block_bits) // 8), dtype=np.uint8)
-    for row in merged.toLocalIterator():
-        out[row["block"]] = np.frombuffer(row["cells"], dtype=np.uint8)
-    return out.reshape(len(_ROWS), -1)
-
-
-def _maybe_repeated(twice: np.ndarray, anchors: np.ndarray, bits: int) -> np.ndarray:
-    found = np.ones(len(anchors), dtype=bool)
-    for row in range(len(_ROWS)):
-        cell = _cells(anchors, row, bits)
-        found &= (twice[row][cell >> 3] >> (cell & 7).astype(np.uint8)) & 1 == 1
-    return found
-
-
 def repeats(
     docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, bits: int = SKETCH_BITS
 ) -> DataFrame:
@@ -177,13 +117,19 @@ def repeats(
 
     `at` is the doc_id, `tag` a hash of the text. A range of starts is two numbers, first and last.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(sketch(docs, window, anchor, bits))
+
+    def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        for _, _, texts in _portions(batches):
+            yield Portion(texts, window, anchor).anchor_places(window, anchor)
+
+    rows = _rows_of(docs)
+    shared = docs.sparkSession.sparkContext.broadcast(sketch_portions(rows, anchors, bits))
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at, tag, texts in _portions(batches):
             portion = Portion(texts, window, anchor)
             n = len(portion.anchors)
-            chosen = np.flatnonzero(portion.inside[:n] & _maybe_repeated(shared.value, portion.anchors, bits))
+            chosen = np.flatnonzero(portion.inside[:n] & hit_twice(shared.value, portion.anchors))
             if not len(chosen):
                 continue
             high = run_hashes(portion.hashes, window)[chosen]
@@ -210,7 +156,7 @@ def repeats(
                 b = np.append(a[1:], len(late)) - 1
                 yield _batch(None, None, ids[doc[a]], tags[doc[a]], start[a], start[b])
 
-    found = _rows_of(docs).mapInArrow(
+    found = rows.mapInArrow(
         look, "high bigint, low bigint, at bigint, tag bigint, first int, last int"
     )
     # A window's first of each portion; ranks are given as the rows stream by.
