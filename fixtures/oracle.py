@@ -4,8 +4,12 @@ from __future__ import annotations
 
 from fixtures.queries import BATCH, LINE_KEY, RUN_DAY, SQL
 from fixtures.tables import DIRTY, DIRTY_COLUMNS, DIRTY_RULES, DIRTY_SCHEMA
-from plumbline.functions.parsing import DATE_PATTERN, NUMBER_PATTERN
-from plumbline.functions.text import BOOLEAN_WORDS
+from plumbline.operators.suggest import TEXT_DAY
+
+# What counts as a number, a date and a boolean here, said once more and not taken from the library.
+NUMBER_PATTERN = "[-+]?([0-9]+|[0-9]+[.][0-9]*|[.][0-9]+)([eE][-+]?[0-9]+)?"
+DATE_PATTERN = "[0-9]{4}-[0-9]{2}-[0-9]{2}( [0-9]{2}:[0-9]{2}:[0-9]{2})?"
+BOOLEAN_WORDS = ("y", "yes", "true", "1", "n", "no", "false", "0")
 
 DAY = "DATE '2026-01-01'"
 
@@ -103,12 +107,12 @@ def profile_rows(dataset: str) -> str:
       {pct("null_count", "non_null_count + null_count")} AS null_percentage FROM ({counted})"""
 
 
-def sample_rows() -> str:
+def sample_rows(dataset: str = "dataset") -> str:
     parts = []
     for i, (c, kind) in enumerate(DIRTY_COLUMNS.items()):
         order = "v" if kind != "string" else "CAST(v AS VARCHAR)"
         parts.append(
-            f"SELECT * FROM (SELECT 'dataset' AS dataset, {i} AS position, '{c}' AS column_name, "
+            f"SELECT * FROM (SELECT '{dataset}' AS dataset, {i} AS position, '{c}' AS column_name, "
             f"CAST(row_number() OVER (ORDER BY {order}) AS INTEGER) AS sample_rank, "
             f"CAST(v AS VARCHAR) AS sample_value "
             f"FROM (SELECT DISTINCT {c} AS v FROM d WHERE {c} IS NOT NULL)) WHERE sample_rank <= 5"
@@ -116,6 +120,22 @@ def sample_rows() -> str:
     return union(parts)
 
 
+# Ids that a double can't tell apart, of both signs.
+LARGE_INTS_SAMPLES = """
+WITH x AS (SELECT event_id - 4611686018427387904 AS low, 4611686018427387904 + event_id AS high FROM events)
+SELECT 'dataset' AS dataset, 0 AS position, 'low' AS column_name, CAST(n AS INTEGER) AS sample_rank, CAST(low AS VARCHAR) AS sample_value
+FROM (SELECT low, row_number() OVER (ORDER BY low) AS n FROM (SELECT DISTINCT low FROM x)) WHERE n <= 5
+UNION ALL SELECT 'dataset', 1, 'high', CAST(n AS INTEGER), CAST(high AS VARCHAR)
+FROM (SELECT high, row_number() OVER (ORDER BY high) AS n FROM (SELECT DISTINCT high FROM x)) WHERE n <= 5
+"""
+
+# Values of 1e7 and more, in text with tabs; the average of whole numbers below 2 ** 53 is compared rounded.
+NUMERIC_TEXT_ROWS = """
+SELECT min(event_id + 20000000.0) AS min_value, max(event_id + 20000000.0) AS max_value,
+  round(avg(event_id + 20000000.0), 3) AS avg_value, 1 AS n FROM events
+"""
+
+
 # --- duplicates ---
 
 
@@ -299,7 +319,8 @@ AUTO_QUERIES = [
         for c in ("record_id", "event_id", "user_id")
     ],
 ]
-_DAY_SQL = f"CASE WHEN TRIM(`signup_date`) RLIKE '^(?:{DATE_PATTERN})$' THEN TRY_CAST(`signup_date` AS DATE) END"
+# The text of the query itself, which a run reports.
+_DAY_SQL = TEXT_DAY.replace("{c}", "`signup_date`")
 AUTO_QUERIES.append(
     (
         "signup_date_date_range",
@@ -571,6 +592,7 @@ def report() -> str:
         "score": score_row("SELECT * FROM components"),
         "counts": "SELECT dataset, rows AS row_count, cols AS column_count FROM facts",
         "profile": profile_rows("dirty"),
+        "samples": sample_rows("dirty"),
         "missing": missing_rows("dirty"),
         "missing_all": missing_totals("dirty"),
         "dup": duplicate_totals("dirty", "d", ["record_id"], "key_columns"),
@@ -592,6 +614,7 @@ def report() -> str:
     sections = [
         melt("counts", "overview", [], ["row_count", "column_count"]),
         melt("profile", "schema", ["column_name"], ["data_type", "non_null_count", "null_count", "null_percentage"]),
+        melt("samples", "sample_values", ["column_name", "sample_rank"], ["sample_value"]),
         melt("missing_all", "missing_values", [], ["status", "total_missing_values", "columns_checked", "columns_with_missing_values"]),
         melt("missing", "missing_by_column", ["column_name"], ["row_count", "null_count", "null_percentage", "severity"]),
         melt("dup", "duplicates", [], ["status", "scope", "key_columns", "row_count", "duplicate_row_count", "duplicate_percentage", "duplicate_group_count", "severity"]),
@@ -727,7 +750,21 @@ def oracle_sql() -> dict[str, str]:
         "preview": "SELECT * FROM events ORDER BY event_id LIMIT 20",
         "dup_key_summary": duplicate_totals("dataset", "lineitem", line_key, "key_columns"),
         "dup_key_topk": duplicate_top("dataset", "lineitem", line_key),
-        "dup_key_rows": "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, n AS duplicate_count "
+        "dup_full_row_rows": "SELECT * FROM (SELECT text, lang, source, n_chars, "
+        "count(*) OVER (PARTITION BY text, lang, source, n_chars) AS duplicate_count FROM documents) "
+        "WHERE duplicate_count > 1",
+        "profile_samples_large_ints": LARGE_INTS_SAMPLES,
+        "sql_numeric_text": NUMERIC_TEXT_ROWS,
+        "verify_multiline_sql": "SELECT 'sql_analysis' AS check_name, 'passed' AS status",
+        "csv_scan_line_breaks": "SELECT doc_id, text, lang, source, n_chars FROM documents",
+        "sql_nested_strings": "SELECT CAST(event_id AS VARCHAR) AS event_id, "
+        "'[' || CAST(user_id AS VARCHAR) || ',' || CAST(user_id + 1 AS VARCHAR) || ']' AS pair, "
+        "'{\"kind\":\"' || event_type || '\"}' AS named FROM events",
+        "run_with_date_formats": "SELECT 'shipped' AS column_name, count(*) AS non_null_count, "
+        "count(*) FILTER (WHERE l_linenumber = 7) AS invalid_count FROM lineitem",
+        "sink_two_datasets": "SELECT 'run-1' AS run_id, 'nation' AS dataset, count(*) AS row_count FROM nation "
+        "UNION ALL SELECT 'run-1', 'region', count(*) FROM region",
+        "dup_key_rows": "SELECT * EXCLUDE (n), n AS duplicate_count "
         "FROM (SELECT *, count(*) OVER (PARTITION BY l_orderkey, l_linenumber) AS n FROM lineitem) WHERE n > 1",
         "dup_full_row_summary": duplicate_totals("dataset", "documents", documents, "full_row"),
         "dup_full_row_topk": duplicate_top("dataset", "documents", documents),
@@ -771,7 +808,7 @@ def oracle_sql() -> dict[str, str]:
         + "SELECT "
         + ", ".join(
             f"coalesce(CAST({c} AS VARCHAR), '') AS {c}"
-            for c in ("event_id", "user_id", "age", "signup_date", "amount")
+            for c in ("event_id", "user_id", "age", "signup_date", "status", "amount", "is_active")
         )
         + " FROM d",
         "suggest_types": COLUMN_CTE

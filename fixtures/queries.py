@@ -171,7 +171,71 @@ def _csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
         .option("ignoreTrailingWhiteSpace", False)
         .csv(path)
     )
-    return pl.read_csv(spark, path, multi_line=False)
+    return pl.read_csv(spark, path)
+
+
+def _csv_line_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts with line breaks and quotes, in files that hold some and files that hold none."""
+    path = scratch_path(spark, "csv")
+    (
+        load(spark, sf_dir, "documents")
+        .repartition(4, F.col("text").contains("\n"))
+        .write.options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+        .csv(path)
+    )
+    types = {"doc_id": "bigint", "n_chars": "bigint"}
+    return pl.read_csv(spark, path, types=types)
+
+
+def _large_ints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edge = F.lit(2**62)
+    events = load(spark, sf_dir, "events")
+    return pl.sample_values(
+        events.select((F.col("event_id") - edge).alias("low"), (F.col("event_id") + edge).alias("high"))
+    )
+
+
+def _numeric_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a run shows for a summary from its shared pass, and what the SQL itself returns."""
+    number = F.concat(F.lit("\t"), (F.col("event_id") + 20_000_000).cast("string"), F.lit(" "))
+    df = load(spark, sf_dir, "events").select(number.alias("price"))
+    generated = [q for q in pl.suggest_config(pl.describe_table(df)).sql_queries if q.kind == "numeric_summary"]
+    both = [*generated, *[replace(q, kind=None, query_name="by_sql") for q in generated]]
+    shown = pl.run_checks(df, pl.RunConfig(sql_queries=both)).sql_rows
+    values = [F.col("row")[c].cast("double").alias(c) for c in ("min_value", "max_value", "avg_value")]
+    return (
+        shown.select(*values)
+        .withColumn("avg_value", F.round("avg_value", 3))
+        .groupBy("min_value", "max_value", "avg_value")
+        .agg((F.count(F.lit(1)) / 2).cast("int").alias("n"))
+    )
+
+
+def _multiline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = load(spark, sf_dir, "events")
+    query = pl.SqlQuery("kinds", "\n  SELECT event_type, COUNT(*) AS n\n  FROM dataset\n  GROUP BY event_type\n")
+    run = pl.verify_run(df, pl.run_checks(df, pl.RunConfig(duplicate_key_columns=["event_id"], sql_queries=[query])))
+    return run.verification.filter("check_name LIKE 'sql%'").select("check_name", "status")
+
+
+def _date_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    day = F.col("l_shipdate")
+    text = F.when(F.col("l_linenumber") == 7, "soon").when(
+        F.col("l_linenumber") % 2 == 0, F.date_format(day, "MM/dd/yyyy")
+    ).otherwise(F.date_format(day, "yyyy-MM-dd"))
+    df = load(spark, sf_dir, "lineitem").select("l_orderkey", text.alias("shipped"))
+    config = pl.RunConfig(duplicate_key_columns=["l_orderkey"], expected_schema={"shipped": "date"})
+    run = pl.run_checks(df, config, date_formats=("MM/dd/yyyy",))
+    return run.types.select("column_name", "non_null_count", "invalid_count")
+
+
+def _two_datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two tables stored under one run, one of them again on the next day."""
+    path = scratch_path(spark, "results")
+    for name, day in (("nation", 2), ("region", 2), ("nation", 3)):
+        run = pl.run_checks(load(spark, sf_dir, name), pl.RunConfig(name))
+        pl.write_result(run, path, run_id="run-1", run_date=date(2026, 1, day))
+    return pl.read_result(spark, path, "counts").select("run_id", "dataset", "row_count")
 
 
 def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -217,9 +281,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "dup_key_topk": lambda s, d: with_text(
             pl.largest_duplicate_groups(load(s, d, "lineitem"), LINE_KEY), "duplicate_key"
         ),
-        "dup_key_rows": lambda s, d: pl.duplicate_rows(load(s, d, "lineitem"), LINE_KEY).select(
-            *LINE_KEY, "l_partkey", "l_suppkey", "l_shipdate", "duplicate_count"
-        ),
+        "profile_samples_large_ints": _large_ints,
+        "dup_key_rows": lambda s, d: pl.duplicate_rows(load(s, d, "lineitem"), LINE_KEY),
+        "dup_full_row_rows": lambda s, d: pl.duplicate_rows(documents_without_id(s, d)),
         "dup_full_row_summary": lambda s, d: with_text(
             pl.check_duplicates(documents_without_id(s, d)), "key_columns"
         ),
@@ -265,8 +329,20 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "sql_batch_rows": lambda s, d: sql_result_rows(s, run_queries(dirty(s, d), BATCH[:2]))
         .select("query_name", "row_number", F.explode("row").alias("column_name", "value")),
         "sql_result_strings": lambda s, d: as_text(
-            dirty(s, d).select("event_id", "user_id", "age", "signup_date", "amount")
+            dirty(s, d).select(
+                "event_id", "user_id", "age", "signup_date", "status", "amount", "is_active"
+            )
+        ),
+        "sql_nested_strings": lambda s, d: as_text(
+            load(s, d, "events").select(
+                "event_id",
+                F.array("user_id", F.col("user_id") + 1).alias("pair"),
+                F.create_map(F.lit("kind"), "event_type").alias("named"),
+            )
         ),
+        "sql_numeric_text": _numeric_text,
+        "verify_multiline_sql": _multiline,
+        "run_with_date_formats": _date_formats,
         "suggest_types": _suggested(pl.suggest_types),
         "suggest_keys": _suggested(pl.suggest_keys),
         "suggest_rules": _suggested(lambda c: pl.suggest_rules(c).drop("description")),
@@ -289,7 +365,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "report_rows": lambda s, d: _run(s, d).result.report(),
         "report_recommendations": _part("report_recommendations"),
         "csv_scan_typed": _csv_round_trip,
+        "csv_scan_line_breaks": _csv_line_breaks,
         "sink_roundtrip": _stored,
+        "sink_two_datasets": _two_datasets,
     }
     found.update({name: _sql(name) for name in SQL})
     return found
