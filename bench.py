@@ -14,6 +14,7 @@ import time
 from pathlib import Path
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
@@ -27,7 +28,12 @@ from fixtures.tables import (  # noqa: E402
     documents_without_id,
     load,
 )
+from plumbline.operators.missing import plan_missing  # noqa: E402
+from plumbline.operators.profile import plan_profile  # noqa: E402
+from plumbline.operators.rules import plan_rules  # noqa: E402
 from plumbline.operators.sqlcheck import query_dataset  # noqa: E402
+from plumbline.operators.types import plan_types  # noqa: E402
+from plumbline.plans.table import Scan, Table  # noqa: E402
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
@@ -79,6 +85,23 @@ def one_job_per_check(df):
         check.collect()
 
 
+def fused(df):
+    """The same checks as one_job_per_check, in one pass."""
+    scan = Scan(Table.of(df))
+    scan.row(
+        profile=plan_profile(scan),
+        missing=plan_missing(scan),
+        types=plan_types(scan, DIRTY_SCHEMA),
+        rules=plan_rules(scan, DIRTY_RULES, reference_date=REFERENCE_DATE),
+    ).collect()
+
+
+def widened(df, columns):
+    """The table with its columns repeated under other names."""
+    names = [(name, i) for i in range(-(-columns // len(df.columns))) for name in df.columns]
+    return df.select(*[F.col(name).alias(f"{name}_{i}") for name, i in names[:columns]])
+
+
 def grouped_sum(orders):
     with pl.sql_session(orders) as sandbox:
         return query_dataset(sandbox, SQL["sql_grouped_sum"][1]).collect()
@@ -109,7 +132,12 @@ def main() -> None:
             messy, "dirty", ["event_id"], REFERENCE_DATE
         ).result.verification.collect(),
     }
-    compared = {"one_job_per_check_dirty": lambda: one_job_per_check(messy)}
+    wide = widened(orders, 300)
+    compared = {
+        "one_job_per_check_dirty": lambda: one_job_per_check(messy),
+        "fused_dirty": lambda: fused(messy),
+        "missing_300_columns": lambda: pl.check_missing(wide).collect(),
+    }
     seconds = {}
     for name, query in {**queries, **compared}.items():
         query()

@@ -63,6 +63,7 @@ def score_components(facts: DataFrame) -> DataFrame:
             F.lit(subject).alias("subject"),
         )
 
+    # The names of the components.
     issues = F.array(
         component(
             0, "missing_values", MISSING_POINTS, ran, F.col("total_missing_values"),

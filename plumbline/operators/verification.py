@@ -155,6 +155,7 @@ def verify(df: DataFrame, result, recounted: DataFrame | None = None) -> DataFra
         if name not in merged.columns:
             merged = merged.withColumn(name, F.lit(0).cast("long"))
 
+    # The names of the checks.
     checks = [
         _check(
             0,
