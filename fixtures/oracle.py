@@ -783,6 +783,13 @@ def oracle_sql() -> dict[str, str]:
         "rule_positive": one_rule("amount_positive"),
         "rule_non_negative": one_rule("amount_non_negative"),
         "rule_allowed_values": one_rule("status_known"),
+        "rule_allowed_values_table": f"""SELECT 'dataset' AS dataset, *, {severity("violation_percentage", 1, 5)} AS severity,
+          CASE WHEN violation_count = 0 THEN 'passed' ELSE 'failed' END AS status
+          FROM (SELECT *, {pct("violation_count", "row_count")} AS violation_percentage
+          FROM (SELECT 0 AS position, 'l_partkey_allowed' AS rule_name, 'l_partkey' AS column_name,
+            'allowed_values' AS rule_type, count(*) AS row_count,
+            {count_if("l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size < 25)")} AS violation_count
+            FROM lineitem))""",
         "rule_not_future_date": one_rule("signup_not_future"),
         "sql_total_rows": dirty + "SELECT count(*) AS row_count FROM d",
         "sql_distribution": dirty + _distribution("status"),

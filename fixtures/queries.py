@@ -312,6 +312,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "rule_positive": _rule("amount_positive"),
         "rule_non_negative": _rule("amount_non_negative"),
         "rule_allowed_values": _rule("status_known"),
+        "rule_allowed_values_table": lambda s, d: pl.check_allowed_table(
+            load(s, d, "lineitem"), "l_partkey", load(s, d, "part").filter("p_size < 25").select("p_partkey")
+        ),
         "rule_not_future_date": _rule("signup_not_future"),
         "sql_total_rows": lambda s, d: total_rows(dirty(s, d)),
         "sql_distribution": lambda s, d: value_distribution(dirty(s, d), "status"),

@@ -7,7 +7,12 @@ from plumbline.operators.duplicates import (
 )
 from plumbline.operators.missing import check_missing, missing_summary
 from plumbline.operators.profile import preview, profile_columns, sample_values
-from plumbline.operators.rules import check_rules, rule_examples, rule_summary
+from plumbline.operators.rules import (
+    check_allowed_table,
+    check_rules,
+    rule_examples,
+    rule_summary,
+)
 from plumbline.operators.scoring import score_components, score_recommendations, score_totals
 from plumbline.operators.sqlcheck import check_read_only, run_queries, sql_session
 from plumbline.operators.suggest import (
@@ -34,6 +39,7 @@ __all__ = [
     "RunResult",
     "SqlQuery",
     "auto_run",
+    "check_allowed_table",
     "check_duplicates",
     "check_missing",
     "check_read_only",

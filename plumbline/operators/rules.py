@@ -18,7 +18,7 @@ from plumbline.functions.grading import (
     graded,
 )
 from plumbline.functions.parsing import is_checkable
-from plumbline.functions.text import is_one_of, shown
+from plumbline.functions.text import is_one_of, shown, strip
 from plumbline.operators.examples import first_offenders, pick
 from plumbline.plans.config import RULE_TYPES, Rule
 from plumbline.plans.table import Scan, Table, rows_of
@@ -182,6 +182,52 @@ def check_rules(
     return result.select("dataset", F.inline("rules"))
 
 
+def check_allowed_table(
+    df: DataFrame,
+    column_name: str,
+    allowed: DataFrame,
+    allow_null: bool = True,
+    rule_name: str | None = None,
+    dataset: str = "dataset",
+    warning_threshold: float = 1.0,
+    high_threshold: float = 5.0,
+) -> DataFrame:
+    """The row of ``check_rules`` for a column whose allowed values are the first column of a table.
+
+    For lists too long to be written into a rule. Values are compared as text without surrounding
+    whitespace. Each distinct value is looked up once, so a value in many rows costs one row per task.
+    """
+    check_thresholds(warning_threshold, high_threshold)
+    table = Table.of(df)
+    table.require([column_name], "allowed values")
+    counted = table.frame.groupBy(
+        strip(table.column(column_name).cast("string")).alias("value")
+    ).agg(F.count(F.lit(1)).alias("n"))
+    known = allowed.select(strip(F.col(f"`{allowed.columns[0]}`").cast("string")).alias("value"))
+    known = known.filter("value IS NOT NULL").distinct().withColumn("known", F.lit(True))
+    bad = F.coalesce(~F.col("known"), F.lit(True))
+    if allow_null:
+        bad = bad & F.col("value").isNotNull()
+    sums = counted.join(known, "value", "left").agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("row_count"),
+        F.coalesce(F.sum(F.when(bad, F.col("n"))), F.lit(0)).alias("violation_count"),
+    )
+    row = F.struct(
+        F.lit(0).alias("position"),
+        F.lit(rule_name or f"{column_name}_allowed").alias("rule_name"),
+        F.lit(column_name).alias("column_name"),
+        F.lit("allowed_values").alias("rule_type"),
+        F.when(F.col("violation_count") == 0, "passed").otherwise("failed").alias("status"),
+        F.col("row_count"),
+        F.col("violation_count"),
+    )
+    rows = graded(
+        rows_of([row], RULE_ROW),
+        "violation_count", "row_count", "violation_percentage", warning_threshold, high_threshold,
+    )
+    return sums.select(F.lit(dataset).alias("dataset"), F.inline(rows))
+
+
 def rule_summary(
     df: DataFrame,
     rules: Sequence[Rule],

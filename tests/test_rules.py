@@ -3,7 +3,7 @@ from datetime import date
 import pytest
 from conftest import one, rows
 
-from plumbline import Rule, check_rules, rule_examples, rule_summary
+from plumbline import Rule, check_allowed_table, check_rules, rule_examples, rule_summary
 
 DAY = date(2026, 1, 1)
 
@@ -133,3 +133,15 @@ def test_summary_status(spark):
     assert (found.status, found.total_violations) == ("warning", 1)
     assert one(rule_summary(df.limit(0), [Rule("r", "x", "not_null")])).status == "passed"
     assert one(rule_summary(df, [])).status == "passed"
+
+
+def test_allowed_values_of_a_table(spark):
+    df = texts(spark, "oak", " elm\t", "fir", None, "fir", "Oak")
+    allowed = spark.createDataFrame([("elm ", 1), ("oak", 2), ("oak", 3), (None, 4)], "wood string, n int")
+    found = one(check_allowed_table(df, "x", allowed))
+    same = one(check_rules(df, [Rule("x_allowed", "x", "allowed_values", allowed_values=["oak", "elm"])]))
+    assert found == same and found.violation_count == 3
+    assert one(check_allowed_table(df, "x", allowed, allow_null=False)).violation_count == 4
+    assert one(check_allowed_table(df.limit(0), "x", allowed)).row_count == 0
+    with pytest.raises(ValueError):
+        check_allowed_table(df, "nope", allowed)
