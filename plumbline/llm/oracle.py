@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plumbline.llm import mixing
+from plumbline.llm import mixing, secrets
 
 OP3 = r"""
 WITH words AS (
@@ -36,6 +36,73 @@ SELECT words.id AS doc_id, CAST(len(w) AS BIGINT) AS n_words,
 FROM words LEFT JOIN hit ON hit.id = words.id LEFT JOIN of_doc ON of_doc.id = words.id
 """
 
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _matches(kind: int, pattern: str, good: str) -> str:
+    """A row per match: number, match and end; the gaps between matches come from splitting."""
+    return rf"""SELECT doc_id, {kind} AS kind, i, m[i] AS match,
+      list_sum(list_transform(g[1 : i], lambda x: length(x))) +
+      list_sum(list_transform(m[1 : i], lambda x: length(x))) AS stop, {good} AS good
+    FROM (SELECT doc_id, t, m, string_split_regex(t, {_quoted(pattern)}) AS g, unnest(range(1, len(m) + 1)) AS i
+      FROM (SELECT doc_id, t, regexp_extract_all(t, {_quoted(pattern)}) AS m FROM docs))"""
+
+
+def _tail(z: str) -> str:
+    return f"1 / (1 + exp(1.5976 * ({z}) + 0.07056 * ({z}) * ({z}) * ({z})))"
+
+
+def _secret_scan() -> str:
+    alphabet = " ".join(
+        f"WHEN regexp_matches(body, {_quoted(pattern)}) THEN {_quoted(letters)}"
+        for pattern, letters in secrets.ENCODINGS[:-1]
+    )
+    value = f"length(regexp_extract_all(t, {_quoted(secrets.ASSIGN)}, 2)[i]) >= {secrets.MIN_VALUE}"
+    ordinary = "regexp_matches(m[i], '[0-9]') AND regexp_matches(m[i], '[A-Za-z]')"
+    names = "[" + ", ".join(_quoted(kind) for kind in secrets.KINDS) + "]"
+    span = f"{names}[kind + 1] || ':' || start || ':' || stop"
+    return rf"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+found AS ({_matches(0, secrets.ASSIGN, value)} UNION ALL {_matches(1, secrets.ACCESS, "true")}
+  UNION ALL {_matches(2, secrets.HEX, "true")} UNION ALL {_matches(3, secrets.CANDIDATE, ordinary)}),
+tokens AS (SELECT *, CASE {alphabet} ELSE {_quoted(secrets.ENCODINGS[-1][1])} END AS letters
+  FROM (SELECT *, regexp_replace(match, '=+$', '') AS body FROM found WHERE kind = 3 AND good)),
+places AS (SELECT *, CAST(length(letters) AS DOUBLE) AS k, CAST(length(body) AS DOUBLE) AS n,
+  list_filter(list_transform(string_split(body, ''), lambda c: CAST(instr(letters, c) AS DOUBLE)), lambda v: v > 0) AS v
+  FROM tokens),
+sums AS (SELECT *, 2 / (9 * (k - 1)) AS third,
+  (list_sum(list_transform(string_split(letters, ''), lambda c: pow(n - length(replace(body, c, '')), 2))) * k / n - n)
+    / (k - 1) AS chi,
+  coalesce(list_sum(list_transform(list_zip(v[1 : len(v) - 1], v[2 : len(v)]),
+    lambda x: CASE WHEN (x[1] > k / 2) <> (x[2] > k / 2) THEN 1.0::DOUBLE ELSE 0.0 END)), 0) AS changes,
+  coalesce(list_sum(list_transform(list_zip(v[1 : len(v) - 1], v[2 : len(v)]),
+    lambda x: (x[1] - (k + 1) / 2) * (x[2] - (k + 1) / 2))), 0) AS product
+  FROM places),
+tested AS (SELECT doc_id, i, CAST(floor(log2(length(match))) AS BIGINT) AS length_class,
+  least(1.0, 3 * least({_tail("(pow(greatest(chi, 0.0), 1 / 3.0::DOUBLE) - 1 + third) / sqrt(third)")},
+    2 * {_tail("abs(changes - (n - 1) / 2) / sqrt((n - 1) / 4)")},
+    2 * {_tail("abs(product) / ((k * k - 1) / 12 * sqrt(n - 1))")})) AS p
+  FROM sums),
+steps AS (SELECT *, CAST(floor(-log10(greatest(p, 1e-{secrets.LEAST})) * {secrets.STEPS}) AS BIGINT) AS step FROM tested),
+limits AS (SELECT length_class, min(step) AS first FROM (
+    SELECT length_class, step, sum(count(*)) OVER (PARTITION BY length_class ORDER BY step DESC) AS rank,
+      sum(count(*)) OVER (PARTITION BY length_class) AS tests FROM steps GROUP BY length_class, step)
+  WHERE pow(10.0, -step / {secrets.STEPS}.0) <= {secrets.LEVEL} * rank / tests GROUP BY length_class),
+base AS (SELECT doc_id, stop - length(match) AS start, kind, stop FROM found WHERE kind < 3 AND good),
+random AS (SELECT found.doc_id, found.stop - length(found.match) AS start, 3 AS kind, found.stop
+  FROM found JOIN steps USING (doc_id, i) LEFT JOIN limits USING (length_class)
+  WHERE found.kind = 3 AND found.good AND (first IS NULL OR step < first)),
+spans AS (SELECT * FROM base UNION ALL SELECT * FROM random WHERE NOT EXISTS (
+  SELECT 1 FROM base WHERE base.doc_id = random.doc_id AND base.start <= random.start AND base.stop >= random.stop))
+SELECT docs.doc_id, count(*) FILTER (WHERE kind = 0) AS n_assign, count(*) FILTER (WHERE kind = 1) AS n_access,
+  count(*) FILTER (WHERE kind = 2) AS n_hex,
+  sha256(coalesce(string_agg({span}, ',' ORDER BY start, kind) FILTER (WHERE kind < 3), '')) AS base_sha256,
+  coalesce(string_agg({span}, ',' ORDER BY start, kind), '') AS spans
+FROM docs LEFT JOIN spans ON spans.doc_id = docs.doc_id GROUP BY docs.doc_id
+"""
+
+
 OP5 = """
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
   doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
@@ -122,6 +189,7 @@ LEFT JOIN partial ON partial.doc_id = docs.doc_id
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_benchmark_decontamination": OP3,
+        "op4_secret_scan": _secret_scan(),
         "op5_exact_dedup": OP5,
         "op6_line_dedup": OP6,
         "op7_substring_dedup": OP7,

@@ -61,10 +61,7 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.filter("spans", lambda s: s["kind"] < 3)
     return found.select(
         "doc_id",
-        *[
-            F.size(F.filter("spans", lambda s, n=n: s["kind"] == n)).cast("long").alias(f"n_{kind}")
-            for n, kind in enumerate(secrets.KINDS[:3])
-        ],
+        *[secrets.count_of("spans", kind).alias(f"n_{kind}") for kind in secrets.KINDS[:3]],
         F.sha2(secrets.as_text(base), 256).alias("base_sha256"),
         secrets.as_text(F.col("spans")).alias("spans"),
     )

@@ -200,6 +200,12 @@ def scan(docs: DataFrame, level: float = LEVEL) -> DataFrame:
     )
 
 
+def count_of(spans: Column | str, kind: str) -> Column:
+    """How many spans are of a kind."""
+    number = KINDS.index(kind)
+    return F.size(F.filter(spans, lambda s: s["kind"] == number)).cast("long")
+
+
 def as_text(spans: Column) -> Column:
     """kind:start:end, comma-joined."""
     names = F.array(*[F.lit(kind) for kind in KINDS])
