@@ -212,15 +212,34 @@ def total_rows(df: DataFrame) -> DataFrame:
 
 def value_distribution(df: DataFrame, column: str) -> DataFrame:
     """How often each value occurs, most frequent first."""
+    return _value_counts(df, column).orderBy(F.desc("row_count"), "value")
+
+
+def _value_counts(df: DataFrame, column: str) -> DataFrame:
     table = Table.of(df)
     table.require([column], "distribution")
-    return (
-        table.frame.groupBy(table.column(column).alias("value"))
-        .agg(F.count(F.lit(1)).alias("row_count"))
-        .orderBy(F.desc("row_count"), "value")
+    return table.frame.groupBy(table.column(column).alias("value")).agg(
+        F.count(F.lit(1)).alias("row_count")
     )
 
 
+def answer_distribution(df: DataFrame, query: SqlQuery, max_rows: int) -> SqlResult:
+    """The result of a suggested distribution: groups are counted once, and the first of them found
+    without sorting the others.
+    """
+    try:
+        groups = _value_counts(df, query.column_name).persist(StorageLevel.DISK_ONLY)
+        try:
+            first = groups.orderBy(F.desc("row_count"), "value").limit(max_rows)
+            shown, row_count = as_text(first).collect(), groups.count()
+        finally:
+            groups.unpersist()
+    except Exception as error:
+        return SqlResult(query.query_name, query.sql, "failed", error_message=str(error))
+    rows = [row.asDict() for row in shown]
+    return SqlResult(query.query_name, query.sql, "passed", row_count, ["value", "row_count"], rows)
+
+
 NUMERIC_ROW = "column_name string, min_value double, max_value double, avg_value double"
 DATE_ROW = "column_name string, min_date date, max_date date"
 

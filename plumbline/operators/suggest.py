@@ -215,6 +215,9 @@ TEXT_DAY = f"CASE WHEN {_STRIPPED} RLIKE '^(?:{DATE_PATTERN})$' THEN TRY_CAST({_
 OTHER_DAY = "TRY_CAST({c} AS DATE)"
 NUMBER_SUMMARY = "SELECT MIN({c}) AS min_value, MAX({c}) AS max_value, AVG({c}) AS avg_value FROM dataset"
 DAY_RANGE = "SELECT MIN({c}) AS min_date, MAX({c}) AS max_date FROM dataset"
+DISTRIBUTION = (
+    "SELECT {c} AS value, COUNT(*) AS row_count FROM dataset GROUP BY {c} ORDER BY row_count DESC, value"
+)
 TOTAL_ROWS = "SELECT COUNT(*) AS row_count FROM dataset"
 
 
@@ -252,11 +255,7 @@ def suggest_queries(
         F.array(
             query(
                 traits.is_category, 1, "distribution", "_distribution",
-                _fill(
-                    "SELECT {c} AS value, COUNT(*) AS row_count FROM dataset "
-                    "GROUP BY {c} ORDER BY row_count DESC, value",
-                    quoted,
-                ),
+                _fill(DISTRIBUTION, quoted),
                 "how often each value occurs in ",
             ),
             query(
@@ -311,6 +310,7 @@ def is_generated(query: SqlQuery, kind: T.DataType | None) -> bool:
     number, day = (TEXT_NUMBER, TEXT_DAY) if text else (OTHER_NUMBER, OTHER_DAY)
     generated = {
         "total_rows": TOTAL_ROWS,
+        "distribution": DISTRIBUTION.replace("{c}", name),
         "numeric_summary": NUMBER_SUMMARY.replace("{c}", number.replace("{c}", name)),
         "date_range": DAY_RANGE.replace("{c}", day.replace("{c}", name)),
     }

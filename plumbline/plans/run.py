@@ -28,6 +28,7 @@ from plumbline.operators.rules import (
 from plumbline.operators.scoring import score_components, score_recommendations, score_totals
 from plumbline.operators.sqlcheck import (
     SqlResult,
+    answer_distribution,
     check_read_only,
     plan_date_range,
     plan_numeric_summary,
@@ -386,6 +387,11 @@ def _find_examples(
     )
 
 
+def is_groupable(kind: T.DataType | None) -> bool:
+    """Whether values of the type are ordered, as the rows of a distribution are."""
+    return kind is not None and is_checkable(kind)
+
+
 def _as_texts(one_row: DataFrame, part: str) -> Column:
     """The summaries of the shared pass with all values as the text Spark prints."""
     names = one_row.schema[part].dataType.elementType.names
@@ -418,11 +424,16 @@ def _answer_queries(
         shown = {n: "" if v is None else v for n, v in values.items()}
         return SqlResult(query.query_name, query.sql, "passed", 1, list(values), [shown])
 
-    from_scan = [known(query) for query in queries]
-    others = run_queries(
-        df,
-        [q for q, answer in zip(queries, from_scan, strict=True) if answer is None],
-        max_rows=max_rows,
-    )
-    remaining = iter(others)
-    return [next(remaining) if answer is None else answer for answer in from_scan]
+    found = {i: answer for i, query in enumerate(queries) if (answer := known(query)) is not None}
+    spread = [
+        i for i, query in enumerate(queries)
+        if query.kind == "distribution"
+        and is_groupable(kinds.get(query.column_name))
+        and is_generated(query, kinds[query.column_name])
+    ]
+    others = [i for i in range(len(queries)) if i not in found and i not in spread]
+    jobs = [partial(answer_distribution, df, queries[i], max_rows) for i in spread]
+    jobs.append(lambda: run_queries(df, [queries[i] for i in others], max_rows=max_rows))
+    *distributions, rest = side_by_side(df.sparkSession, jobs)
+    found |= dict(zip(spread, distributions, strict=True)) | dict(zip(others, rest, strict=True))
+    return [found[i] for i in range(len(queries))]

@@ -305,6 +305,21 @@ def test_only_generated_text_is_answered_from_the_pass(small):
     assert rows(result.sql_rows, "row") == [({"row_count": "3"},)]
 
 
+def test_distributions_are_what_the_sql_returns(spark):
+    words = [f"w{i % 90}" if i % 7 else None for i in range(900)]
+    df = spark.createDataFrame([(i, w) for i, w in enumerate(words)], "id int, category string")
+    config = auto_run(df, reference_date=DAY).config
+    generated = [q for q in config.sql_queries if q.kind == "distribution"]
+    shared, alone = (
+        run_checks(df, RunConfig(sql_queries=queries))
+        for queries in (generated, [replace(q, kind=None) for q in generated])
+    )
+    compared = ("query_name", "row_number", "row")
+    assert rows(shared.sql_rows, *compared) == rows(alone.sql_rows, *compared)
+    assert rows(shared.sql_results, "row_count", "columns", "status") == rows(alone.sql_results, "row_count", "columns", "status")
+    assert shared.sql_rows.count() == 50
+
+
 def test_options_reach_the_run(small):
     run = auto_run(small, max_numeric_queries=None, max_rows=2, max_categorical_queries=0)
     names = [q.query_name for q in run.config.sql_queries]
