@@ -12,15 +12,21 @@ links connect, and of each class the document with the smallest id stays.
   probability Jaccard similarity of the multisets.
 * 32 bands of four registers make buckets. At a similarity of 0.8 the chance that two nodes share no
   bucket is below 1e-7.
-* In the first round every node is verified against one pivot only, the least node of the bucket that
-  it shares most bands with. Most links are then known, and a class is not looked at again.
-* In the second round, buckets that still hold several classes give all pairs across classes if they are
-  small. A larger one is split by the node's other bands, again and again; nodes as alike as a link
-  asks share many of those.
-
-No group is gathered in a task: pivots are minima, classes are found by passing on least labels, and
-nodes with hundreds of thousands of partners only lengthen their own lists. Verification compares the
-whole sets of runs, as 64-bit hashes.
+* In the first round every node is compared with one pivot only, the least node of the bucket that it
+  shares most bands with. Most links are then known. In the second round a node is compared with the
+  pivots of its other buckets, as far as they are in other classes.
+* What is left are buckets that hold several classes still. Their nodes meet again in buckets of eight
+  registers, and, where those are large, of twelve and sixteen. Small ones give all pairs across classes,
+  large ones a pair of each node with a random pivot. A node of which more than a fifth of the runs occur
+  in no other candidate has no link, and is left out; a count-min sketch, which never counts too few,
+  finds those.
+* Pairs whose signatures agree in less than 0.62 of the registers are no links: at a similarity of 0.8
+  that has a chance below 1e-6. All others are verified on the whole sets of runs, as 64-bit hashes.
+
+No group is gathered in a task, and no group gives all its pairs: pivots are minima, classes are found by
+passing on least labels, and the number of pairs is bounded by that of nodes. A link can be lost only if
+both its nodes are in large buckets of all widths, are never a pivot, and are linked to nothing else that
+leads from one to the other.
 
 A null or empty text has no words. Documents without words are alike only if their texts are the same;
 fewer than five words are one run of their own. Null ids count as the largest, repeated rows as copies;
@@ -37,17 +43,20 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import join_groups, mixed, run_hashes, saved
+from plumbline.llm.common import join_groups, mixed, numbered, run_hashes, saved
 from plumbline.llm.decontaminate import words_of
+from plumbline.llm.sketches import hit_twice, sketch
 
 WIDTH = 5
 SIMILARITY = 0.8
 REGISTERS = 128
 ROWS = 4
-#: Buckets of at most so many nodes give their pairs; larger ones are split by further bands.
-SMALL = 32
-#: How often a bucket is split; what agrees in so many bands and one is compared as it is.
-SPLITS = 3
+#: Buckets of at most so many nodes give their pairs; larger ones are made narrower.
+SMALL = 16
+#: Bands that are joined to a bucket's own, by distance, as it is made narrower step by step.
+NARROWER = ((1, 5), (2, 11, 17, 23), (3, 13, 19, 29))
+#: Share of the registers that have to agree for a pair to be verified.
+LIKELY = 0.62
 #: Bits of the filter that keeps texts without candidates out of the verification's shuffle.
 FILTER_BITS = 27
 FILTER_SLICES = 64
@@ -127,7 +136,10 @@ def _chunks(texts: list[str | None]) -> Iterator[tuple[int, list[list[bytes]]]]:
 
 
 def describe(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, row, node, n (distinct runs) and bands of every document; fewer words have no bands."""
+    """doc_id, row, node, n (distinct runs), bands and registers (a byte each) of every document.
+
+    Documents of fewer words than a run have neither bands nor registers.
+    """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -139,13 +151,16 @@ def describe(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                 having = np.flatnonzero(n)
                 number = np.cumsum(n > 0) - 1
                 found = signatures(run, weight, number[doc], len(having))
+                sketched = (mixed(found) & np.uint64(255)).astype(np.uint8)
                 bands = np.zeros((len(having), REGISTERS // ROWS), dtype=np.uint64)
                 bands += np.arange(REGISTERS // ROWS, dtype=np.uint64) * _STEP
                 for row in range(ROWS):
                     bands = mixed(bands + found[:, row::ROWS])
                 lists: list[list[int] | None] = [None] * len(words)
-                for at, band in zip(having.tolist(), bands.view(np.int64).tolist(), strict=True):
-                    lists[at] = band
+                short: list[bytes | None] = [None] * len(words)
+                for i, at in enumerate(having.tolist()):
+                    lists[at] = bands[i].view(np.int64).tolist()
+                    short[at] = sketched[i].tobytes()
                 keys = [
                     node_key(text, w)
                     for text, w in zip(texts[first : first + len(words)], words, strict=True)
@@ -157,12 +172,14 @@ def describe(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                         pa.array(keys, pa.binary()),
                         pa.array(n, pa.int64()),
                         pa.array(lists, pa.list_(pa.int64())),
+                        pa.array(short, pa.binary()),
                     ],
-                    ["doc_id", "row", "node", "n", "bands"],
+                    ["doc_id", "row", "node", "n", "bands", "registers"],
                 )
 
     return docs.mapInArrow(
-        read, "doc_id bigint, row bigint, node binary, n bigint, bands array<bigint>"
+        read,
+        "doc_id bigint, row bigint, node binary, n bigint, bands array<bigint>, registers binary",
     )
 
 
@@ -224,11 +241,24 @@ def _filter(nodes: DataFrame) -> np.ndarray:
     return bits
 
 
-def _verified(pairs: DataFrame, runs: DataFrame, similarity: float) -> DataFrame:
+def _verified(pairs: DataFrame, nodes: DataFrame, runs: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) whose sets of runs are as similar as asked."""
+
+    def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (
+                np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, REGISTERS)
+                for c in ("registers_a", "registers_b")
+            )
+            likely = (a == b).mean(axis=1) >= LIKELY
+            yield batch.select(["a", "b"]).filter(pa.array(likely))
+
+    a = nodes.select(F.col("node").alias("a"), F.col("registers").alias("registers_a"))
+    b = nodes.select(F.col("node").alias("b"), F.col("registers").alias("registers_b"))
+    likely = pairs.join(a, "a").join(b, "b").mapInArrow(agree, "a binary, b binary")
     a = runs.select(F.col("node").alias("a"), F.col("runs").alias("runs_a"))
     b = runs.select(F.col("node").alias("b"), F.col("runs").alias("runs_b"))
-    both = pairs.join(a, "a").join(b, "b")
+    both = saved(likely, "likely").join(a, "a").join(b, "b")
     shared = F.size(F.array_intersect("runs_a", "runs_b"))
     return both.filter(
         shared >= F.lit(similarity) * (F.size("runs_a") + F.size("runs_b") - shared) - 1e-9
@@ -292,38 +322,98 @@ def _alike_in_size(a: str, b: str, similarity: float) -> Column:
     return F.least(a, b) >= F.lit(similarity) * F.greatest(a, b) - 1e-9
 
 
-def _pairs_across(buckets: DataFrame, labels: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) of nodes that share a bucket but no class yet.
+def _with_labels(rows: DataFrame, labels: DataFrame, node: str, label: str) -> DataFrame:
+    side = labels.select(F.col("node").alias("of"), F.col("label").alias(label))
+    return rows.join(side, F.col(node) == F.col("of"), "left").drop("of").withColumn(
+        label, F.coalesce(label, node)
+    )
+
+
+def _across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs (a, b) that are in different classes."""
+    known = _with_labels(_with_labels(pairs, labels, "a", "la"), labels, "b", "lb")
+    return known.filter("la != lb").select("a", "b")
+
+
+def _held_by_several(buckets: DataFrame) -> DataFrame:
+    """size and pivot for the buckets that hold several classes, with their rows.
+
+    buckets: bucket, node, n, label, and whatever else.
+    """
+    groups = buckets.groupBy("bucket").agg(
+        F.count(F.lit(1)).alias("size"),
+        F.min("label").alias("low"),
+        F.max("label").alias("high"),
+        F.min(F.struct(F.xxhash64("bucket", "node").alias("turn"), "node", "n", "label")).alias("pivot"),
+    )
+    several = saved(groups.filter("low != high").select("bucket", "size", "pivot"), "groups")
+    total = several.agg(F.sum("size")).first()[0] or 0
+    return join_groups(buckets, several, "bucket", "size", total)
+
+
+def _without_strangers(nodes: DataFrame, runs: DataFrame, similarity: float) -> DataFrame:
+    """The nodes of whose runs enough occur in other nodes of `runs` for a link."""
+    shared = nodes.sparkSession.sparkContext.broadcast(
+        sketch(runs.select("runs"), lambda batch: batch.column("runs").flatten().to_numpy().view(np.uint64))
+    )
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("runs")
+            hashed = lists.flatten().to_numpy().view(np.uint64)
+            ends = np.cumsum([0, *map(len, lists)])
+            twice = np.concatenate([[0], np.cumsum(hit_twice(shared.value, hashed))])
+            enough = twice[ends[1:]] - twice[ends[:-1]] >= similarity * np.diff(ends) - 1e-9
+            yield batch.select(["node"]).filter(pa.array(enough))
+
+    return runs.join(nodes, "node", "left_semi").mapInArrow(judge, "node binary")
+
+
+def _narrow_pairs(open_nodes: DataFrame, labels: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) across classes of nodes that agree in eight registers or more.
 
-    buckets: bucket, node, n, and the band that was used last.
+    open_nodes: node, n, bands.
     """
-    pairs = None
-    for split in range(SPLITS + 1):
-        known = buckets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        known = saved(known, "buckets")
-        groups = known.groupBy("bucket").agg(
-            F.count(F.lit(1)).alias("size"), F.min("label").alias("low"), F.max("label").alias("high")
+    bands = REGISTERS // ROWS
+    known = saved(_with_labels(open_nodes, labels, "node", "label"), "open")
+    level = [(i, F.get("bands", F.lit(i))) for i in range(bands)]
+    narrow = F.array(
+        *[
+            F.struct(F.xxhash64(key, F.get("bands", F.lit((i + d) % bands)), F.lit(d)).alias("key"), F.lit(i).alias("i"))
+            for i, key in level
+            for d in NARROWER[0]
+        ]
+    )
+    rows = known.select("node", "n", "label", "bands", F.explode(narrow).alias("x"))
+    rows = rows.select(F.col("x.key").alias("bucket"), "node", "n", "label", F.col("x.i").alias("i"), "bands")
+    found = None
+    for step in range(len(NARROWER)):
+        light = rows.drop("bands") if step == len(NARROWER) - 1 else rows
+        held = saved(_held_by_several(light), "held")
+        small = held.filter(F.col("size") <= SMALL)
+        left = small.select("bucket", F.col("node").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
+        right = small.select("bucket", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
+        every = left.join(right, "bucket").filter(
+            (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & _alike_in_size("na", "nb", similarity)
         )
-        mixed_groups = saved(groups.filter("low != high").select("bucket", "size"), "groups")
-        held = join_groups(known, mixed_groups, "bucket", "size", known.count())
-        small = held.filter(F.col("size") <= SMALL) if split < SPLITS else held
-        left = small.select("bucket", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("label").alias("la"))
-        right = small.select("bucket", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("lb"))
-        found = left.join(right, "bucket").filter(
-            (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & _alike_in_size("n_a", "n_b", similarity)
+        large = held.filter(F.col("size") > SMALL)
+        star = large.filter(
+            (F.col("label") != F.col("pivot.label")) & _alike_in_size("n", "pivot.n", similarity)
+        ).select(
+            F.least("node", "pivot.node").alias("a"), F.greatest("node", "pivot.node").alias("b")
         )
-        found = found.select("a", "b")
-        pairs = found if pairs is None else pairs.unionByName(found)
-        if split == SPLITS:
-            break
-        if not mixed_groups.filter(F.col("size") > SMALL).limit(1).count():
+        pairs = every.select("a", "b").unionByName(star)
+        found = pairs if found is None else found.unionByName(pairs)
+        if step == len(NARROWER) - 1 or not large.limit(1).count():
             break
-        large = held.filter(F.col("size") > SMALL).select("bucket", "node", "n", "band")
-        bands = nodes.select("node", F.posexplode("bands").alias("next", "hash"))
-        buckets = large.join(bands, "node").filter("next > band").select(
-            F.xxhash64("bucket", "hash").alias("bucket"), "node", "n", F.col("next").alias("band")
+        further = F.array(
+            *[
+                F.xxhash64("bucket", F.get("bands", (F.col("i") + d) % bands), F.lit(d))
+                for d in NARROWER[step + 1]
+            ]
         )
-    return pairs.distinct()
+        rows = large.select(F.explode(further).alias("bucket"), "node", "n", "label", "i", "bands")
+    return found.distinct()
 
 
 def near_duplicates(
@@ -343,7 +433,7 @@ def near_duplicates(
     nodes = described.join(
         copies.select("node", F.col("best.row").alias("best_row")), "node"
     ).filter(F.col("row") == F.col("best_row"))
-    nodes = saved(nodes.filter("bands IS NOT NULL").select("node", "n", "bands"), "bands")
+    nodes = saved(nodes.filter("bands IS NOT NULL").select("node", "n", "bands", "registers"), "bands")
 
     buckets = nodes.select("node", "n", F.posexplode("bands").alias("band", "bucket"))
     groups = saved(
@@ -361,14 +451,24 @@ def near_duplicates(
     bands_shared = to_pivot.groupBy("node", F.col("pivot.node").alias("p")).agg(F.count(F.lit(1)).alias("c"))
     best = bands_shared.groupBy("node").agg(F.min(F.struct(-F.col("c"), F.col("p"))).alias("best"))
     runs = saved(_runs_of(docs, saved(shared.select("node").distinct(), "candidates"), width), "runs")
-    links = _verified(best.select(F.col("node").alias("a"), F.col("best.p").alias("b")), runs, similarity)
-    labels = components(links)
+    first = best.select(F.col("node").alias("a"), F.col("best.p").alias("b"))
+    labels = components(_verified(first, nodes, runs, similarity))
+
+    # Second round: its other pivots.
+    others = bands_shared.select(F.col("node").alias("a"), F.col("p").alias("b"))
+    labels = components(_verified(_across(others, labels), nodes, runs, similarity), labels)
 
-    # Second round: what still is in different classes.
-    across = _pairs_across(
-        shared.select("bucket", "node", "n", "band"), labels, nodes, similarity
+    # Third round: what shares a bucket with another class still.
+    in_buckets = _with_labels(shared.select("bucket", "node"), labels, "node", "label")
+    mixed_buckets = in_buckets.groupBy("bucket").agg(
+        F.count(F.lit(1)).alias("size"), F.min("label").alias("low"), F.max("label").alias("high")
     )
-    labels = components(_verified(across, runs, similarity), labels)
+    mixed_buckets = saved(mixed_buckets.filter("low != high").select("bucket", "size"), "groups")
+    in_mixed = join_groups(shared.select("bucket", "node"), mixed_buckets, "bucket", "size", nodes.count())
+    open_nodes = _without_strangers(in_mixed.select("node").distinct(), runs, similarity)
+    open_nodes = nodes.select("node", "n", "bands").join(open_nodes, "node")
+    narrow = _narrow_pairs(open_nodes, labels, similarity)
+    labels = components(_verified(narrow, nodes, runs, similarity), labels)
 
     of_node = copies.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     of_node = saved(of_node, "classes")
@@ -398,10 +498,7 @@ def near_duplicates(
 
 def first_of_classes(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
     """One document of each class, with the columns it came with."""
-    row = "row_"
-    while row in docs.columns:
-        row += "_"
-    kept = saved(docs.withColumn(row, F.monotonically_increasing_id()), "documents")
-    found = near_duplicates(kept, width, similarity, row)
-    chosen = found.filter("kept").select(F.col("row").alias("kept_row"))
-    return kept.join(chosen, kept[row] == F.col("kept_row"), "left_semi").drop(row)
+    kept = saved(numbered(docs, F.struct(*docs.columns).alias("doc")), "documents")
+    found = near_duplicates(kept.select("row", "doc.doc_id", "doc.text"), width, similarity, "row")
+    chosen = found.filter("kept").select("row")
+    return kept.join(chosen, "row", "left_semi").select(*[F.col("doc")[c].alias(c) for c in docs.columns])
