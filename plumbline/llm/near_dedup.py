@@ -16,8 +16,9 @@ links connect, and of each class the document with the smallest id stays.
   shares most bands with. Most links are then known. In the second round a node is compared with the
   pivots of its other buckets, as far as they are in other classes.
 * What is left are buckets that hold several classes still. Their nodes meet again in buckets of eight
-  registers, and, where those are large, of twelve and sixteen. Small ones give all pairs across classes,
-  large ones a pair of each node with a random pivot. A node of which more than a fifth of the runs occur
+  registers. Small ones give all pairs across classes. In a large one, each node is compared with a random
+  pivot of its largest class, and the nodes of other classes meet in buckets of twelve and sixteen
+  registers. A node of which more than a fifth of the runs occur
   in no other candidate has no link, and is left out; a count-min sketch, which never counts too few,
   finds those.
 * Pairs whose signatures agree in less than 0.62 of the registers are no links: at a similarity of 0.8
@@ -39,6 +40,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -338,31 +340,39 @@ def _across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 def _held_by_several(buckets: DataFrame) -> DataFrame:
     """size and pivot for the buckets that hold several classes, with their rows.
 
-    buckets: bucket, node, n, label, and whatever else.
+    The pivot is a random node of the class that has most nodes in the bucket. buckets: bucket, node, n,
+    label, and whatever else.
     """
-    groups = buckets.groupBy("bucket").agg(
-        F.count(F.lit(1)).alias("size"),
-        F.min("label").alias("low"),
-        F.max("label").alias("high"),
+    of_class = buckets.groupBy("bucket", "label").agg(
+        F.count(F.lit(1)).alias("members"),
         F.min(F.struct(F.xxhash64("bucket", "node").alias("turn"), "node", "n", "label")).alias("pivot"),
     )
-    several = saved(groups.filter("low != high").select("bucket", "size", "pivot"), "groups")
+    groups = of_class.groupBy("bucket").agg(
+        F.sum("members").alias("size"),
+        F.count(F.lit(1)).alias("classes"),
+        F.max(F.struct("members", "pivot")).alias("most"),
+    )
+    several = groups.filter("classes > 1").select("bucket", "size", F.col("most.pivot").alias("pivot"))
+    several = saved(several, "groups")
     total = several.agg(F.sum("size")).first()[0] or 0
     return join_groups(buckets, several, "bucket", "size", total)
 
 
+def _hashes(lists: pa.ListArray) -> np.ndarray:
+    return lists.flatten().to_numpy().view(np.uint64)
+
+
 def _without_strangers(nodes: DataFrame, runs: DataFrame, similarity: float) -> DataFrame:
     """The nodes of whose runs enough occur in other nodes of `runs` for a link."""
     shared = nodes.sparkSession.sparkContext.broadcast(
-        sketch(runs.select("runs"), lambda batch: batch.column("runs").flatten().to_numpy().view(np.uint64))
+        sketch(runs.select("runs"), lambda batch: _hashes(batch.column("runs")))
     )
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column("runs")
-            hashed = lists.flatten().to_numpy().view(np.uint64)
-            ends = np.cumsum([0, *map(len, lists)])
-            twice = np.concatenate([[0], np.cumsum(hit_twice(shared.value, hashed))])
+        for batch in (b.slice(i, 512) for b in batches for i in range(0, b.num_rows, 512)):
+            ends = np.concatenate([[0], np.cumsum(pc.list_value_length(batch.column("runs")).to_numpy())])
+            hit = hit_twice(shared.value, _hashes(batch.column("runs")))
+            twice = np.concatenate([[0], np.cumsum(hit)])
             enough = twice[ends[1:]] - twice[ends[:-1]] >= similarity * np.diff(ends) - 1e-9
             yield batch.select(["node"]).filter(pa.array(enough))
 
@@ -412,7 +422,10 @@ def _narrow_pairs(open_nodes: DataFrame, labels: DataFrame, similarity: float) -
                 for d in NARROWER[step + 1]
             ]
         )
-        rows = large.select(F.explode(further).alias("bucket"), "node", "n", "label", "i", "bands")
+        # The largest class is represented by its pivots; the others may be linked among themselves.
+        rows = large.filter(F.col("label") != F.col("pivot.label")).select(
+            F.explode(further).alias("bucket"), "node", "n", "label", "i", "bands"
+        )
     return found.distinct()
 
 

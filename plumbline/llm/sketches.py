@@ -23,6 +23,16 @@ BLOCK_BITS = 21
 _ROWS = (np.uint64(0), np.uint64(0x9E3779B97F4A7C15))
 
 
+#: Hashes that are counted at a time.
+PORTION = 1 << 20
+
+
+def _cut(arrays: Iterator[np.ndarray]) -> Iterator[np.ndarray]:
+    for array in arrays:
+        for first in range(0, len(array), PORTION):
+            yield array[first : first + PORTION]
+
+
 def _cells(hashes: np.ndarray, row: int, bits: int) -> np.ndarray:
     return (mixed(hashes ^ _ROWS[row]) >> np.uint64(64 - bits)).astype(np.int64)
 
@@ -43,7 +53,7 @@ def sketch_portions(
     block_bits = min(BLOCK_BITS, bits)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for hashes in portions_of(batches):
+        for hashes in _cut(portions_of(batches)):
             blocks: list[int] = []
             packed: list[bytes] = []
             for row in range(len(_ROWS)):
