@@ -49,6 +49,15 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+def early(hashed: Column, sample: Column | int, total: Column) -> Column:
+    """Whether a 64-bit hash is among the smallest of `total` of which `sample` are wanted, or near.
+
+    Twice as many as wanted are let through, so that few rows meet where the smallest are picked.
+    """
+    place = (hashed.cast("double") + 2.0**63) / 2.0**64
+    return place * total <= F.lit(2.0) * sample + 64
+
+
 #: A group of more than this share of the rows is hot. There are at most 1 / HOT_SHARE such groups,
 #: which bounds the broadcast of them.
 HOT_SHARE = 0.001

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import held_out
+from plumbline.llm.common import early, held_out
 
 #: Documents of a language that are learned from: the first by hash of the id.
 SAMPLE = 1000
@@ -146,10 +146,10 @@ def fit(
     usable = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).filter(
         ~held_out(docs["doc_id"])
     )
-    languages = [r["lang"] for r in usable.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect()]
-    if len(languages) > MAX_LANGUAGES:
+    counts = usable.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()
+    if len(counts) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    languages.sort()
+    languages = sorted(row["lang"] for row in counts)
     families = [family_of(lang) for lang in languages]
     pairs = list(combinations(sorted(set(families)), 2))
     for family in sorted(set(families)):
@@ -158,10 +158,16 @@ def fit(
     if not pairs:
         return LanguageModel(languages, families, [], np.zeros((0, SIZE + 1)))
 
-    # Ids alone are ranked, each task's own first ones before they meet.
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id")
+    # Ids alone are ranked, and of a large language only those whose hash comes early.
+    totals = docs.sparkSession.createDataFrame(
+        [(row["lang"], row["count"]) for row in counts], "of_lang string, total bigint"
+    )
+    by_hash = F.xxhash64("doc_id", F.lit(seed))
+    first = Window.partitionBy("lang").orderBy(by_hash, "doc_id")
     ids = (
         usable.select("doc_id", "lang")
+        .join(F.broadcast(totals), F.col("lang") == F.col("of_lang"))
+        .filter(early(by_hash, sample, F.col("total")))
         .withColumn("rank", F.row_number().over(first))
         .filter(F.col("rank") <= sample)
         .select(F.col("doc_id").alias("chosen_id"), F.col("lang").alias("chosen_lang"))
