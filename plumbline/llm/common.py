@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +26,28 @@ def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
+#: Lists that take down what `saved` writes, the innermost last.
+_RECORDS: list[list[str]] = []
+
+
+@contextmanager
+def recorded(paths: list[str]) -> Iterator[None]:
+    """While it lasts, the folders of intermediate tables are added to `paths`."""
+    _RECORDS.append(paths)
+    try:
+        yield
+    finally:
+        _RECORDS.pop()
+
+
+def delete(spark: SparkSession, paths: list[str]) -> None:
+    """Remove intermediate tables that nothing reads any more, and forget them."""
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    paths.clear()
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """The rows written once to the shared folder and read from there.
 
@@ -30,6 +55,8 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     before are fixed from here on.
     """
     path = scratch_path(df.sparkSession, name)
+    if _RECORDS:
+        _RECORDS[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
