@@ -1,15 +1,16 @@
-"""Near-duplicate groups: ProbMinHash signatures of weighted shingles, banding, verification.
+"""Near-duplicate groups: ProbMinHash signatures of shingle sets, banding, verification.
 
 Texts are lower-cased in A-Z and cut into words (digits, letters a-z, all characters from U+0080 on). A
-document is the multiset of its runs of five words; the number of times a run occurs is its weight. Two
-documents are linked if the sets of their runs have a Jaccard similarity of at least 0.8. A class is what
-links connect, and of each class the document with the smallest id stays.
+document is the set of its runs of five words. Two documents are linked if these sets have a Jaccard
+similarity of at least 0.8. A class is what links connect, and of each class the document with the smallest
+id stays.
 
 * Documents with the same words are one node, whatever their number.
 * A node's signature has 128 registers. Every run of words emits arrivals of a Poisson process whose
   rate is its weight, each at a random register; a register keeps the run that arrives first, and a run
   stops when its next arrival is later than all registers'. Two signatures agree in a register with the
-  probability Jaccard similarity of the multisets.
+  probability Jaccard similarity of the weights. Every distinct run weighs 1, however often it occurs, so
+  this is the Jaccard similarity of the sets that links are defined by.
 * 32 bands of four registers make buckets. At a similarity of 0.8 the chance that two nodes share no
   bucket is below 1e-7.
 * In the first round every node is compared with one pivot only, the least node of the bucket that it
@@ -22,7 +23,7 @@ links connect, and of each class the document with the smallest id stays.
   in no other candidate has no link, and is left out; a count-min sketch, which never counts too few,
   finds those.
 * Pairs whose signatures agree in less than 0.62 of the registers are no links: at a similarity of 0.8
-  that has a chance below 1e-6. All others are verified on the whole sets of runs, as 64-bit hashes.
+  that has a chance below 2e-6. All others are verified on the whole sets of runs, as 64-bit hashes.
 
 No group is gathered in a task, and no group gives all its pairs: pivots are minima, classes are found by
 passing on least labels, and the number of pairs is bounded by that of nodes. A link can be lost only if
@@ -148,11 +149,11 @@ def describe(docs: DataFrame, width: int = WIDTH) -> DataFrame:
             names, rows = batch.column("doc_id"), batch.column("row")
             texts = batch.column("text").to_pylist()
             for first, words in _chunks(texts):
-                run, weight, doc = weighted_runs(words, width)
+                run, _, doc = weighted_runs(words, width)
                 n = np.bincount(doc, minlength=len(words))
                 having = np.flatnonzero(n)
                 number = np.cumsum(n > 0) - 1
-                found = signatures(run, weight, number[doc], len(having))
+                found = signatures(run, np.ones(len(run)), number[doc], len(having))
                 sketched = (mixed(found) & np.uint64(255)).astype(np.uint8)
                 bands = np.zeros((len(having), REGISTERS // ROWS), dtype=np.uint64)
                 bands += np.arange(REGISTERS // ROWS, dtype=np.uint64) * _STEP

@@ -259,3 +259,15 @@ def test_components_of_a_long_chain(spark):
     labels = {bytes(r["node"]).decode(): bytes(r["label"]).decode() for r in found}
     assert labels["019"] == labels["070"] == "000"
     assert {labels[f"{i:03d}"] for i in range(20, 41)} == {"020"}
+
+
+def test_repeated_lines_do_not_hide_a_link(spark):
+    """A line once and 40 times, or not at all: the sets are alike, the counts are not."""
+    data = []
+    for i in range(12):
+        body, line = sentence(500 + 2 * i, 304), sentence(501 + 2 * i, 9)
+        texts = [body + " " + line, " ".join([body, *[line] * 40]), body]
+        data += [(3 * i + j, text, "en", "s", 0) for j, text in enumerate(texts)]
+    found = near_dedup.near_duplicates(table(spark, data))
+    expected = [(3 * i + j, 3 * i, 3) for i in range(12) for j in range(3)]
+    assert collected(found, "doc_id", "class_id", "class_size") == sorted(expected, key=repr)
