@@ -19,16 +19,20 @@ id stays.
 * What is left are buckets that hold several classes still. Their nodes meet again in buckets of eight
   registers. Small ones give all pairs across classes. In a large one, each node is compared with a random
   pivot of its largest class, and the nodes of other classes meet in buckets of twelve and sixteen
-  registers. A node of which more than a fifth of the runs occur
+  registers.
+* In the last round all pairs across classes of every large bucket of four registers that holds several
+  classes still are candidates, those with the nodes of the largest class included. The bucket is cut into
+  blocks, and each pair of blocks is compared by a task. A pair is left out if its nodes share too few runs
+  with all other candidates together to be so similar, which is certain. Of many pairs, each node's most
+  alike are verified first, so that the others are within a class; what is not is verified too. A node of which more than a fifth of the runs occur
   in no other candidate has no link, and is left out; a count-min sketch, which never counts too few,
   finds those.
 * Pairs whose signatures agree in less than 0.62 of the registers are no links: at a similarity of 0.8
   that has a chance below 2e-6. All others are verified on the whole sets of runs, as 64-bit hashes.
 
-No group is gathered in a task, and no group gives all its pairs: pivots are minima, classes are found by
-passing on least labels, and the number of pairs is bounded by that of nodes. A link can be lost only if
-both its nodes are in large buckets of all widths, are never a pivot, and are linked to nothing else that
-leads from one to the other.
+No group is gathered in a task: pivots are minima, classes are found by passing on least labels, and of a
+large bucket a task sees two blocks. The last round grows with the nodes outside a bucket's largest class
+times all its nodes; nodes that are in one class with all others cost nothing there.
 
 A null or empty text has no words. Documents without words are alike only if their texts are the same;
 fewer than five words are one run of their own. Null ids count as the largest, repeated rows as copies;
@@ -58,6 +62,12 @@ ROWS = 4
 SMALL = 16
 #: Bands that are joined to a bucket's own, by distance, as it is made narrower step by step.
 NARROWER = ((1, 5), (2, 11, 17, 23), (3, 13, 19, 29))
+#: Nodes of a block of a large bucket, and of a block's rows that are compared with another's at a time.
+BLOCK = 512
+PORTION = 32
+#: While more pairs than this are left, each node's most alike is verified first, so many rounds at most.
+MANY = 50_000
+FIRST_ROUNDS = 3
 #: Share of the registers that have to agree for a pair to be verified.
 LIKELY = 0.62
 #: Bits of the filter that keeps texts without candidates out of the verification's shuffle.
@@ -332,16 +342,16 @@ def _with_labels(rows: DataFrame, labels: DataFrame, node: str, label: str) -> D
     )
 
 
-def _across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are in different classes."""
+def _across(pairs: DataFrame, labels: DataFrame, *further: str) -> DataFrame:
+    """The pairs (a, b) that are in different classes, with further columns."""
     known = _with_labels(_with_labels(pairs, labels, "a", "la"), labels, "b", "lb")
-    return known.filter("la != lb").select("a", "b")
+    return known.filter("la != lb").select("a", "b", *further)
 
 
 def _held_by_several(buckets: DataFrame) -> DataFrame:
-    """size and pivot for the buckets that hold several classes, with their rows.
+    """size, pivot and members for the buckets that hold several classes, with their rows.
 
-    The pivot is a random node of the class that has most nodes in the bucket. buckets: bucket, node, n,
+    The pivot is a random node of the class that has most nodes in the bucket, `members`. buckets: bucket, node, n,
     label, and whatever else.
     """
     of_class = buckets.groupBy("bucket", "label").agg(
@@ -353,7 +363,9 @@ def _held_by_several(buckets: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("classes"),
         F.max(F.struct("members", "pivot")).alias("most"),
     )
-    several = groups.filter("classes > 1").select("bucket", "size", F.col("most.pivot").alias("pivot"))
+    several = groups.filter("classes > 1").select(
+        "bucket", "size", F.col("most.pivot").alias("pivot"), F.col("most.members").alias("members")
+    )
     several = saved(several, "groups")
     total = several.agg(F.sum("size")).first()[0] or 0
     return join_groups(buckets, several, "bucket", "size", total)
@@ -364,7 +376,7 @@ def _hashes(lists: pa.ListArray) -> np.ndarray:
 
 
 def _without_strangers(nodes: DataFrame, runs: DataFrame, similarity: float) -> DataFrame:
-    """The nodes of whose runs enough occur in other nodes of `runs` for a link."""
+    """The nodes of whose runs enough occur in other nodes of `runs` for a link, and how many at most."""
     shared = nodes.sparkSession.sparkContext.broadcast(
         sketch(runs.select("runs"), lambda batch: _hashes(batch.column("runs")))
     )
@@ -374,10 +386,12 @@ def _without_strangers(nodes: DataFrame, runs: DataFrame, similarity: float) ->
             ends = np.concatenate([[0], np.cumsum(pc.list_value_length(batch.column("runs")).to_numpy())])
             hit = hit_twice(shared.value, _hashes(batch.column("runs")))
             twice = np.concatenate([[0], np.cumsum(hit)])
-            enough = twice[ends[1:]] - twice[ends[:-1]] >= similarity * np.diff(ends) - 1e-9
-            yield batch.select(["node"]).filter(pa.array(enough))
+            common = twice[ends[1:]] - twice[ends[:-1]]
+            enough = pa.array(common >= similarity * np.diff(ends) - 1e-9)
+            found = [batch.column("node"), pa.array(common, pa.int64())]
+            yield pa.RecordBatch.from_arrays(found, ["node", "common"]).filter(enough)
 
-    return runs.join(nodes, "node", "left_semi").mapInArrow(judge, "node binary")
+    return runs.join(nodes, "node", "left_semi").mapInArrow(judge, "node binary, common bigint")
 
 
 def _narrow_pairs(open_nodes: DataFrame, labels: DataFrame, similarity: float) -> DataFrame:
@@ -430,6 +444,110 @@ def _narrow_pairs(open_nodes: DataFrame, labels: DataFrame, similarity: float) -
     return found.distinct()
 
 
+def _dealt_blocks(held: DataFrame) -> DataFrame:
+    """The rows of large buckets, once for each pair of blocks that they are compared in.
+
+    The largest class is cut into blocks, and so are all others together. Blocks of others meet one
+    another and those of the largest class, which don't meet. held: bucket, node, label, size, pivot,
+    members, and whatever else.
+    """
+    rows = held.withColumn("largest", F.col("label") == F.col("pivot.label"))
+    rows = rows.withColumn("others", F.ceil((F.col("size") - F.col("members")) / BLOCK))
+    rows = rows.withColumn("blocks", F.col("others") + F.ceil(F.col("members") / BLOCK))
+    turn = F.xxhash64("node", "bucket")
+    block = F.when(
+        F.col("largest"), F.col("others") + F.pmod(turn, F.col("blocks") - F.col("others"))
+    ).otherwise(F.pmod(turn, F.col("others")))
+    rows = rows.withColumn("block", block)
+    meets = F.when(F.col("largest"), F.col("others")).otherwise(F.col("blocks"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), meets - 1)))
+    return rows.select(
+        "bucket",
+        F.least("block", "other").alias("i"),
+        F.greatest("block", "other").alias("j"),
+        (F.col("block") <= F.col("other")).alias("left"),
+        "node", "label", "n", "common", "registers",
+    )
+
+
+def _possible(n: np.ndarray, common: np.ndarray, m: np.ndarray, others: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether sets of n and m runs, of which so many at most occur elsewhere, can be as similar as asked."""
+    shared = np.minimum(common, others)
+    return shared >= similarity * (n + m - shared) - 1e-9
+
+
+def _rest_pairs(open_nodes: DataFrame, labels: DataFrame, similarity: float) -> DataFrame:
+    """a, b and agree: all pairs across classes that share a large bucket and can be links.
+
+    open_nodes: node, n, common, bands, registers. A pair is left out only if the number of runs that its
+    nodes share with any other is too small, which is certain, or if fewer than LIKELY of the registers
+    agree.
+    """
+    known = saved(_with_labels(open_nodes, labels, "node", "label"), "open")
+    rows = known.select("node", "n", "label", "common", F.explode("bands").alias("bucket"))
+    held = _held_by_several(rows).filter(F.col("size") > SMALL)
+    with_registers = held.join(known.select("node", "registers"), "node")
+
+    def compare(group: pa.Table) -> pa.Table:
+        def part(left: bool) -> tuple[np.ndarray, ...]:
+            mine = group.filter(pa.array(left_side if left else ~left_side))
+            fixed = [
+                np.frombuffer(b"".join(mine.column(c).to_pylist()), np.uint8).reshape(mine.num_rows, -1)
+                for c in ("node", "label", "registers")
+            ]
+            return (*fixed, mine.column("n").to_numpy(), mine.column("common").to_numpy())
+
+        left_side = group.column("left").to_numpy()
+        a = part(True)
+        # A block that meets itself has no right side.
+        b = a if group.column("i")[0].as_py() == group.column("j")[0].as_py() else part(False)
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for first in range(0, len(a[0]) if len(b[0]) else 0, PORTION):
+            mine = slice(first, first + PORTION)
+            possible = _possible(a[3][mine, None], a[4][mine, None], b[3][None], b[4][None], similarity)
+            x, y = np.nonzero(possible)
+            x += first
+            if a is b:
+                x, y = x[x < y], y[x < y]
+            across = (a[1][x] != b[1][y]).any(axis=1)
+            x, y = x[across], y[across]
+            agree = np.count_nonzero(a[2][x] == b[2][y], axis=1)
+            likely = agree >= LIKELY * REGISTERS
+            found.append((x[likely], y[likely], agree[likely]))
+        x, y, agree = (np.concatenate([f[k] for f in found] or [np.zeros(0, int)]) for k in range(3))
+        pairs = [
+            sorted((p.tobytes(), q.tobytes())) for p, q in zip(a[0][x], b[0][y], strict=True)
+        ]
+        return pa.Table.from_arrays(
+            [
+                pa.array([p for p, _ in pairs], pa.binary()),
+                pa.array([q for _, q in pairs], pa.binary()),
+                pa.array(agree, pa.int64()),
+            ],
+            ["a", "b", "agree"],
+        )
+
+    met = _dealt_blocks(with_registers).groupBy("bucket", "i", "j")
+    return met.applyInArrow(compare, "a binary, b binary, agree bigint").distinct()
+
+
+def _linked_by_rest(
+    pairs: DataFrame, labels: DataFrame, nodes: DataFrame, runs: DataFrame, similarity: float
+) -> DataFrame:
+    """The labels after all pairs: first each node's most alike, as long as pairs are many, then all."""
+    pairs = saved(pairs, "pairs")
+    for _ in range(FIRST_ROUNDS):
+        if pairs.count() <= MANY:
+            break
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("end"), "a", "b", "agree")
+        best = ends.groupBy("end").agg(F.max(F.struct("agree", "a", "b")).alias("best"))
+        best = saved(best.select("best.a", "best.b").distinct(), "best")
+        labels = components(_verified(best, nodes, runs, similarity), labels)
+        left = pairs.join(best, ["a", "b"], "left_anti")
+        pairs = saved(_across(left, labels, "agree"), "pairs")
+    return components(_verified(pairs.select("a", "b"), nodes, runs, similarity), labels)
+
+
 def near_duplicates(
     docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY, row: str | None = None
 ) -> DataFrame:
@@ -480,10 +598,13 @@ def near_duplicates(
     mixed_buckets = saved(mixed_buckets.filter("low != high").select("bucket", "size"), "groups")
     in_mixed = join_groups(shared.select("bucket", "node"), mixed_buckets, "bucket", "size", nodes.count())
     open_nodes = _without_strangers(in_mixed.select("node").distinct(), runs, similarity)
-    open_nodes = nodes.select("node", "n", "bands").join(open_nodes, "node")
+    open_nodes = saved(nodes.join(open_nodes, "node"), "open")
     narrow = _narrow_pairs(open_nodes, labels, similarity)
     labels = components(_verified(narrow, nodes, runs, similarity), labels)
 
+    # Fourth round: all pairs of large buckets that are across classes still.
+    labels = _linked_by_rest(_rest_pairs(open_nodes, labels, similarity), labels, nodes, runs, similarity)
+
     of_node = copies.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     of_node = saved(of_node, "classes")
     classes = saved(

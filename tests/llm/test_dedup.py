@@ -271,3 +271,63 @@ def test_repeated_lines_do_not_hide_a_link(spark):
     found = near_dedup.near_duplicates(table(spark, data))
     expected = [(3 * i + j, 3 * i, 3) for i in range(12) for j in range(3)]
     assert collected(found, "doc_id", "class_id", "class_size") == sorted(expected, key=repr)
+
+
+def hot_family(members=2000, outsiders=60):
+    """Variants of one text that are alike, and others that are alike to one of them only each."""
+    generator = np.random.default_rng(11)
+    template = sentence(900, 300).split()
+
+    def variant(words, places, mark):
+        words = list(words)
+        for place in places:
+            words[place] = f"{mark}x{place}"
+        return words
+
+    data, own = [], []
+    for i in range(members):
+        # Two changes in the first half: 10 runs of 296 differ, any two are 0.87 alike or more.
+        own.append(variant(template, generator.choice(140, 2, replace=False), f"m{i}"))
+        data.append((i, " ".join(own[-1]), "en", "s", 0))
+    for k in range(outsiders):
+        # A member rewritten in five changes that no other has; it is 0.81 to 0.88 alike to that one only.
+        m = int(generator.integers(0, members))
+        data.append((members + k, " ".join(variant(own[m], range(155 + k % 5, 290, 25), f"o{k}")), "en", "s", 0))
+    return data
+
+
+def classes_by_matrix(data, similarity=0.8):
+    """As by hand, for many documents of few runs."""
+    numbers = {}
+    rows_, cols = [], []
+    for i, (_, text, *_) in enumerate(data):
+        words = text.split()
+        for run in {tuple(words[j : j + 5]) for j in range(len(words) - 4)}:
+            rows_.append(i)
+            cols.append(numbers.setdefault(run, len(numbers)))
+    size = np.bincount(rows_)
+    times = np.bincount(cols)
+    keep = times[cols] > 1
+    used = np.unique(np.array(cols)[keep], return_inverse=True)[1]
+    holds = np.zeros((len(data), used.max() + 1), dtype=np.float32)
+    holds[np.array(rows_)[keep], used] = 1
+    both = holds @ holds.T
+    linked = both >= similarity * (size[:, None] + size[None] - both) - 1e-6
+    label = np.arange(len(data))
+    while True:
+        nearer = np.array([label[row].min() for row in linked])
+        if (nearer == label).all():
+            break
+        label = nearer
+    return linked, sorted(
+        ((data[i][0], data[label[i]][0], int((label == label[i]).sum())) for i in range(len(data))), key=repr
+    )
+
+
+def test_a_link_to_one_node_of_a_hot_bucket(spark):
+    """Each outsider is linked to one member only, of thousands that share its buckets."""
+    data = hot_family()
+    linked, expected = classes_by_matrix(data)
+    assert (linked[2000:].sum(axis=1) == 2).all()
+    found = near_dedup.near_duplicates(table(spark, data))
+    assert collected(found, "doc_id", "class_id", "class_size") == expected
