@@ -16,17 +16,13 @@ id stays.
 * In the first round every node is compared with one pivot only, the least node of the bucket that it
   shares most bands with. Most links are then known. In the second round a node is compared with the
   pivots of its other buckets, as far as they are in other classes.
-* What is left are buckets that hold several classes still. Their nodes meet again in buckets of eight
-  registers. Small ones give all pairs across classes. In a large one, each node is compared with a random
-  pivot of its largest class, and the nodes of other classes meet in buckets of twelve and sixteen
-  registers.
-* In the last round all pairs across classes of every large bucket of four registers that holds several
-  classes still are candidates, those with the nodes of the largest class included. The bucket is cut into
-  blocks, and each pair of blocks is compared by a task. A pair is left out if its nodes share too few runs
-  with all other candidates together to be so similar, which is certain. Of many pairs, each node's most
-  alike are verified first, so that the others are within a class; what is not is verified too. A node of which more than a fifth of the runs occur
-  in no other candidate has no link, and is left out; a count-min sketch, which never counts too few,
-  finds those.
+* What is left are buckets that hold several classes still. All their pairs across classes are candidates,
+  those with the nodes of the largest class included. Small buckets are joined with themselves. A large one
+  is cut into blocks, and each pair of blocks is compared by a task. A node of which more than a fifth of
+  the runs occur in no other candidate has no link, and is left out; a count-min sketch, which never counts
+  too few, finds those. A pair is left out likewise if its nodes share too few runs with all other
+  candidates together to be so similar. Of many pairs, each node's most alike are verified first, so that
+  most others come to be within a class; those that don't are verified too.
 * Pairs whose signatures agree in less than 0.62 of the registers are no links: at a similarity of 0.8
   that has a chance below 2e-6. All others are verified on the whole sets of runs, as 64-bit hashes.
 
@@ -58,10 +54,8 @@ WIDTH = 5
 SIMILARITY = 0.8
 REGISTERS = 128
 ROWS = 4
-#: Buckets of at most so many nodes give their pairs; larger ones are made narrower.
+#: Buckets of at most so many nodes give their pairs by a join; larger ones are compared by blocks.
 SMALL = 16
-#: Bands that are joined to a bucket's own, by distance, as it is made narrower step by step.
-NARROWER = ((1, 5), (2, 11, 17, 23), (3, 13, 19, 29))
 #: Nodes of a block of a large bucket, and of a block's rows that are compared with another's at a time.
 BLOCK = 512
 PORTION = 32
@@ -394,56 +388,6 @@ def _without_strangers(nodes: DataFrame, runs: DataFrame, similarity: float) ->
     return runs.join(nodes, "node", "left_semi").mapInArrow(judge, "node binary, common bigint")
 
 
-def _narrow_pairs(open_nodes: DataFrame, labels: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) across classes of nodes that agree in eight registers or more.
-
-    open_nodes: node, n, bands.
-    """
-    bands = REGISTERS // ROWS
-    known = saved(_with_labels(open_nodes, labels, "node", "label"), "open")
-    level = [(i, F.get("bands", F.lit(i))) for i in range(bands)]
-    narrow = F.array(
-        *[
-            F.struct(F.xxhash64(key, F.get("bands", F.lit((i + d) % bands)), F.lit(d)).alias("key"), F.lit(i).alias("i"))
-            for i, key in level
-            for d in NARROWER[0]
-        ]
-    )
-    rows = known.select("node", "n", "label", "bands", F.explode(narrow).alias("x"))
-    rows = rows.select(F.col("x.key").alias("bucket"), "node", "n", "label", F.col("x.i").alias("i"), "bands")
-    found = None
-    for step in range(len(NARROWER)):
-        light = rows.drop("bands") if step == len(NARROWER) - 1 else rows
-        held = saved(_held_by_several(light), "held")
-        small = held.filter(F.col("size") <= SMALL)
-        left = small.select("bucket", F.col("node").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
-        right = small.select("bucket", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
-        every = left.join(right, "bucket").filter(
-            (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & _alike_in_size("na", "nb", similarity)
-        )
-        large = held.filter(F.col("size") > SMALL)
-        star = large.filter(
-            (F.col("label") != F.col("pivot.label")) & _alike_in_size("n", "pivot.n", similarity)
-        ).select(
-            F.least("node", "pivot.node").alias("a"), F.greatest("node", "pivot.node").alias("b")
-        )
-        pairs = every.select("a", "b").unionByName(star)
-        found = pairs if found is None else found.unionByName(pairs)
-        if step == len(NARROWER) - 1 or not large.limit(1).count():
-            break
-        further = F.array(
-            *[
-                F.xxhash64("bucket", F.get("bands", (F.col("i") + d) % bands), F.lit(d))
-                for d in NARROWER[step + 1]
-            ]
-        )
-        # The largest class is represented by its pivots; the others may be linked among themselves.
-        rows = large.filter(F.col("label") != F.col("pivot.label")).select(
-            F.explode(further).alias("bucket"), "node", "n", "label", "i", "bands"
-        )
-    return found.distinct()
-
-
 def _dealt_blocks(held: DataFrame) -> DataFrame:
     """The rows of large buckets, once for each pair of blocks that they are compared in.
 
@@ -477,16 +421,29 @@ def _possible(n: np.ndarray, common: np.ndarray, m: np.ndarray, others: np.ndarr
 
 
 def _rest_pairs(open_nodes: DataFrame, labels: DataFrame, similarity: float) -> DataFrame:
-    """a, b and agree: all pairs across classes that share a large bucket and can be links.
+    """a, b and agree: all pairs across classes that share a bucket and can be links.
 
     open_nodes: node, n, common, bands, registers. A pair is left out only if the number of runs that its
-    nodes share with any other is too small, which is certain, or if fewer than LIKELY of the registers
-    agree.
+    nodes share with any other is too small, which is certain, or in large buckets also if fewer than
+    LIKELY of the registers agree; `agree` is REGISTERS for pairs of small buckets.
     """
     known = saved(_with_labels(open_nodes, labels, "node", "label"), "open")
     rows = known.select("node", "n", "label", "common", F.explode("bands").alias("bucket"))
-    held = _held_by_several(rows).filter(F.col("size") > SMALL)
-    with_registers = held.join(known.select("node", "registers"), "node")
+    held = saved(_held_by_several(rows), "held")
+    small = held.filter(F.col("size") <= SMALL)
+    left, right = (
+        small.select("bucket", *[F.col(c).alias(c + end) for c in ("node", "n", "label", "common")])
+        for end in ("_a", "_b")
+    )
+    shared = F.least("common_a", "common_b")
+    every = left.join(right, "bucket").filter(
+        (F.col("node_a") < F.col("node_b"))
+        & (F.col("label_a") != F.col("label_b"))
+        & (shared >= F.lit(similarity) * (F.col("n_a") + F.col("n_b") - shared) - 1e-9)
+    )
+    every = every.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+    large = held.filter(F.col("size") > SMALL)
+    with_registers = large.join(known.select("node", "registers"), "node")
 
     def compare(group: pa.Table) -> pa.Table:
         def part(left: bool) -> tuple[np.ndarray, ...]:
@@ -528,7 +485,9 @@ def _rest_pairs(open_nodes: DataFrame, labels: DataFrame, similarity: float) ->
         )
 
     met = _dealt_blocks(with_registers).groupBy("bucket", "i", "j")
-    return met.applyInArrow(compare, "a binary, b binary, agree bigint").distinct()
+    by_blocks = met.applyInArrow(compare, "a binary, b binary, agree bigint")
+    both = by_blocks.unionByName(every.withColumn("agree", F.lit(REGISTERS).cast("long")))
+    return both.groupBy("a", "b").agg(F.max("agree").alias("agree"))
 
 
 def _linked_by_rest(
@@ -599,10 +558,6 @@ def near_duplicates(
     in_mixed = join_groups(shared.select("bucket", "node"), mixed_buckets, "bucket", "size", nodes.count())
     open_nodes = _without_strangers(in_mixed.select("node").distinct(), runs, similarity)
     open_nodes = saved(nodes.join(open_nodes, "node"), "open")
-    narrow = _narrow_pairs(open_nodes, labels, similarity)
-    labels = components(_verified(narrow, nodes, runs, similarity), labels)
-
-    # Fourth round: all pairs of large buckets that are across classes still.
     labels = _linked_by_rest(_rest_pairs(open_nodes, labels, similarity), labels, nodes, runs, similarity)
 
     of_node = copies.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))

@@ -331,3 +331,17 @@ def test_a_link_to_one_node_of_a_hot_bucket(spark):
     assert (linked[2000:].sum(axis=1) == 2).all()
     found = near_dedup.near_duplicates(table(spark, data))
     assert collected(found, "doc_id", "class_id", "class_size") == expected
+
+
+def test_small_buckets_give_all_pairs(spark):
+    """Three nodes that meet in one bucket of four registers and in none of eight: all pairs come."""
+    names = [bytes([i]) * 16 for i in range(3)]
+    nodes = spark.createDataFrame(
+        [(name, 10, 10, [7, *[100 * i + j for j in range(1, 32)]], bytes(128)) for i, name in enumerate(names)],
+        "node binary, n bigint, common bigint, bands array<bigint>, registers binary",
+    )
+    labels = spark.createDataFrame([], "node binary, label binary")
+    found = near_dedup._rest_pairs(nodes, labels, 0.8).collect()
+    assert sorted((bytes(r["a"]), bytes(r["b"])) for r in found) == [
+        (names[0], names[1]), (names[0], names[2]), (names[1], names[2]),
+    ]
