@@ -54,7 +54,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 @_in_turn
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix of sources: a document comes as often as it is taken, cut where only a part is.
+    """The mix of sources: the drawn blocks by shard and position; a document of one block comes whole.
 
     n_chars is that of the text that comes.
     """

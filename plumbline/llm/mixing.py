@@ -10,7 +10,7 @@ multivariate-hypergeometric sample of the sources' block counts, the right half
 counts are its exact quotas, and it owns that many consecutive draws of each source's permuted
 sequence, so shards are disjoint. Within a shard the blocks are ordered by another hash.
 
-Only sizes go through the shuffles, no texts. Ranks within a source come from sums over about
+Only sizes go through the shuffles of the draw, no texts; `mix_documents` deals out the texts it returns. Ranks within a source come from sums over about
 sqrt(blocks) hash ranges, so no task holds a source. The driver sees one row per source and one count
 per source and shard.
 
@@ -247,30 +247,36 @@ def mix_documents(
     shard_blocks: int = SHARD_BLOCKS,
     seed: int = SEED,
 ) -> DataFrame:
-    """The mix as rows with the columns of `docs`.
+    """The mix as rows with the columns of `docs`: the drawn blocks, by shard and position in it.
 
-    A document comes once for each pass in which all its blocks are drawn, whole and unchanged. Where
-    only some of its blocks are drawn, the row holds their words, joined by single spaces.
+    A document of one block comes whole and unchanged for each pass that draws it, unless it is cut short.
+    Of longer ones every drawn block is a row of its own, with its words joined by single spaces. A
+    partition holds consecutive rows of that order, so no task holds a shard's texts.
     """
     kept = saved(numbered(docs, F.struct(*docs.columns).alias("doc")), "mixed")
     sizes = measure(kept.select("row", "doc.doc_id", "doc.text", "doc.source"), "row")
     plan = plan_sources(sizes, block_words)
     draws = draw(sizes, plan, block_words, shard_blocks, seed)
     # A document's blocks are few, and their numbers are all that is gathered.
-    passes = draws.groupBy(F.col("row").alias("draw_row"), F.col("pass").alias("draw_pass")).agg(
-        F.sum("taken").alias("draw_taken"),
+    drawn = draws.groupBy(F.col("row").alias("draw_row"), F.col("pass").alias("draw_pass")).agg(
         F.max("size").alias("draw_size"),
-        F.sort_array(F.collect_list(F.struct("block", "taken"))).alias("draw_blocks"),
+        F.collect_list(F.struct("shard", "position", "block", "taken")).alias("draw_blocks"),
     )
+    drawn = saved(drawn, "dealt")
     whole = F.col("doc.text")
     words = F.regexp_extract_all(F.coalesce(whole, F.lit("")), F.lit(SPACED_WORD), F.lit(0))
-    pieces = F.transform(
-        F.col("draw_blocks"),
-        lambda b: F.array_join(
-            F.slice(words, (b["block"] * block_words + 1).cast("int"), b["taken"].cast("int")), " "
-        ),
+    unchanged = F.col("draw_blocks")[0]["taken"] == F.col("draw_size")
+    # Words are found once for a document and pass, not for each block.
+    found = kept.join(drawn, F.col("row") == F.col("draw_row")).select(
+        "doc", "draw_size", "draw_blocks", F.when(~unchanged, words).alias("words")
     )
-    text = F.when(F.col("draw_taken") == F.col("draw_size"), whole).otherwise(F.array_join(pieces, " "))
-    return kept.join(passes, F.col("row") == F.col("draw_row")).select(
-        *[text.alias(c) if c == "text" else F.col("doc")[c].alias(c) for c in docs.columns]
+    each = found.select("doc", "draw_size", "words", F.explode("draw_blocks").alias("b"))
+    piece = F.array_join(
+        F.slice("words", (F.col("b.block") * block_words + 1).cast("int"), F.col("b.taken").cast("int")), " "
+    )
+    text = F.when(F.col("b.taken") == F.col("draw_size"), whole).otherwise(piece)
+    order = ("shard", "position")
+    dealt = each.select("doc", text.alias("piece"), *[F.col("b")[c].alias(c) for c in order])
+    return dealt.repartitionByRange(*order).sortWithinPartitions(*order).select(
+        *[F.col("piece").alias(c) if c == "text" else F.col("doc")[c].alias(c) for c in docs.columns]
     )

@@ -103,3 +103,19 @@ def test_nothing(spark):
     assert mixing.mix_documents(table(spark, [])).collect() == []
     empty = table(spark, [(1, None, None, None, None), (2, " ", None, "s", None)])
     assert mixing.mix_documents(empty).collect() == []
+
+
+def test_mix_comes_in_the_order_of_the_deal(spark):
+    """Each drawn block is a row, at its place in its shard; shards follow one another."""
+    docs = table(spark, [(i, sentence(i, 1 + i * 7 % 90), "en", "ab"[i % 2], i) for i in range(200)])
+    sizes = mixing.measure(docs)
+    draws = mixing.draw(sizes, mixing.plan_sources(sizes, 16), 16, 50)
+    texts = {r["doc_id"]: SPACE.findall(r["text"]) for r in docs.collect()}
+    expected = [
+        (r["doc_id"], " ".join(texts[r["doc_id"]][16 * r["block"] : 16 * r["block"] + r["taken"]]))
+        for r in sorted(draws.collect(), key=lambda r: (r["shard"], r["position"]))
+    ]
+    found = mixing.mix_documents(docs, block_words=16, shard_blocks=50).collect()
+    assert len({r["shard"] for r in draws.select("shard").collect()}) > 1
+    # Rows of the tables have numbers of their own, which break no ties here: every id comes once.
+    assert [(r["doc_id"], r["text"]) for r in found] == expected
