@@ -10,9 +10,9 @@ multivariate-hypergeometric sample of the sources' block counts, the right half
 counts are its exact quotas, and it owns that many consecutive draws of each source's permuted
 sequence, so shards are disjoint. Within a shard the blocks are ordered by another hash.
 
-Only sizes go through the shuffles of the draw, no texts; `mix_documents` deals out the texts it returns. Ranks within a source come from sums over about
-sqrt(blocks) hash ranges, so no task holds a source. The driver sees one row per source and one count
-per source and shard.
+Only sizes go through the shuffles of the draw, no texts; `mix_documents` deals out the texts it returns.
+Ranks within a source come from sums over about sqrt(blocks) hash ranges, so no task holds a source. The
+driver sees one row per source and one count per source and shard.
 
 A null or empty text has size 0 and takes nothing; a null source is a source of its own, the last; rows
 that repeat an id are separate documents; without words all targets are 0. Columns other than doc_id,
