@@ -185,6 +185,31 @@ FROM docs JOIN plan ON docs.source IS NOT DISTINCT FROM plan.source
 LEFT JOIN partial ON partial.doc_id = docs.doc_id
 """
 
+OP13 = """
+WITH v AS (
+  SELECT vec_id,
+    CASE WHEN vec_id % 7 = 0 THEN (CAST(label AS BIGINT) + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same,
+    CAST(list_inner_product(a.e, b.e) AS BIGINT) AS score
+  FROM v AS a JOIN v AS b ON a.vec_id % 100 = 0 AND a.vec_id IS DISTINCT FROM b.vec_id),
+positives AS (
+  SELECT anchor_id, id, score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id NULLS LAST) <= 5),
+found AS (
+  SELECT p.anchor_id, p.id AS positive_id,
+    row_number() OVER (PARTITION BY p.anchor_id, p.id ORDER BY n.score DESC, n.id NULLS LAST) AS rank,
+    n.id AS negative_id, p.score AS positive_score, n.score AS negative_score
+  FROM positives AS p JOIN scored AS n ON n.anchor_id = p.anchor_id AND NOT n.same
+    AND 30 * p.score <= 100 * n.score AND 100 * n.score <= 90 * p.score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score
+FROM found WHERE rank <= 10
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {
@@ -194,4 +219,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_line_dedup": OP6,
         "op7_substring_dedup": OP7,
         "op8_mixing": OP8,
+        "op13_hard_negatives": OP13,
     }

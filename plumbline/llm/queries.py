@@ -11,6 +11,7 @@ import corpus_pipeline
 from plumbline.llm import (
     decontaminate,
     exact_dedup,
+    hard_negatives,
     language,
     line_dedup,
     mixing,
@@ -100,6 +101,13 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_documents(read_table(spark, sf_dir, "documents"), tokenizer_file())
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10)
+    relabelled = vectors.withColumn("label", F.coalesce(moved, F.col("label").cast("long")))
+    return hard_negatives.mine(relabelled, F.col("vec_id") % 100 == 0)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -116,5 +124,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_mixing": op8_mixing,
         "op9_near_dedup": op9_near_dedup,
         "op10_token_output": op10_token_output,
+        "op13_hard_negatives": op13_hard_negatives,
         "pipeline": pipeline,
     }
