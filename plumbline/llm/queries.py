@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from plumbline.llm import (
+    alignment,
     chat,
     decontaminate,
     exact_dedup,
@@ -102,6 +103,14 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_documents(read_table(spark, sf_dir, "documents"), tokenizer_file())
 
 
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(
+        read_table(spark, sf_dir, "documents"),
+        tokenizer_file("byte_bpe_50k.json"),
+        tokenizer_file("piece_bpe_32k.model"),
+    )
+
+
 #: A conversation whose texts hold control strings, added to those of the table.
 PLANTED_CHAT = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
 
@@ -135,6 +144,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_mixing": op8_mixing,
         "op9_near_dedup": op9_near_dedup,
         "op10_token_output": op10_token_output,
+        "op11_tokenizer_alignment": op11_tokenizer_alignment,
         "op12_chat_formatting": op12_chat_formatting,
         "op13_hard_negatives": op13_hard_negatives,
         "pipeline": pipeline,
