@@ -1,5 +1,6 @@
 """Alignment against a plain merge of each document."""
 
+import random
 from collections import Counter
 from hashlib import sha256
 
@@ -109,6 +110,23 @@ def test_query_on_given_table(spark, plain):
     assert collected(found, *COLUMNS) == brute(docs, plain)
 
 
+def test_ids_are_the_librarys():
+    """All kinds of characters in all kinds of places, and random strings, by the vocabulary's own library."""
+    from tokenizers import Tokenizer
+
+    a = Tokenizer.from_file(PATHS[0])
+    a.encode_special_tokens = True
+    mine = alignment.Vocabularies.load(*PATHS).a
+    chars = [chr(c) for c in [*range(0x3100), *range(0x3100, 0x110000, 61)] if not 0xD800 <= c < 0xE000]
+    texts = [f"a{c}a1{c}1 {c} !{c}!{c}{c} a" for c in chars]
+    generator = random.Random(1)
+    for alphabet in ("abcd", "aAxz=-_*. \n\t'", "etaoinshrdluéüöß"):
+        texts += ["".join(generator.choices(alphabet, k=generator.randrange(1, 50))) for _ in range(3000)]
+    texts += ["x" * 200_000, "<|endoftext|>", "ab" * 50_000, " " * 10_000]
+    for text, code in zip(texts, a.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+        assert mine.encode_ordinary(text) == code.ids
+
+
 sizes = st.lists(st.integers(1, 5), min_size=1, max_size=12)
 
 
