@@ -29,6 +29,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterable, Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -220,34 +221,32 @@ class WordTokenizer:
             return text.split()
         return text.lower().split()
 
+    def _encode(self, texts: list[str]) -> list:
+        return self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+
     def _learn(self, words: set[bytes]) -> None:
-        plain, other, ended = set(), [], []
-        for word in words:
-            # After a letter a comma or full stop, alone, is a token run of its own.
-            if word[-1:] in _STOPS and word[-2:-1].isalpha():
-                ended.append(word)
-                word = word[:-1]
-                if word in self.known:
-                    continue
-            text = word.decode()
-            if text.isalpha():
-                plain.add(text)
-            else:
-                other.append(text)
-        other += [stop.decode() for stop in _STOPS if stop not in self.known]
+        ended = [w for w in words if w[-1:] in _STOPS and w[-2:-1].isalpha()]
+        # After a letter a comma or full stop, alone, is a token run of its own.
+        stems = words.difference(ended).union(w[:-1] for w in ended).union(_STOPS)
+        new = [w for w in stems if w not in self.known]
+        texts = b"\n".join(new).decode().split("\n") if new else []  # words have no white space
+        alphabetic = [text.isalpha() for text in texts]
+        plain = list(compress(zip(new, texts), alphabetic))
+        other = [both for both, is_plain in zip(zip(new, texts), alphabetic) if not is_plain]
         # A word of letters is one piece, whose last id ends a word: many words take one call.
         if plain:
-            ids = np.array(self.tokenizer.encode(" ".join(plain), add_special_tokens=False).ids, dtype="<u4")
+            line = " ".join(text for _, text in plain)
+            ids = np.array(self._encode([line])[0].ids, dtype="<u4")
             ends = np.flatnonzero(self.ends[ids]) + 1
             if len(ends) == len(plain):
                 raw, first = ids.tobytes(), 0
-                for text, end in zip(plain, (4 * ends).tolist()):
-                    self.known[text.encode()] = raw[first:end]
+                for (word, _), end in zip(plain, (4 * ends).tolist()):
+                    self.known[word] = raw[first:end]
                     first = end
             else:  # another kind of vocabulary
                 other += plain
-        for text, code in zip(other, self.tokenizer.encode_batch(other, add_special_tokens=False)):
-            self.known[text.encode()] = np.array(code.ids, dtype="<u4").tobytes()
+        for (word, _), code in zip(other, self._encode([text for _, text in other])):
+            self.known[word] = np.array(code.ids, dtype="<u4").tobytes()
         for word in ended:
             self.known[word] = self.known[word[:-1]] + self.known[word[-1:]]
 
