@@ -733,6 +733,45 @@ def batch(kind: str) -> str:
       {count_if("status = 'failed'")} AS queries_failed FROM ({rows}) GROUP BY dataset"""
 
 
+# --- slices, streams ---
+
+SLICED = """sliced AS (SELECT *, {label} AS slice FROM {table} UNION ALL SELECT *, NULL FROM {table})"""
+STATUS_SLICES = f"""WITH {DIRTY_CTE},
+  {SLICED.format(table="d", label="coalesce('status=' || status, 'status is missing')")} """
+LINE_SLICES = "WITH " + SLICED.format(
+    table="lineitem", label="'l_returnflag=' || l_returnflag || ', l_linestatus=' || l_linestatus"
+)
+LINE_RULE_ROWS = [
+    ("small_discount", "l_discount", "range", "l_discount > 0.08::DOUBLE", ""),
+    ("few", "l_quantity", "range", "l_quantity < 1 OR l_quantity > 45", ""),
+    ("status_known", "l_linestatus", "allowed_values", "l_linestatus <> 'O'", ""),
+]
+PROBLEMS = ", ".join(
+    [f"CASE WHEN {condition} THEN '{name}' END" for name, _, _, condition, _ in DIRTY_RULE_ROWS]
+    + [f"CASE WHEN {invalid(c, e)} THEN '{c} is no {e}' END" for c, e in DIRTY_SCHEMA.items()]
+)
+
+
+def sliced(rows: str) -> str:
+    """Rows of a check over d, for each slice instead."""
+    return " " + rows.replace(" AS position,", " AS position, slice,").replace(
+        " FROM d", " FROM sliced GROUP BY slice"
+    )
+
+
+SLICE_FACTS = f"""SELECT coalesce(m.slice, 'whole') AS dataset, m.rows, {len(DIRTY_COLUMNS)} AS cols, missing,
+  duplicates, invalid, checked, violations, {len(DIRTY_RULE_ROWS)} AS rules FROM
+  (SELECT slice, max(row_count) AS rows, sum(null_count) AS missing
+   FROM ({sliced(missing_rows("dirty"))}) GROUP BY slice) AS m
+  JOIN (SELECT slice, coalesce(sum(n) FILTER (n > 1), 0) AS duplicates FROM
+   (SELECT slice, count(*) AS n FROM sliced GROUP BY slice, record_id) GROUP BY slice) AS u
+   ON u.slice IS NOT DISTINCT FROM m.slice
+  JOIN (SELECT slice, sum(invalid_count) AS invalid, sum(non_null_count) AS checked
+   FROM ({sliced(type_rows("dirty", DIRTY_SCHEMA))}) GROUP BY slice) AS t ON t.slice IS NOT DISTINCT FROM m.slice
+  JOIN (SELECT slice, sum(violation_count) AS violations
+   FROM ({sliced(rule_rows("dirty", DIRTY_RULE_ROWS))}) GROUP BY slice) AS r ON r.slice IS NOT DISTINCT FROM m.slice"""
+
+
 def oracle_sql() -> dict[str, str]:
     dirty = f"WITH {DIRTY_CTE} "
     documents = ["text", "lang", "source", "n_chars"]
@@ -762,8 +801,16 @@ def oracle_sql() -> dict[str, str]:
         "'{\"kind\":\"' || event_type || '\"}' AS named FROM events",
         "run_with_date_formats": "SELECT 'shipped' AS column_name, count(*) AS non_null_count, "
         "count(*) FILTER (WHERE l_linenumber = 7) AS invalid_count FROM lineitem",
-        "sink_two_datasets": "SELECT 'run-1' AS run_id, 'nation' AS dataset, count(*) AS row_count FROM nation "
-        "UNION ALL SELECT 'run-1', 'region', count(*) FROM region",
+        "sink_two_datasets": "SELECT 'run-1' AS run_id, 'orders' AS dataset, count(*) AS row_count FROM orders "
+        "UNION ALL SELECT 'run-1', 'events', count(*) FROM events",
+        "missing_by_slice": STATUS_SLICES + sliced(missing_rows("dataset")),
+        "rules_by_slice": LINE_SLICES + sliced(rule_rows("dataset", LINE_RULE_ROWS)),
+        "score_by_slice": f"{STATUS_SLICES}, facts AS ({SLICE_FACTS}) SELECT NULLIF(dataset, 'whole') AS slice, "
+        f"overall_score, max_score, rating FROM ({score})",
+        "stream_rules": dirty + rule_rows("dataset", DIRTY_RULE_ROWS),
+        "stream_types": dirty + type_rows("dataset", DIRTY_SCHEMA),
+        "stream_quarantined": f"{dirty} SELECT * FROM (SELECT event_id, concat_ws('|', {PROBLEMS}) AS problems "
+        "FROM d) WHERE problems <> ''",
         "dup_key_rows": "SELECT * EXCLUDE (n), n AS duplicate_count "
         "FROM (SELECT *, count(*) OVER (PARTITION BY l_orderkey, l_linenumber) AS n FROM lineitem) WHERE n > 1",
         "dup_full_row_summary": duplicate_totals("dataset", "documents", documents, "full_row"),

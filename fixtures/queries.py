@@ -17,6 +17,7 @@ from fixtures.tables import (
     REFERENCE_DATE,
     TABLES,
     dirty,
+    dirty_stream,
     documents_without_id,
     load,
     with_text,
@@ -34,7 +35,9 @@ from plumbline.operators.sqlcheck import (
     value_distribution,
 )
 from plumbline.operators.suggest import suggest_configs
+from plumbline.operators.slices import check_slices, missing_by_slice, rules_by_slice
 from plumbline.plans.storage import scratch_path, settle
+from plumbline.streaming.checks import StreamChecks, check_stream
 
 LINE_KEY = ("l_orderkey", "l_linenumber")
 RUN_DAY = date(2026, 1, 2)
@@ -229,10 +232,34 @@ def _date_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run.types.select("column_name", "non_null_count", "invalid_count")
 
 
+def _streamed(spark: SparkSession, sf_dir: str) -> StreamChecks:
+    config = pl.RunConfig("dataset", None, DIRTY_SCHEMA, DIRTY_RULES)
+    path = scratch_path(spark, "stream")
+    return check_stream(dirty_stream(spark, sf_dir), path, config, reference_date=REFERENCE_DATE)
+
+
+def _quarantined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _streamed(spark, sf_dir).quarantined_rows()
+    return rows.select("event_id", F.array_join("_problems", "|").alias("problems"))
+
+
+LINE_RULES = (
+    pl.Rule("small_discount", "l_discount", "range", max_value=0.08),
+    pl.Rule("few", "l_quantity", "range", 1, 45),
+    pl.Rule("status_known", "l_linestatus", "allowed_values", allowed_values=("O",)),
+)
+
+
+def _sliced_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    config = pl.RunConfig("dirty", ("record_id",), DIRTY_SCHEMA, DIRTY_RULES)
+    found = check_slices(dirty(spark, sf_dir), ["status"], config, REFERENCE_DATE)
+    return found.score.select("slice", "overall_score", "max_score", "rating")
+
+
 def _two_datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two tables stored under one run, one of them again on the next day."""
     path = scratch_path(spark, "results")
-    for name, day in (("nation", 2), ("region", 2), ("nation", 3)):
+    for name, day in (("orders", 2), ("events", 2), ("orders", 3)):
         run = pl.run_checks(load(spark, sf_dir, name), pl.RunConfig(name))
         pl.write_result(run, path, run_id="run-1", run_date=date(2026, 1, day))
     return pl.read_result(spark, path, "counts").select("run_id", "dataset", "row_count")
@@ -371,6 +398,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "csv_scan_line_breaks": _csv_line_breaks,
         "sink_roundtrip": _stored,
         "sink_two_datasets": _two_datasets,
+        "missing_by_slice": lambda s, d: missing_by_slice(dirty(s, d), ["status"]).drop("slice_values"),
+        "rules_by_slice": lambda s, d: rules_by_slice(
+            load(s, d, "lineitem"), ["l_returnflag", "l_linestatus"], LINE_RULES
+        ).drop("slice_values"),
+        "score_by_slice": _sliced_score,
+        "stream_rules": lambda s, d: _streamed(s, d).results()["rules"],
+        "stream_types": lambda s, d: _streamed(s, d).results()["types"],
+        "stream_quarantined": _quarantined,
     }
     found.update({name: _sql(name) for name in SQL})
     return found

@@ -73,6 +73,18 @@ def dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(DIRTY.format(S="STRING", T="{events}"), events=load(spark, sf_dir, "events"))
 
 
+def dirty_stream(spark: SparkSession, sf_dir: str, files: int = 4) -> DataFrame:
+    """The dirty table as a stream of files."""
+    schema = load(spark, sf_dir, "events").schema
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", files)
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/events.parquet")
+    if path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory():
+        events = source.parquet(f"{sf_dir}/events.parquet")
+    else:  # a stream watches a folder
+        events = source.option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    return spark.sql(DIRTY.format(S="STRING", T="{events}"), events=events)
+
+
 def documents_without_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "documents").drop("doc_id")
 

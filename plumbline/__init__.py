@@ -14,6 +14,13 @@ from plumbline.operators.rules import (
     rule_summary,
 )
 from plumbline.operators.scoring import score_components, score_recommendations, score_totals
+from plumbline.operators.slices import (
+    SlicedResult,
+    check_slices,
+    missing_by_slice,
+    rules_by_slice,
+    types_by_slice,
+)
 from plumbline.operators.sqlcheck import check_read_only, run_queries, sql_session
 from plumbline.operators.suggest import (
     describe_table,
@@ -31,24 +38,30 @@ from plumbline.plans.config import Rule, RunConfig, SqlQuery
 from plumbline.plans.run import AutoRun, RunResult, auto_run, run_checks, verify_run
 from plumbline.sources.csv import read_csv
 from plumbline.sources.sink import read_result, write_result
+from plumbline.streaming.checks import StreamChecks, check_stream
 
 __all__ = [
     "AutoRun",
     "Rule",
     "RunConfig",
     "RunResult",
+    "SlicedResult",
     "SqlQuery",
+    "StreamChecks",
     "auto_run",
     "check_allowed_table",
     "check_duplicates",
     "check_missing",
     "check_read_only",
     "check_rules",
+    "check_slices",
+    "check_stream",
     "check_types",
     "describe_table",
     "describe_tables",
     "duplicate_rows",
     "largest_duplicate_groups",
+    "missing_by_slice",
     "missing_summary",
     "preview",
     "profile_columns",
@@ -56,6 +69,7 @@ __all__ = [
     "read_result",
     "rule_examples",
     "rule_summary",
+    "rules_by_slice",
     "run_checks",
     "run_queries",
     "sample_values",
@@ -72,6 +86,7 @@ __all__ = [
     "summarize_verification",
     "type_examples",
     "type_summary",
+    "types_by_slice",
     "verify",
     "verify_run",
     "write_result",

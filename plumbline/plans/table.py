@@ -32,11 +32,14 @@ class Table:
     kinds: tuple[T.DataType, ...]
 
     @classmethod
-    def of(cls, df: DataFrame) -> Table:
-        fields = df.schema.fields
-        frame = df.toDF(*[f"c{i}" for i in range(len(fields))])
+    def of(cls, df: DataFrame, carried: int = 0) -> Table:
+        """The last ``carried`` columns are no part of the table but come along as carried_0, ..."""
+        fields = df.schema.fields[: len(df.columns) - carried]
+        kept = [f"carried_{i}" for i in range(carried)]
+        frame = df.toDF(*[f"c{i}" for i in range(len(fields))], *kept)
         frame = frame.select(
-            *[without_nan(F.col(f"c{i}"), f.dataType).alias(f"c{i}") for i, f in enumerate(fields)]
+            *[without_nan(F.col(f"c{i}"), f.dataType).alias(f"c{i}") for i, f in enumerate(fields)],
+            *kept,
         )
         return cls(frame, tuple(f.name for f in fields), tuple(f.dataType for f in fields))
 
@@ -98,11 +101,25 @@ class Scan:
             "*", *[expression.alias(label) for label, expression in self._values.items()]
         )
 
+    @property
+    def labels(self) -> list[str]:
+        """Names of all totals asked for."""
+        return list(self._totals)
+
+    def totals(self, *by: Column) -> DataFrame:
+        """All totals, for each value of the columns given; a task sends one row per value."""
+        return self.row_values().groupBy(*by).agg(*self.aggregates())
+
+    def aggregates(self) -> list[Column]:
+        return [aggregate.alias(label) for label, aggregate in self._totals.items()]
+
     def row(self, **results: Column) -> DataFrame:
-        totals = self.row_values().agg(
-            *[aggregate.alias(label) for label, aggregate in self._totals.items()]
-        )
+        return self.results(self.totals(), **results)
+
+    def results(self, totals: DataFrame, *kept: str, **results: Column) -> DataFrame:
+        """What the checks describe over rows of totals, with the columns to keep in front."""
         return totals.select(
+            *kept,
             F.lit(self.dataset).alias("dataset"),
             F.col("row_count"),
             F.lit(len(self.table.names)).cast("long").alias("column_count"),
