@@ -746,6 +746,10 @@ LINE_RULE_ROWS = [
     ("few", "l_quantity", "range", "l_quantity < 1 OR l_quantity > 45", ""),
     ("status_known", "l_linestatus", "allowed_values", "l_linestatus <> 'O'", ""),
 ]
+ORDER_RULE_ROWS = [
+    ("price_fits", "o_totalprice", "range", "o_totalprice < 1000 OR o_totalprice > 400000", ""),
+    ("done", "o_orderstatus", "allowed_values", "o_orderstatus NOT IN ('F', 'O')", ""),
+]
 PROBLEMS = ", ".join(
     [f"CASE WHEN {condition} THEN '{name}' END" for name, _, _, condition, _ in DIRTY_RULE_ROWS]
     + [f"CASE WHEN {invalid(c, e)} THEN '{c} is no {e}' END" for c, e in DIRTY_SCHEMA.items()]
@@ -803,6 +807,8 @@ def oracle_sql() -> dict[str, str]:
         "count(*) FILTER (WHERE l_linenumber = 7) AS invalid_count FROM lineitem",
         "sink_two_datasets": "SELECT 'run-1' AS run_id, 'orders' AS dataset, count(*) AS row_count FROM orders "
         "UNION ALL SELECT 'run-1', 'events', count(*) FROM events",
+        "incremental_run": f"WITH d AS (SELECT * FROM orders) {rule_rows('orders', ORDER_RULE_ROWS)}",
+        "incremental_duplicates": duplicate_totals("dataset", "lineitem", line_key, "key_columns"),
         "missing_by_slice": STATUS_SLICES + sliced(missing_rows("dataset")),
         "rules_by_slice": LINE_SLICES + sliced(rule_rows("dataset", LINE_RULE_ROWS)),
         "score_by_slice": f"{STATUS_SLICES}, facts AS ({SLICE_FACTS}) SELECT NULLIF(dataset, 'whole') AS slice, "

@@ -7,7 +7,7 @@ from dataclasses import replace
 from datetime import date
 from functools import lru_cache
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import plumbline as pl
@@ -36,6 +36,7 @@ from plumbline.operators.sqlcheck import (
 )
 from plumbline.operators.suggest import suggest_configs
 from plumbline.operators.slices import check_slices, missing_by_slice, rules_by_slice
+from plumbline.plans.incremental import incremental_run
 from plumbline.plans.storage import scratch_path, settle
 from plumbline.streaming.checks import StreamChecks, check_stream
 
@@ -256,6 +257,33 @@ def _sliced_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.score.select("slice", "overall_score", "max_score", "rating")
 
 
+ORDER_RULES = (
+    pl.Rule("price_fits", "o_totalprice", "range", 1000, 400000),
+    pl.Rule("done", "o_orderstatus", "allowed_values", allowed_values=("F", "O")),
+)
+
+
+def _grown(spark: SparkSession, sf_dir: str, table: str, half: Column, config: pl.RunConfig):
+    """A folder with half of a table is checked, then again with the other half added."""
+    df, folder = load(spark, sf_dir, table), scratch_path(spark, table)
+    store = scratch_path(spark, "states")
+    for chosen in (half, ~half):
+        df.filter(chosen).write.mode("append").parquet(folder)
+        found = incremental_run(spark, folder, store, config, reference_date=REFERENCE_DATE)
+    return found
+
+
+def _grown_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    config = pl.RunConfig("orders", ("o_orderkey",), None, ORDER_RULES)
+    return _grown(spark, sf_dir, "orders", F.col("o_orderkey") % 2 == 0, config).tables["rules"]
+
+
+def _grown_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    config = pl.RunConfig("dataset", LINE_KEY)
+    found = _grown(spark, sf_dir, "lineitem", F.col("l_partkey") % 3 == 0, config)
+    return with_text(found.tables["duplicates"], "key_columns")
+
+
 def _two_datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two tables stored under one run, one of them again on the next day."""
     path = scratch_path(spark, "results")
@@ -398,6 +426,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "csv_scan_line_breaks": _csv_line_breaks,
         "sink_roundtrip": _stored,
         "sink_two_datasets": _two_datasets,
+        "incremental_run": _grown_orders,
+        "incremental_duplicates": _grown_lines,
         "missing_by_slice": lambda s, d: missing_by_slice(dirty(s, d), ["status"]).drop("slice_values"),
         "rules_by_slice": lambda s, d: rules_by_slice(
             load(s, d, "lineitem"), ["l_returnflag", "l_linestatus"], LINE_RULES

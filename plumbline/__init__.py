@@ -35,6 +35,7 @@ from plumbline.operators.suggest import (
 from plumbline.operators.types import check_types, type_examples, type_summary
 from plumbline.operators.verification import summarize_verification, verify
 from plumbline.plans.config import Rule, RunConfig, SqlQuery
+from plumbline.plans.incremental import CheckStore, IncrementalResult, incremental_run
 from plumbline.plans.run import AutoRun, RunResult, auto_run, run_checks, verify_run
 from plumbline.sources.csv import read_csv
 from plumbline.sources.sink import read_result, write_result
@@ -42,6 +43,8 @@ from plumbline.streaming.checks import StreamChecks, check_stream
 
 __all__ = [
     "AutoRun",
+    "CheckStore",
+    "IncrementalResult",
     "Rule",
     "RunConfig",
     "RunResult",
@@ -60,6 +63,7 @@ __all__ = [
     "describe_table",
     "describe_tables",
     "duplicate_rows",
+    "incremental_run",
     "largest_duplicate_groups",
     "missing_by_slice",
     "missing_summary",
