@@ -18,11 +18,11 @@ id stays.
   pivots of its other buckets, as far as they are in other classes.
 * What is left are buckets that hold several classes still. All their pairs across classes are candidates,
   those with the nodes of the largest class included. Small buckets are joined with themselves. A large one
-  is cut into blocks, and each pair of blocks is compared by a task. A node of which more than a fifth of
-  the runs occur in no other candidate has no link, and is left out; a count-min sketch, which never counts
-  too few, finds those. A pair is left out likewise if its nodes share too few runs with all other
-  candidates together to be so similar. Of many pairs, each node's most alike are verified first, so that
-  most others come to be within a class; those that don't are verified too.
+  is cut into blocks, and each pair of blocks is compared by a task, which verifies the most alike pairs
+  first and returns those links alone that join two classes: pairs within a class by then say nothing
+  new. A node of which more than a fifth of the runs occur in no other candidate has no link, and is left
+  out; a count-min sketch, which never counts too few, finds those. A pair is left out likewise if its
+  nodes share too few runs with all other candidates together to be so similar.
 * Pairs whose signatures agree in less than 0.62 of the registers are no links: at a similarity of 0.8
   that has a chance below 2e-6. All others are verified on the whole sets of runs, as 64-bit hashes.
 
@@ -59,7 +59,11 @@ SMALL = 16
 #: Nodes of a block of a large bucket, and of a block's rows that are compared with another's at a time.
 BLOCK = 512
 PORTION = 32
-#: While more pairs than this are left, each node's most alike is verified first, so many rounds at most.
+#: A node of more runs than this does not take them to every block; its pairs are verified by a join.
+LONG = 20_000
+#: Pairs of a block that are looked at together.
+PAIRS = 4096
+#: While more pairs than this are left, one of each node is verified first, so many rounds at most.
 MANY = 50_000
 FIRST_ROUNDS = 3
 #: Share of the registers that have to agree for a pair to be verified.
@@ -410,22 +414,71 @@ def _dealt_blocks(held: DataFrame) -> DataFrame:
         F.least("block", "other").alias("i"),
         F.greatest("block", "other").alias("j"),
         (F.col("block") <= F.col("other")).alias("left"),
-        "node", "label", "n", "common", "registers",
+        "node", "label", "n", "common", "registers", "runs",
     )
 
 
+class _Classes:
+    """Classes of the nodes of two blocks, as they grow together."""
+
+    def __init__(self, labels: list[np.ndarray]) -> None:
+        rows = np.ascontiguousarray(np.concatenate(labels))
+        _, self.number = np.unique(rows.view(f"V{rows.shape[1]}").ravel(), return_inverse=True)
+        self.root = np.arange(len(rows) and int(self.number.max()) + 1)
+
+    def apart(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return self.root[self.number[x]] != self.root[self.number[y]]
+
+    def join(self, x: int, y: int) -> None:
+        a, b = self.root[self.number[[x, y]]]
+        self.root[self.root == b] = a
+
+
+def _spanning(
+    x: np.ndarray, y: np.ndarray, agree: np.ndarray, classes: _Classes, runs: list[np.ndarray | None], similarity: float
+) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """Of pairs in different classes: verified ones that join all classes the pairs join, and unsure ones.
+
+    The most alike come first, so most others have ended up within a class when their turn comes.
+    """
+    sure, unsure = [], []
+    order = np.argsort(-agree, kind="stable")
+    for at in range(0, len(order), PAIRS):
+        some = order[at : at + PAIRS]
+        for i, j in zip(*(v[some[classes.apart(x[some], y[some])]].tolist() for v in (x, y))):
+            a, b = runs[i], runs[j]
+            if a is None or b is None:
+                unsure.append((i, j))
+            elif classes.apart(np.array(i), np.array(j)) and _similar(a, b, similarity):
+                classes.join(i, j)
+                sure.append((i, j))
+    return sure, unsure
+
+
+def _similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether two sets, in order, are as similar as asked."""
+    a, b = (a, b) if len(a) <= len(b) else (b, a)
+    at = np.searchsorted(b, a)
+    shared = int(np.count_nonzero(b[np.minimum(at, len(b) - 1)] == a)) if len(a) else 0
+    return shared >= similarity * (len(a) + len(b) - shared) - 1e-9
+
+
 def _possible(n: np.ndarray, common: np.ndarray, m: np.ndarray, others: np.ndarray, similarity: float) -> np.ndarray:
     """Whether sets of n and m runs, of which so many at most occur elsewhere, can be as similar as asked."""
     shared = np.minimum(common, others)
     return shared >= similarity * (n + m - shared) - 1e-9
 
 
-def _rest_pairs(open_nodes: DataFrame, labels: DataFrame, similarity: float) -> DataFrame:
-    """a, b and agree: all pairs across classes that share a bucket and can be links.
+def _rest_pairs(
+    open_nodes: DataFrame, labels: DataFrame, runs: DataFrame, similarity: float
+) -> tuple[DataFrame, DataFrame]:
+    """Links that hold, and pairs (a, b) still to be verified; together they join all that is to be joined.
 
-    open_nodes: node, n, common, bands, registers. A pair is left out only if the number of runs that its
-    nodes share with any other is too small, which is certain, or in large buckets also if fewer than
-    LIKELY of the registers agree; `agree` is REGISTERS for pairs of small buckets.
+    open_nodes: node, n, common, bands, registers. A pair of a shared bucket is left out if it is in one
+    class, if the number of runs that its nodes share with any other is too small for a link, or in large
+    buckets if fewer than LIKELY of the registers agree. Pairs of small buckets come as they are. The
+    tasks that compare blocks of large ones have the runs there, verify, and return the links that join
+    classes, so no more than there are classes. Only nodes of very many runs are left to be verified.
     """
     known = saved(_with_labels(open_nodes, labels, "node", "label"), "open")
     rows = known.select("node", "n", "label", "common", F.explode("bands").alias("bucket"))
@@ -443,7 +496,11 @@ def _rest_pairs(open_nodes: DataFrame, labels: DataFrame, similarity: float) ->
     )
     every = every.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
     large = held.filter(F.col("size") > SMALL)
-    with_registers = large.join(known.select("node", "registers"), "node")
+    wanted = large.select("node").distinct()
+    described = known.select("node", "registers").join(wanted, "node").join(
+        runs.filter(F.size("runs") <= LONG), "node", "left"
+    )
+    with_runs = large.join(described, "node")
 
     def compare(group: pa.Table) -> pa.Table:
         def part(left: bool) -> tuple[np.ndarray, ...]:
@@ -452,12 +509,18 @@ def _rest_pairs(open_nodes: DataFrame, labels: DataFrame, similarity: float) ->
                 np.frombuffer(b"".join(mine.column(c).to_pylist()), np.uint8).reshape(mine.num_rows, -1)
                 for c in ("node", "label", "registers")
             ]
-            return (*fixed, mine.column("n").to_numpy(), mine.column("common").to_numpy())
+            held = [
+                one.values.to_numpy().view(np.uint64) if one.is_valid else None for one in mine.column("runs")
+            ]
+            return (*fixed, mine.column("n").to_numpy(), mine.column("common").to_numpy(), held)
 
         left_side = group.column("left").to_numpy()
         a = part(True)
         # A block that meets itself has no right side.
         b = a if group.column("i")[0].as_py() == group.column("j")[0].as_py() else part(False)
+        offset = 0 if a is b else len(a[0])
+        names, own_runs = (a[0], a[5]) if a is b else (np.concatenate([a[0], b[0]]), a[5] + b[5])
+        classes = _Classes([a[1]] if a is b else [a[1], b[1]])
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for first in range(0, len(a[0]) if len(b[0]) else 0, PORTION):
             mine = slice(first, first + PORTION)
@@ -466,45 +529,47 @@ def _rest_pairs(open_nodes: DataFrame, labels: DataFrame, similarity: float) ->
             x += first
             if a is b:
                 x, y = x[x < y], y[x < y]
-            across = (a[1][x] != b[1][y]).any(axis=1)
+            across = classes.apart(x, y + offset)
             x, y = x[across], y[across]
             agree = np.count_nonzero(a[2][x] == b[2][y], axis=1)
             likely = agree >= LIKELY * REGISTERS
-            found.append((x[likely], y[likely], agree[likely]))
+            found.append((x[likely], y[likely] + offset, agree[likely]))
         x, y, agree = (np.concatenate([f[k] for f in found] or [np.zeros(0, int)]) for k in range(3))
-        pairs = [
-            sorted((p.tobytes(), q.tobytes())) for p, q in zip(a[0][x], b[0][y], strict=True)
-        ]
+        sure, unsure = _spanning(x, y, agree, classes, own_runs, similarity)
+        pairs = [sorted((names[i].tobytes(), names[j].tobytes())) for i, j in sure + unsure]
         return pa.Table.from_arrays(
             [
                 pa.array([p for p, _ in pairs], pa.binary()),
                 pa.array([q for _, q in pairs], pa.binary()),
-                pa.array(agree, pa.int64()),
+                pa.array([True] * len(sure) + [False] * len(unsure), pa.bool_()),
             ],
-            ["a", "b", "agree"],
+            ["a", "b", "sure"],
         )
 
-    met = _dealt_blocks(with_registers).groupBy("bucket", "i", "j")
-    by_blocks = met.applyInArrow(compare, "a binary, b binary, agree bigint")
-    both = by_blocks.unionByName(every.withColumn("agree", F.lit(REGISTERS).cast("long")))
-    return both.groupBy("a", "b").agg(F.max("agree").alias("agree"))
+    met = _dealt_blocks(with_runs).groupBy("bucket", "i", "j")
+    by_blocks = saved(met.applyInArrow(compare, "a binary, b binary, sure boolean"), "by_blocks")
+    unsure = by_blocks.filter(~F.col("sure")).select("a", "b")
+    return by_blocks.filter("sure").select("a", "b"), every.unionByName(unsure).distinct()
 
 
 def _linked_by_rest(
-    pairs: DataFrame, labels: DataFrame, nodes: DataFrame, runs: DataFrame, similarity: float
+    links: DataFrame, pairs: DataFrame, labels: DataFrame, nodes: DataFrame, runs: DataFrame, similarity: float
 ) -> DataFrame:
-    """The labels after all pairs: first each node's most alike, as long as pairs are many, then all."""
-    pairs = saved(pairs, "pairs")
+    """The labels after the links, and after the pairs that turn out to be links.
+
+    While many pairs are across classes, one of each node is verified first; then all that are left.
+    """
+    labels = components(links, labels)
+    left = saved(_across(pairs, labels), "pairs")
     for _ in range(FIRST_ROUNDS):
-        if pairs.count() <= MANY:
+        if left.count() <= MANY:
             break
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("end"), "a", "b", "agree")
-        best = ends.groupBy("end").agg(F.max(F.struct("agree", "a", "b")).alias("best"))
-        best = saved(best.select("best.a", "best.b").distinct(), "best")
-        labels = components(_verified(best, nodes, runs, similarity), labels)
-        left = pairs.join(best, ["a", "b"], "left_anti")
-        pairs = saved(_across(left, labels, "agree"), "pairs")
-    return components(_verified(pairs.select("a", "b"), nodes, runs, similarity), labels)
+        ends = left.select(F.explode(F.array("a", "b")).alias("end"), "a", "b")
+        first = ends.groupBy("end").agg(F.min(F.struct("a", "b")).alias("one"))
+        first = saved(first.select("one.a", "one.b").distinct(), "first")
+        labels = components(_verified(first, nodes, runs, similarity), labels)
+        left = saved(_across(left.join(first, ["a", "b"], "left_anti"), labels), "pairs")
+    return components(_verified(left, nodes, runs, similarity), labels)
 
 
 def near_duplicates(
@@ -558,7 +623,8 @@ def near_duplicates(
     in_mixed = join_groups(shared.select("bucket", "node"), mixed_buckets, "bucket", "size", nodes.count())
     open_nodes = _without_strangers(in_mixed.select("node").distinct(), runs, similarity)
     open_nodes = saved(nodes.join(open_nodes, "node"), "open")
-    labels = _linked_by_rest(_rest_pairs(open_nodes, labels, similarity), labels, nodes, runs, similarity)
+    links, pairs = _rest_pairs(open_nodes, labels, runs, similarity)
+    labels = _linked_by_rest(links, pairs, labels, nodes, runs, similarity)
 
     of_node = copies.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     of_node = saved(of_node, "classes")

@@ -341,7 +341,9 @@ def test_small_buckets_give_all_pairs(spark):
         "node binary, n bigint, common bigint, bands array<bigint>, registers binary",
     )
     labels = spark.createDataFrame([], "node binary, label binary")
-    found = near_dedup._rest_pairs(nodes, labels, 0.8).collect()
+    runs = spark.createDataFrame([(name, list(range(10))) for name in names], "node binary, runs array<bigint>")
+    links, pairs = near_dedup._rest_pairs(nodes, labels, runs, 0.8)
+    found = links.collect() + pairs.collect()
     assert sorted((bytes(r["a"]), bytes(r["b"])) for r in found) == [
         (names[0], names[1]), (names[0], names[2]), (names[1], names[2]),
     ]
