@@ -807,6 +807,13 @@ def oracle_sql() -> dict[str, str]:
         "count(*) FILTER (WHERE l_linenumber = 7) AS invalid_count FROM lineitem",
         "sink_two_datasets": "SELECT 'run-1' AS run_id, 'orders' AS dataset, count(*) AS row_count FROM orders "
         "UNION ALL SELECT 'run-1', 'events', count(*) FROM events",
+        "distinct_counts": dirty + union(
+            [
+                f"SELECT 'dataset' AS dataset, '{c}' AS column_name, {i} AS position, "
+                f"count({c}) AS non_null_count, count(DISTINCT {c}) AS distinct_count FROM d"
+                for i, c in enumerate(DIRTY_COLUMNS)
+            ]
+        ),
         "incremental_run": f"WITH d AS (SELECT * FROM orders) {rule_rows('orders', ORDER_RULE_ROWS)}",
         "incremental_duplicates": duplicate_totals("dataset", "lineitem", line_key, "key_columns"),
         "missing_by_slice": STATUS_SLICES + sliced(missing_rows("dataset")),

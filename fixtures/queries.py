@@ -35,6 +35,7 @@ from plumbline.operators.sqlcheck import (
     value_distribution,
 )
 from plumbline.operators.suggest import suggest_configs
+from plumbline.operators.distinct import distinct_counts
 from plumbline.operators.slices import check_slices, missing_by_slice, rules_by_slice
 from plumbline.plans.incremental import incremental_run
 from plumbline.plans.storage import scratch_path, settle
@@ -426,6 +427,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "csv_scan_line_breaks": _csv_line_breaks,
         "sink_roundtrip": _stored,
         "sink_two_datasets": _two_datasets,
+        "distinct_counts": lambda s, d: distinct_counts(dirty(s, d), exact=True),
         "incremental_run": _grown_orders,
         "incremental_duplicates": _grown_lines,
         "missing_by_slice": lambda s, d: missing_by_slice(dirty(s, d), ["status"]).drop("slice_values"),

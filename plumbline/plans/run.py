@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from plumbline.functions.grading import check_limit, check_thresholds
 from plumbline.functions.parsing import TIME_TYPES, is_checkable
 from plumbline.operators import findings
+from plumbline.operators.distinct import free_text
 from plumbline.operators.duplicates import DuplicateGroups
 from plumbline.operators.missing import plan_missing, summarize_missing
 from plumbline.operators.profile import plan_profile, sample_values
@@ -310,21 +311,40 @@ def auto_run(
     max_categorical_queries: int | None = 3,
     max_numeric_queries: int | None = 3,
     max_date_queries: int | None = 2,
+    max_distinct: int | None = None,
     **options,
 ) -> AutoRun:
     """Describe the table, take all suggested checks, run and verify them.
 
     The numbers of suggested queries are those of ``suggest_queries``, None for all columns;
-    ``options`` are those of ``run_checks``.
+    ``options`` are those of ``run_checks``. With ``max_distinct``, columns of more different values, by an
+    estimate that takes a pass of its own, get no distribution, and others take their place.
     """
     columns = settle(describe_table(df, dataset_name))
-    config = suggest_config(
-        columns, dataset_name, max_categorical_queries, max_numeric_queries, max_date_queries
-    )
+    numbers = (max_numeric_queries, max_date_queries)
+    if max_distinct is None:
+        config = suggest_config(columns, dataset_name, max_categorical_queries, *numbers)
+    else:
+        config = suggest_config(columns, dataset_name, None, *numbers)
+        config = _without_distributions(
+            config, set(free_text(df, max_distinct)), max_categorical_queries
+        )
     result = run_checks(df, config, row_id=row_id, reference_date=reference_date, **options)
     return AutoRun(columns, config, suggestion_notes(config), verify_run(df, result))
 
 
+def _without_distributions(config: RunConfig, columns: set[str], most: int | None) -> RunConfig:
+    """The configuration without the distributions of the columns, and with ``most`` at most."""
+    kept, shown = [], 0
+    for query in config.sql_queries:
+        if query.kind == "distribution":
+            if query.column_name in columns or (most is not None and shown >= most):
+                continue
+            shown += 1
+        kept.append(query)
+    return replace(config, sql_queries=tuple(kept))
+
+
 def _ranges_in_scan(table: Table, queries: Sequence[SqlQuery]) -> tuple[list[str], list[str]]:
     """Columns whose suggested summaries the shared pass can answer."""
     numbers, days = [], []
