@@ -807,6 +807,10 @@ def oracle_sql() -> dict[str, str]:
         "count(*) FILTER (WHERE l_linenumber = 7) AS invalid_count FROM lineitem",
         "sink_two_datasets": "SELECT 'run-1' AS run_id, 'orders' AS dataset, count(*) AS row_count FROM orders "
         "UNION ALL SELECT 'run-1', 'events', count(*) FROM events",
+        "asof_events": "SELECT b.event_id, b.user_id, b.ts, v.view_id, v.ts AS viewed "
+        "FROM (SELECT * FROM events WHERE event_type = 'purchase') AS b ASOF LEFT JOIN "
+        "(SELECT user_id, ts, max(event_id) AS view_id FROM events WHERE event_type = 'view' GROUP BY user_id, ts) AS v "
+        "ON b.user_id = v.user_id AND b.ts >= v.ts",
         "distinct_counts": dirty + union(
             [
                 f"SELECT 'dataset' AS dataset, '{c}' AS column_name, {i} AS position, "

@@ -35,6 +35,7 @@ from plumbline.operators.sqlcheck import (
     value_distribution,
 )
 from plumbline.operators.suggest import suggest_configs
+from plumbline.operators.asof import asof_join
 from plumbline.operators.distinct import distinct_counts
 from plumbline.operators.slices import check_slices, missing_by_slice, rules_by_slice
 from plumbline.plans.incremental import incremental_run
@@ -258,6 +259,15 @@ def _sliced_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.score.select("slice", "overall_score", "max_score", "rating")
 
 
+def _asof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each purchase with the last view of the same user up to then."""
+    events = load(spark, sf_dir, "events")
+    bought = events.filter("event_type = 'purchase'").select("event_id", "user_id", "ts")
+    views = events.filter("event_type = 'view'").groupBy("user_id", "ts").agg(F.max("event_id").alias("view_id"))
+    found = asof_join(bought, views, "ts", "ts", [("user_id", "user_id")])
+    return found.select("event_id", "user_id", "ts", "view_id", F.col("ts_right").alias("viewed"))
+
+
 ORDER_RULES = (
     pl.Rule("price_fits", "o_totalprice", "range", 1000, 400000),
     pl.Rule("done", "o_orderstatus", "allowed_values", allowed_values=("F", "O")),
@@ -427,6 +437,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "csv_scan_line_breaks": _csv_line_breaks,
         "sink_roundtrip": _stored,
         "sink_two_datasets": _two_datasets,
+        "asof_events": _asof,
         "distinct_counts": lambda s, d: distinct_counts(dirty(s, d), exact=True),
         "incremental_run": _grown_orders,
         "incremental_duplicates": _grown_lines,

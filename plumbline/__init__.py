@@ -1,5 +1,7 @@
 """Data-quality checks for Spark DataFrames."""
 
+from plumbline.operators.asof import asof_join
+from plumbline.operators.distinct import distinct_counts, distinct_states, merge_distinct
 from plumbline.operators.duplicates import (
     check_duplicates,
     duplicate_rows,
@@ -51,6 +53,7 @@ __all__ = [
     "SlicedResult",
     "SqlQuery",
     "StreamChecks",
+    "asof_join",
     "auto_run",
     "check_allowed_table",
     "check_duplicates",
@@ -62,9 +65,12 @@ __all__ = [
     "check_types",
     "describe_table",
     "describe_tables",
+    "distinct_counts",
+    "distinct_states",
     "duplicate_rows",
     "incremental_run",
     "largest_duplicate_groups",
+    "merge_distinct",
     "missing_by_slice",
     "missing_summary",
     "preview",
