@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fixtures.queries import BATCH, LINE_KEY, RUN_DAY, SQL
+from fixtures.queries import BATCH, LINE_KEY, QUANTILES, RUN_DAY, SQL
 from fixtures.tables import DIRTY, DIRTY_COLUMNS, DIRTY_RULES, DIRTY_SCHEMA
 from plumbline.operators.suggest import TEXT_DAY
 
@@ -818,6 +818,16 @@ def oracle_sql() -> dict[str, str]:
                 for i, c in enumerate(DIRTY_COLUMNS)
             ]
         ),
+        "numeric_quantiles": dirty + union(
+            [
+                f"SELECT '{c}' AS column_name, {i} AS position, count(x) AS value_count, "
+                f"CAST({p} AS DOUBLE) AS probability, min(x) FILTER (place >= {p}) AS value "
+                f"FROM (SELECT x, cume_dist() OVER (ORDER BY x) AS place FROM "
+                f"(SELECT {number} AS x FROM d) WHERE x IS NOT NULL)"
+                for i, (c, number) in enumerate((("age", AGE), ("amount", "amount"), ("reading", "reading")))
+                for p in QUANTILES
+            ]
+        ),
         "incremental_run": f"WITH d AS (SELECT * FROM orders) {rule_rows('orders', ORDER_RULE_ROWS)}",
         "incremental_duplicates": duplicate_totals("dataset", "lineitem", line_key, "key_columns"),
         "missing_by_slice": STATUS_SLICES + sliced(missing_rows("dataset")),

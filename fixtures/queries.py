@@ -37,6 +37,7 @@ from plumbline.operators.sqlcheck import (
 from plumbline.operators.suggest import suggest_configs
 from plumbline.operators.asof import asof_join
 from plumbline.operators.distinct import distinct_counts
+from plumbline.operators.quantiles import numeric_quantiles
 from plumbline.operators.slices import check_slices, missing_by_slice, rules_by_slice
 from plumbline.plans.incremental import incremental_run
 from plumbline.plans.storage import scratch_path, settle
@@ -268,6 +269,7 @@ def _asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("event_id", "user_id", "ts", "view_id", F.col("ts_right").alias("viewed"))
 
 
+QUANTILES = (0.0, 0.1, 0.5, 0.75, 1.0)
 ORDER_RULES = (
     pl.Rule("price_fits", "o_totalprice", "range", 1000, 400000),
     pl.Rule("done", "o_orderstatus", "allowed_values", allowed_values=("F", "O")),
@@ -439,6 +441,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "sink_two_datasets": _two_datasets,
         "asof_events": _asof,
         "distinct_counts": lambda s, d: distinct_counts(dirty(s, d), exact=True),
+        "numeric_quantiles": lambda s, d: numeric_quantiles(
+            dirty(s, d), ["age", "amount", "reading"], QUANTILES, exact=True
+        ),
         "incremental_run": _grown_orders,
         "incremental_duplicates": _grown_lines,
         "missing_by_slice": lambda s, d: missing_by_slice(dirty(s, d), ["status"]).drop("slice_values"),

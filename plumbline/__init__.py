@@ -9,6 +9,12 @@ from plumbline.operators.duplicates import (
 )
 from plumbline.operators.missing import check_missing, missing_summary
 from plumbline.operators.profile import preview, profile_columns, sample_values
+from plumbline.operators.quantiles import (
+    merge_quantiles,
+    numeric_quantiles,
+    quantile_drift,
+    quantile_states,
+)
 from plumbline.operators.rules import (
     check_allowed_table,
     check_rules,
@@ -71,10 +77,14 @@ __all__ = [
     "incremental_run",
     "largest_duplicate_groups",
     "merge_distinct",
+    "merge_quantiles",
     "missing_by_slice",
     "missing_summary",
+    "numeric_quantiles",
     "preview",
     "profile_columns",
+    "quantile_drift",
+    "quantile_states",
     "read_csv",
     "read_result",
     "rule_examples",

@@ -37,10 +37,14 @@ def write_result(result: RunResult, path: str, run_id: str, run_date: date | Non
         )
 
     tables = {**result.tables(), "report": result.report()}
-    # A table without rows writes no partition, and one that the run lacks nothing at all.
-    for name in {*RunResult.__dataclass_fields__, "report"} - {"config"}:
-        _drop_partition(spark, f"{path}/{name}", run_id, dataset)
+    # Writing replaces a partition as a whole, so a failure leaves the earlier rows or the new ones.
     side_by_side(spark, [partial(write, name, table) for name, table in tables.items()])
+    # A table without rows writes no partition, and one that the run lacks nothing at all; what was
+    # stored of those goes last.
+    empty = side_by_side(spark, [table.isEmpty for table in tables.values()])
+    written = {name for name, none in zip(tables, empty, strict=True) if not none}
+    for name in {*RunResult.__dataclass_fields__, "report"} - {"config"} - written:
+        _drop_partition(spark, f"{path}/{name}", run_id, dataset)
 
 
 def _drop_partition(spark: SparkSession, table_path: str, run_id: str, dataset: str) -> None:
