@@ -72,7 +72,8 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = exact_dedup.open_index(spark)
-    found = exact_dedup.append_new(index, read_table(spark, sf_dir, "documents"))
+    found = exact_dedup.append_new(index, read_table(spark, sf_dir, "documents"), batches=4)
+    index.forget()
     return found.select(
         "doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256")
     )

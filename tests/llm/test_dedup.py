@@ -31,6 +31,40 @@ def test_exact_dedup_keeps_one_row_of_each_text(spark):
         assert [r["doc_id"] for r in mine if r["kept"]] == [largest]
 
 
+def test_batches_keep_the_same_rows_by_way_of_the_index(spark):
+    docs = table(spark)
+    columns = ("doc_id", "keep_id", "group_size", "kept", "digest")
+    whole = exact_dedup.append_new(exact_dedup.open_index(spark, buckets=3), docs)
+    index = exact_dedup.open_index(spark, buckets=3)
+    parts = exact_dedup.append_new(index, docs, batches=4)
+    assert collected(parts, *columns) == collected(whole, *columns)
+    assert index.read().count() == len({text or "" for _, text, *_ in rows()})
+
+
+def test_what_the_index_holds_decides(spark):
+    data = [(i, f"text {i % 5}") for i in range(40)]
+    docs = spark.createDataFrame(data, "doc_id bigint, text string")
+    index = exact_dedup.open_index(spark, buckets=2)
+    planted = spark.createDataFrame([("text 3", 1000)], "text string, keep_id bigint")
+    planted.select(F.unhex(F.sha2("text", 256)).alias("digest"), "keep_id").write.insertInto(index.table)
+    found = collected(exact_dedup.append_new(index, docs, batches=4), "doc_id", "keep_id", "group_size", "kept")
+    last = {0: 35, 1: 36, 2: 37, 3: 1000, 4: 39}
+    assert found == sorted(((i, last[i % 5], 8, i == last[i % 5]) for i, _ in data), key=repr)
+
+
+def test_buckets_of_an_index_are_kept(spark):
+    index = exact_dedup.open_index(spark, buckets=2)
+    docs = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id bigint, text string")
+    exact_dedup.append_new(index, docs).collect()
+    with pytest.raises(ValueError):
+        exact_dedup.open_index(spark, index.path, 3)
+    index.forget()
+    again = exact_dedup.open_index(spark, index.path)
+    assert again.buckets == 2
+    found = collected(exact_dedup.append_new(again, docs), "doc_id", "kept")
+    assert found == [(1, False), (2, False)]
+
+
 def test_index_persists_and_grows(spark):
     first = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a")], "doc_id bigint, text string")
     second = spark.createDataFrame([(9, "a"), (8, "c"), (7, "c")], "doc_id bigint, text string")
