@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from fixtures.queries import BATCH, LINE_KEY, QUANTILES, RUN_DAY, SQL
-from fixtures.tables import DIRTY, DIRTY_COLUMNS, DIRTY_RULES, DIRTY_SCHEMA
+from fixtures.tables import DIRTY, DIRTY_COLUMNS, DIRTY_RULES, DIRTY_SCHEMA, JSON_VALUES
 from plumbline.operators.suggest import TEXT_DAY
 
 # What counts as a number, a date and a boolean here, said once more and not taken from the library.
@@ -776,6 +776,28 @@ SLICE_FACTS = f"""SELECT coalesce(m.slice, 'whole') AS dataset, m.rows, {len(DIR
    FROM ({sliced(rule_rows("dirty", DIRTY_RULE_ROWS))}) GROUP BY slice) AS r ON r.slice IS NOT DISTINCT FROM m.slice"""
 
 
+def json_by_path(values: str) -> str:
+    """Nodes of JSON by path; indexes of lists become []."""
+    kinds = {
+        "null": "('NULL')",
+        "object": "('OBJECT')",
+        "array": "('ARRAY')",
+        "string": "('VARCHAR')",
+        "boolean": "('BOOLEAN')",
+        "number": "('UBIGINT', 'BIGINT', 'DOUBLE', 'HUGEINT')",
+    }
+    columns = ", ".join(f"{count_if(f'type IN {words}')} AS {kind}_count" for kind, words in kinds.items())
+    return f"""WITH v AS ({values}),
+      node AS (SELECT regexp_replace(t.fullkey, '\\[[0-9]+\\]', '[]', 'g') AS path, t.type AS type
+        FROM (SELECT CAST(v AS JSON) AS j FROM v WHERE json_valid(v)) AS j, json_tree(j.j) AS t
+        UNION ALL SELECT '$', CASE WHEN v IS NULL THEN 'missing' ELSE 'invalid' END
+        FROM v WHERE NOT coalesce(json_valid(v), false))
+      SELECT path, {count_if("type NOT IN ('missing', 'invalid')")} AS node_count, {columns},
+        CAST(0 AS BIGINT) AS other_count, {count_if("type = 'missing'")} AS missing_count,
+        {count_if("type = 'invalid'")} AS invalid_count
+      FROM node GROUP BY path"""
+
+
 def oracle_sql() -> dict[str, str]:
     dirty = f"WITH {DIRTY_CTE} "
     documents = ["text", "lang", "source", "n_chars"]
@@ -864,6 +886,23 @@ def oracle_sql() -> dict[str, str]:
             'allowed_values' AS rule_type, count(*) AS row_count,
             {count_if("l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size < 25)")} AS violation_count
             FROM lineitem))""",
+        "run_with_allowed_table": f"""SELECT 'lines' AS dataset, *, {severity("violation_percentage", 1, 5)} AS severity,
+          CASE WHEN violation_count = 0 THEN 'passed' ELSE 'failed' END AS status
+          FROM (SELECT *, {pct("violation_count", "row_count")} AS violation_percentage
+          FROM (SELECT 0 AS position, 'few' AS rule_name, 'l_quantity' AS column_name, 'range' AS rule_type,
+              count(*) AS row_count, {count_if("l_quantity > 45")} AS violation_count FROM lineitem
+            UNION ALL SELECT 1, 'part_known', 'l_partkey', 'allowed_values', count(*),
+              {count_if("l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size < 25)")} FROM lineitem))""",
+        "run_allowed_table_examples": """SELECT 'lines' AS dataset, rule_name, column_name,
+            CAST(n AS INTEGER) AS example_rank, concat(l_orderkey, ', ', l_linenumber) AS row_label, value, message
+          FROM (SELECT *, row_number() OVER (PARTITION BY rule_name ORDER BY l_orderkey, l_linenumber, value) AS n
+            FROM (SELECT 'few' AS rule_name, 'l_quantity' AS column_name, l_orderkey, l_linenumber,
+                CAST(l_quantity AS VARCHAR) AS value, 'expected at most 45' AS message
+                FROM lineitem WHERE l_quantity > 45
+              UNION ALL SELECT 'part_known', 'l_partkey', l_orderkey, l_linenumber, CAST(l_partkey AS VARCHAR),
+                'expected one of the allowed values'
+                FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size < 25)))
+          WHERE n <= 10""",
         "rule_not_future_date": one_rule("signup_not_future"),
         "sql_total_rows": dirty + "SELECT count(*) AS row_count FROM d",
         "sql_distribution": dirty + _distribution("status"),
@@ -918,6 +957,8 @@ def oracle_sql() -> dict[str, str]:
         "run_log_without_config": log_rows(BARE_FACTS, bare_score, "key_columns", False),
         "report_rows": report(),
         "report_recommendations": run + report_advice(),
+        "json_paths": json_by_path(JSON_VALUES.format(T="events")),
+        "json_list_paths": json_by_path("SELECT CAST(to_json(embedding) AS VARCHAR) AS v FROM embeddings"),
         "csv_scan_typed": dirty + "SELECT * FROM d",
         "sink_roundtrip": dirty
         + f"SELECT *, '{RUN_DAY.isoformat()}' AS run_date, 'run-1' AS run_id FROM ({rule_rows('dirty', AUTO_RULE_ROWS)})",

@@ -14,6 +14,7 @@ import plumbline as pl
 from fixtures.tables import (
     DIRTY_RULES,
     DIRTY_SCHEMA,
+    JSON_VALUES,
     REFERENCE_DATE,
     TABLES,
     dirty,
@@ -383,6 +384,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "rule_allowed_values_table": lambda s, d: pl.check_allowed_table(
             load(s, d, "lineitem"), "l_partkey", load(s, d, "part").filter("p_size < 25").select("p_partkey")
         ),
+        "run_with_allowed_table": lambda s, d: _allowed_run(s, d).rules,
+        "run_allowed_table_examples": lambda s, d: _allowed_run(s, d).rule_examples,
         "rule_not_future_date": _rule("signup_not_future"),
         "sql_total_rows": lambda s, d: total_rows(dirty(s, d)),
         "sql_distribution": lambda s, d: value_distribution(dirty(s, d), "status"),
@@ -444,6 +447,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "numeric_quantiles": lambda s, d: numeric_quantiles(
             dirty(s, d), ["age", "amount", "reading"], QUANTILES, exact=True
         ),
+        "json_paths": _json_paths,
+        "json_list_paths": _list_paths,
         "incremental_run": _grown_orders,
         "incremental_duplicates": _grown_lines,
         "missing_by_slice": lambda s, d: missing_by_slice(dirty(s, d), ["status"]).drop("slice_values"),
@@ -459,6 +464,28 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return found
 
 
+def _allowed_run(spark: SparkSession, sf_dir: str) -> pl.RunResult:
+    """A run in which the parts of lines have to be in a table of parts."""
+    parts = load(spark, sf_dir, "part").filter("p_size < 25").select("p_partkey")
+    rules = [
+        pl.Rule("few", "l_quantity", "range", max_value=45),
+        pl.Rule("part_known", "l_partkey", "allowed_values", allowed_table=parts),
+    ]
+    config = pl.RunConfig("lines", duplicate_key_columns=LINE_KEY, business_rules=rules)
+    return pl.run_checks(load(spark, sf_dir, "lineitem"), config)
+
+
+def _json_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The properties of events, some broken, missing, or within larger values."""
+    load(spark, sf_dir, "events").createOrReplaceTempView("json_events")
+    return pl.json_paths(spark.sql(JSON_VALUES.format(T="json_events")), "v")
+
+
+def _list_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A nested column: vectors as lists of numbers."""
+    return pl.json_paths(load(spark, sf_dir, "embeddings").select("embedding"), "embedding")
+
+
 def _quoted_identifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A suggested query works on a column whose name needs quoting."""
     named = dirty(spark, sf_dir).select(F.col("status").alias("event status`x"))

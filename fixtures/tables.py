@@ -36,6 +36,17 @@ SELECT CASE WHEN event_id % 50 = 1 THEN event_id - 1 ELSE event_id END AS record
 FROM {T}
 """
 
+# JSON of several depths, with nulls, broken text and lists within lists, in both dialects.
+JSON_VALUES = """
+SELECT CASE WHEN event_id % 11 = 0 THEN concat(props, '}}')
+  WHEN event_id % 13 = 0 THEN NULL
+  WHEN event_id % 7 = 0 THEN concat('{{"id":', event_id, ',"inner":', props, ',"tags":["', event_type, '",null,[', user_id, ']]}}')
+  WHEN event_id % 5 = 0 THEN concat('[', props, ',', value, ',true,{{"deep":{{"er":[', props, ',[]]}}}}]')
+  WHEN event_id % 17 = 0 THEN 'null'
+  ELSE props END AS v
+FROM {T}
+"""
+
 DIRTY_COLUMNS = {
     "record_id": "bigint",
     "event_id": "bigint",

@@ -7,6 +7,7 @@ from plumbline.operators.duplicates import (
     duplicate_rows,
     largest_duplicate_groups,
 )
+from plumbline.operators.jsonpaths import json_paths
 from plumbline.operators.missing import check_missing, missing_summary
 from plumbline.operators.profile import preview, profile_columns, sample_values
 from plumbline.operators.quantiles import (
@@ -75,6 +76,7 @@ __all__ = [
     "distinct_states",
     "duplicate_rows",
     "incremental_run",
+    "json_paths",
     "largest_duplicate_groups",
     "merge_distinct",
     "merge_quantiles",

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from datetime import date
 from decimal import Decimal
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,6 +21,7 @@ from plumbline.functions.parsing import is_checkable
 from plumbline.functions.text import is_one_of, shown, strip
 from plumbline.operators.examples import first_offenders, pick
 from plumbline.plans.config import RULE_TYPES, Rule
+from plumbline.plans.storage import side_by_side
 from plumbline.plans.table import Scan, Table, rows_of
 
 RULE_ROW = (
@@ -40,7 +41,9 @@ def check_rule_definitions(table: Table, rules: Sequence[Rule]) -> None:
             raise ValueError(f"rule {rule.rule_name!r}: unsupported kind {rule.rule_type!r}")
         if rule.rule_type == "range" and rule.min_value is None and rule.max_value is None:
             raise ValueError(f"rule {rule.rule_name!r}: a range needs a lower or an upper bound")
-        if rule.rule_type == "allowed_values" and not rule.allowed_values:
+        if rule.allowed_table is not None and (rule.rule_type != "allowed_values" or rule.allowed_values):
+            raise ValueError(f"rule {rule.rule_name!r}: a table is for allowed values alone")
+        if rule.rule_type == "allowed_values" and not rule.allowed_values and rule.allowed_table is None:
             raise ValueError(f"rule {rule.rule_name!r}: no allowed values given")
         kind = table.kind(rule.column_name)
         if rule.rule_type != "not_null" and not is_checkable(kind):
@@ -117,16 +120,25 @@ def plan_rules(
     high_threshold: float = 5.0,
     reference_date: date | None = None,
     date_formats: tuple[str, ...] = (),
+    of_tables: Mapping[int, int] | None = None,
 ) -> Column:
+    """``of_tables`` has the violations of rules whose values are tables, by position; one pass over the
+    rows can't count those.
+    """
     check_thresholds(warning_threshold, high_threshold)
     check_rule_definitions(scan.table, rules)
     reference_date = reference_date or date.today()
     rows = []
     for position, rule in enumerate(rules):
-        violations = scan.total(
-            f"violations_{position}",
-            F.count_if(violates(scan, rule, reference_date, date_formats)),
-        )
+        if rule.allowed_table is None:
+            violations = scan.total(
+                f"violations_{position}",
+                F.count_if(violates(scan, rule, reference_date, date_formats)),
+            )
+        elif of_tables is None:
+            raise ValueError(f"rule {rule.rule_name!r}: a table of values can't be checked here")
+        else:
+            violations = F.lit(of_tables[position]).cast("long")
         rows.append(
             F.struct(
                 F.lit(position).alias("position"),
@@ -161,9 +173,10 @@ def _rules(df, rules, dataset, warning_threshold, high_threshold, reference_date
     scan = Scan(Table.of(df), dataset)
     return scan.row(
         rules=plan_rules(
-            scan, rules, warning_threshold, high_threshold, reference_date, date_formats
+            scan, rules, warning_threshold, high_threshold, reference_date, date_formats,
+            table_violations(scan.table, rules),
         )
-    )
+    )
 
 
 def check_rules(
@@ -182,6 +195,66 @@ def check_rules(
     return result.select("dataset", F.inline("rules"))
 
 
+def _looked_up(table: Table, rule: Rule) -> DataFrame:
+    """Distinct values of the rule's column with their rows ``n``, and whether they break the rule.
+
+    Each value is looked up once, so a value in many rows costs one row per task.
+    """
+    counted = table.frame.groupBy(_compared(table, rule).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    # By position, as names may need quoting.
+    allowed = rule.allowed_table.toDF(*[f"a{i}" for i in range(len(rule.allowed_table.columns))])
+    known = allowed.select(strip(F.col("a0").cast("string")).alias("value"))
+    known = known.filter("value IS NOT NULL").distinct().withColumn("known", F.lit(True))
+    bad = F.coalesce(~F.col("known"), F.lit(True))
+    if rule.allow_null:
+        bad = bad & F.col("value").isNotNull()
+    return counted.join(known, "value", "left").withColumn("bad", bad)
+
+
+def _compared(table: Table, rule: Rule) -> Column:
+    return strip(table.column(rule.column_name).cast("string"))
+
+
+def table_violations(table: Table, rules: Sequence[Rule]) -> dict[int, int]:
+    """Violations of the rules whose values are tables, by position; a job each, side by side."""
+    check_rule_definitions(table, rules)
+    chosen = {i: rule for i, rule in enumerate(rules) if rule.allowed_table is not None}
+
+    def count(rule: Rule) -> int:
+        return _looked_up(table, rule).agg(F.sum(F.when(F.col("bad"), F.col("n")))).first()[0] or 0
+
+    jobs = [partial(count, rule) for rule in chosen.values()]
+    return dict(zip(chosen, side_by_side(table.frame.sparkSession, jobs), strict=True))
+
+
+def table_offenders(
+    table: Table, rules: Sequence[Rule], row_id: Sequence[str], max_examples: int
+) -> DataFrame | None:
+    """Rows like those of ``first_offenders`` for rules whose values are tables, None if there are none.
+
+    Only ids and values of rows whose value breaks the rule are looked at. ``item`` is the position.
+    """
+    found = []
+    for item, rule in enumerate(rules):
+        if rule.allowed_table is None:
+            continue
+        bad = _looked_up(table, rule).filter("bad").select("value").withColumnRenamed("value", "b")
+        ids = [table.column(name).alias(f"c{i}") for i, name in enumerate(row_id)]
+        last = len(row_id)
+        rows = table.frame.select(
+            *ids, table.column(rule.column_name).cast("string").alias(f"c{last}"),
+            _compared(table, rule).alias("value"),
+        )
+        rows = rows.join(bad, rows["value"].eqNullSafe(bad["b"]), "left_semi").drop("value")
+        names = [f"c{i}" for i in range(last + 1)]
+        kinds = tuple(field.dataType for field in rows.schema.fields)
+        scan = Scan(Table(rows.select(*names), tuple(names), kinds))
+        offence = (F.lit(True), shown(F.col(f"c{last}")))
+        examples = first_offenders(scan, [offence], names[:last], max_examples)
+        found.append(examples.withColumn("item", F.lit(item)))
+    return reduce(DataFrame.unionByName, found) if found else None
+
+
 def check_allowed_table(
     df: DataFrame,
     column_name: str,
@@ -195,37 +268,11 @@ def check_allowed_table(
     """The row of ``check_rules`` for a column whose allowed values are the first column of a table.
 
     For lists too long to be written into a rule. Values are compared as text without surrounding
-    whitespace. Each distinct value is looked up once, so a value in many rows costs one row per task.
+    whitespace.
     """
-    check_thresholds(warning_threshold, high_threshold)
-    table = Table.of(df)
-    table.require([column_name], "allowed values")
-    counted = table.frame.groupBy(
-        strip(table.column(column_name).cast("string")).alias("value")
-    ).agg(F.count(F.lit(1)).alias("n"))
-    known = allowed.select(strip(F.col(f"`{allowed.columns[0]}`").cast("string")).alias("value"))
-    known = known.filter("value IS NOT NULL").distinct().withColumn("known", F.lit(True))
-    bad = F.coalesce(~F.col("known"), F.lit(True))
-    if allow_null:
-        bad = bad & F.col("value").isNotNull()
-    sums = counted.join(known, "value", "left").agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("row_count"),
-        F.coalesce(F.sum(F.when(bad, F.col("n"))), F.lit(0)).alias("violation_count"),
-    )
-    row = F.struct(
-        F.lit(0).alias("position"),
-        F.lit(rule_name or f"{column_name}_allowed").alias("rule_name"),
-        F.lit(column_name).alias("column_name"),
-        F.lit("allowed_values").alias("rule_type"),
-        F.when(F.col("violation_count") == 0, "passed").otherwise("failed").alias("status"),
-        F.col("row_count"),
-        F.col("violation_count"),
-    )
-    rows = graded(
-        rows_of([row], RULE_ROW),
-        "violation_count", "row_count", "violation_percentage", warning_threshold, high_threshold,
-    )
-    return sums.select(F.lit(dataset).alias("dataset"), F.inline(rows))
+    name = rule_name or f"{column_name}_allowed"
+    rule = Rule(name, column_name, "allowed_values", allow_null=allow_null, allowed_table=allowed)
+    return check_rules(df, [rule], dataset, warning_threshold, high_threshold)
 
 
 def rule_summary(
@@ -261,15 +308,21 @@ def rule_examples(
     scan = Scan(table, dataset)
     offences = rule_offences(scan, rules, reference_date or date.today(), date_formats)
     found = first_offenders(scan, offences, row_id, max_examples)
+    of_tables = table_offenders(table, rules, row_id, max_examples)
+    if of_tables is not None:
+        found = found.unionByName(of_tables)
     return label_rule_examples(found, rules, dataset)
 
 
 def rule_offences(
     scan: Scan, rules: Sequence[Rule], reference_date: date, date_formats: tuple[str, ...] = ()
 ) -> list[tuple[Column, Column]]:
+    """A rule whose values are a table has no offences in this pass; ``table_offenders`` finds them."""
     return [
         (
-            violates(scan, rule, reference_date, date_formats),
+            F.lit(False)
+            if rule.allowed_table is not None
+            else violates(scan, rule, reference_date, date_formats),
             shown(scan.table.column(rule.column_name).cast("string")),
         )
         for rule in rules

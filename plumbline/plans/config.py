@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
+from pyspark.sql import DataFrame
+
 # The logical types and rule kinds there are.
 EXPECTED_TYPES = ("integer", "float", "numeric", "date", "string", "boolean")
 RULE_TYPES = (
@@ -19,7 +21,11 @@ RULE_TYPES = (
 
 @dataclass(frozen=True)
 class Rule:
-    """A condition every row should meet in one column."""
+    """A condition every row should meet in one column.
+
+    ``allowed_table`` may stand for ``allowed_values``: a table, the first column of which has the values.
+    Such a rule is for ``check_rules``, ``rule_summary``, ``rule_examples`` and whole runs.
+    """
 
     rule_name: str
     column_name: str
@@ -29,6 +35,7 @@ class Rule:
     allowed_values: Sequence[str] | None = None
     allow_null: bool = True
     description: str | None = None
+    allowed_table: DataFrame | None = field(default=None, compare=False, repr=False)
 
 
 @dataclass(frozen=True)

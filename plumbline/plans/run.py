@@ -25,6 +25,8 @@ from plumbline.operators.rules import (
     plan_rules,
     rule_offences,
     summarize_rules,
+    table_offenders,
+    table_violations,
 )
 from plumbline.operators.scoring import score_components, score_recommendations, score_totals
 from plumbline.operators.sqlcheck import (
@@ -164,20 +166,21 @@ def run_checks(
     dataset = config.dataset_name
     table = Table.of(df)
 
+    # A wrong configuration is noticed before any job runs.
+    table.require(config.duplicate_key_columns or (), "duplicate key")
+    table.require(row_id, "row id")
     scan = Scan(table, dataset)
     parts = {"profile": plan_profile(scan), "missing": plan_missing(scan, *missing_thresholds)}
     if config.expected_schema:
         parts["types"] = plan_types(scan, config.expected_schema, *thresholds, date_formats)
     if config.business_rules:
         parts["rules"] = plan_rules(
-            scan, config.business_rules, *thresholds, reference_date, date_formats
-        )
+            scan, config.business_rules, *thresholds, reference_date, date_formats,
+            table_violations(table, config.business_rules),
+        )
     numbers, days = _ranges_in_scan(table, config.sql_queries)
     parts["numbers"] = plan_numeric_summary(scan, numbers)
     parts["days"] = plan_date_range(scan, days)
-    # A wrong configuration is noticed before any job runs.
-    table.require(config.duplicate_key_columns or (), "duplicate key")
-    table.require(row_id, "row id")
 
     def group_keys() -> DuplicateGroups:
         groups = DuplicateGroups(df, config.duplicate_key_columns, dataset)
@@ -397,7 +400,11 @@ def _find_examples(
             spark.createDataFrame([], TYPE_EXAMPLE_ROW),
             spark.createDataFrame([], RULE_EXAMPLE_ROW),
         )
-    found = settle(first_offenders(scan, offences, row_id, max_examples))
+    found = first_offenders(scan, offences, row_id, max_examples)
+    of_tables = table_offenders(table, rules, row_id, max_examples)
+    if of_tables is not None:
+        found = found.unionByName(of_tables.withColumn("item", F.col("item") + len(schema)))
+    found = settle(found)
     of_types = found.filter(F.col("item") < len(schema))
     of_rules = found.filter(F.col("item") >= len(schema))
     of_rules = of_rules.withColumn("item", F.col("item") - len(schema))

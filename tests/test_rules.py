@@ -2,8 +2,19 @@ from datetime import date
 
 import pytest
 from conftest import one, rows
-
-from plumbline import Rule, check_allowed_table, check_rules, rule_examples, rule_summary
+from pyspark.sql import functions as F
+
+from plumbline import (
+    Rule,
+    RunConfig,
+    check_allowed_table,
+    check_rules,
+    rule_examples,
+    rule_summary,
+    rules_by_slice,
+    run_checks,
+    verify_run,
+)
 
 DAY = date(2026, 1, 1)
 
@@ -145,3 +156,40 @@ def test_allowed_values_of_a_table(spark):
     assert one(check_allowed_table(df.limit(0), "x", allowed)).row_count == 0
     with pytest.raises(ValueError):
         check_allowed_table(df, "nope", allowed)
+
+
+def test_tables_of_values_within_runs(spark):
+    """A table and a list of the same values give the same run, examples, score and verification."""
+    df = texts(spark, "oak", " elm\t", "fir", None, "fir", "Oak").withColumn("n", F.col("row") - 2)
+    allowed = spark.createDataFrame([("elm ", 1), ("oak", 2), ("oak", 3), (None, 4)], "`wo.od` string, n int")
+
+    def run(**values):
+        rules = [
+            Rule("positive", "n", "positive"),
+            Rule("known", "x", "allowed_values", **values),
+            Rule("given", "x", "allowed_values", allow_null=False, **values),
+        ]
+        result = run_checks(df, RunConfig(business_rules=rules), row_id=["row"], max_rows=5)
+        return verify_run(df, result).tables()
+
+    listed, looked_up = run(allowed_values=["oak", "elm"]), run(allowed_table=allowed)
+    assert set(listed) == set(looked_up)
+    for name, table in listed.items():
+        assert rows(looked_up[name]) == rows(table), name
+    assert [r.violation_count for r in looked_up["rules"].orderBy("position").collect()] == [3, 3, 4]
+    assert looked_up["verification_summary"].first().status == "passed"
+
+
+def test_tables_of_values_where_they_do_not_belong(spark):
+    df = texts(spark, "a")
+    allowed = spark.createDataFrame([("a",)], "v string")
+    for rule in (
+        Rule("r", "x", "positive", allowed_table=allowed),
+        Rule("r", "x", "allowed_values", allowed_values=["a"], allowed_table=allowed),
+    ):
+        with pytest.raises(ValueError):
+            check_rules(df, [rule])
+    with pytest.raises(ValueError):
+        rules_by_slice(df, ["x"], [Rule("r", "x", "allowed_values", allowed_table=allowed)])
+    nothing = allowed.limit(0)
+    assert count(df, Rule("r", "x", "allowed_values", allowed_table=nothing)) == 1
