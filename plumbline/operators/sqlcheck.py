@@ -17,7 +17,7 @@ from plumbline.functions.grading import check_limit
 from plumbline.functions.parsing import NESTED_TYPES
 from plumbline.functions.text import strip
 from plumbline.plans.config import SqlQuery
-from plumbline.plans.storage import side_by_side
+from plumbline.plans.storage import cancelled_after, side_by_side
 from plumbline.plans.table import Scan, Table, rows_of
 
 # Words no read-only query may contain.
@@ -120,16 +120,19 @@ class SqlResult:
     error_message: str | None = None
 
 
-def _run(session: SparkSession, query: SqlQuery, table_name: str, max_rows: int) -> SqlResult:
+def _run(
+    session: SparkSession, query: SqlQuery, table_name: str, max_rows: int, seconds: float | None
+) -> SqlResult:
     try:
-        result = query_dataset(session, query.sql, table_name)
-        # What is computed for the rows shown is held, so that counting does not run it again.
-        result = result.persist(StorageLevel.DISK_ONLY)
-        try:
-            shown = as_text(result).limit(max_rows + 1).collect()
-            row_count = len(shown) if len(shown) <= max_rows else result.count()
-        finally:
-            result.unpersist()
+        with cancelled_after(session, seconds):
+            result = query_dataset(session, query.sql, table_name)
+            # What is computed for the rows shown is held, so that counting does not run it again.
+            result = result.persist(StorageLevel.DISK_ONLY)
+            try:
+                shown = as_text(result).limit(max_rows + 1).collect()
+                row_count = len(shown) if len(shown) <= max_rows else result.count()
+            finally:
+                result.unpersist()
     except Exception as error:
         return SqlResult(query.query_name, query.sql, "failed", error_message=str(error))
     return SqlResult(
@@ -143,15 +146,24 @@ def _run(session: SparkSession, query: SqlQuery, table_name: str, max_rows: int)
 
 
 def run_queries(
-    df: DataFrame, queries: Sequence[SqlQuery], table_name: str = "dataset", max_rows: int = 50
+    df: DataFrame,
+    queries: Sequence[SqlQuery],
+    table_name: str = "dataset",
+    max_rows: int = 50,
+    max_seconds: float | None = None,
 ) -> list[SqlResult]:
-    """Run every query; one that is refused or fails is reported and does not stop the others."""
+    """Run every query; one that is refused or fails is reported and does not stop the others.
+
+    A query whose tasks run for more than ``max_seconds`` is cancelled, and is failed; the others go on.
+    Waiting for executors that others use does not count.
+    """
     check_limit("max_rows", max_rows)
     if not queries:
         return []
     with sql_session(df, table_name) as session:
         return side_by_side(
-            session, [partial(_run, session, query, table_name, max_rows) for query in queries]
+            session,
+            [partial(_run, session, query, table_name, max_rows, max_seconds) for query in queries],
         )
 
 
@@ -223,17 +235,20 @@ def _value_counts(df: DataFrame, column: str) -> DataFrame:
     )
 
 
-def answer_distribution(df: DataFrame, query: SqlQuery, max_rows: int) -> SqlResult:
+def answer_distribution(
+    df: DataFrame, query: SqlQuery, max_rows: int, max_seconds: float | None = None
+) -> SqlResult:
     """The result of a suggested distribution: groups are counted once, and the first of them found
     without sorting the others.
     """
     try:
-        groups = _value_counts(df, query.column_name).persist(StorageLevel.DISK_ONLY)
-        try:
-            first = groups.orderBy(F.desc("row_count"), "value").limit(max_rows)
-            shown, row_count = as_text(first).collect(), groups.count()
-        finally:
-            groups.unpersist()
+        with cancelled_after(df.sparkSession, max_seconds):
+            groups = _value_counts(df, query.column_name).persist(StorageLevel.DISK_ONLY)
+            try:
+                first = groups.orderBy(F.desc("row_count"), "value").limit(max_rows)
+                shown, row_count = as_text(first).collect(), groups.count()
+            finally:
+                groups.unpersist()
     except Exception as error:
         return SqlResult(query.query_name, query.sql, "failed", error_message=str(error))
     rows = [row.asDict() for row in shown]

@@ -145,6 +145,7 @@ def run_checks(
     warning_threshold: float = 1.0,
     high_threshold: float = 5.0,
     missing_thresholds: tuple[float, float] = (5.0, 20.0),
+    max_query_seconds: float | None = None,
 ) -> RunResult:
     """Run every configured check.
 
@@ -154,6 +155,7 @@ def run_checks(
     ordered and labelled, by default the duplicate key. ``date_formats`` are read besides ISO dates,
     ``max_rows`` bounds the rows kept of a query's result. The thresholds are percentages from which
     duplicates, invalid values and violations are a warning or high, and those of missing values.
+    A query whose tasks run for more than ``max_query_seconds`` is cancelled and failed.
     """
     config = config or RunConfig()
     check_limit("max_examples", max_examples)
@@ -215,7 +217,7 @@ def run_checks(
                 _find_examples, table, config, counted, row_id, reference_date, max_examples,
                 date_formats,
             ),
-            partial(_answer_queries, df, config.sql_queries, counted, max_rows),
+            partial(_answer_queries, df, config.sql_queries, counted, max_rows, max_query_seconds),
         ],
     )
 
@@ -428,7 +430,11 @@ def _as_texts(one_row: DataFrame, part: str) -> Column:
 
 
 def _answer_queries(
-    df: DataFrame, queries: Sequence[SqlQuery], counted: Row, max_rows: int
+    df: DataFrame,
+    queries: Sequence[SqlQuery],
+    counted: Row,
+    max_rows: int,
+    max_seconds: float | None,
 ) -> list[SqlResult]:
     """Results in the order of the queries; the shared pass answers those it generated itself."""
     answers = {("total_rows", None): {"row_count": str(counted["row_count"])}}
@@ -459,8 +465,9 @@ def _answer_queries(
         and is_generated(query, kinds[query.column_name])
     ]
     others = [i for i in range(len(queries)) if i not in found and i not in spread]
-    jobs = [partial(answer_distribution, df, queries[i], max_rows) for i in spread]
-    jobs.append(lambda: run_queries(df, [queries[i] for i in others], max_rows=max_rows))
-    *distributions, rest = side_by_side(df.sparkSession, jobs)
-    found |= dict(zip(spread, distributions, strict=True)) | dict(zip(others, rest, strict=True))
+    jobs = [partial(answer_distribution, df, queries[i], max_rows, max_seconds) for i in spread]
+    rest = [queries[i] for i in others]
+    jobs.append(lambda: run_queries(df, rest, max_rows=max_rows, max_seconds=max_seconds))
+    *distributions, answers = side_by_side(df.sparkSession, jobs)
+    found |= dict(zip(spread, distributions, strict=True)) | dict(zip(others, answers, strict=True))
     return [found[i] for i in range(len(queries))]

@@ -2,7 +2,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from plumbline import SqlQuery, check_read_only, run_queries, sql_session
+from plumbline import RunConfig, SqlQuery, check_read_only, run_checks, run_queries, sql_session
 from plumbline.operators.sqlcheck import (
     batch_status,
     date_range,
@@ -155,3 +155,35 @@ def test_a_large_result_is_computed_once(spark, sales):
     [found] = run_queries(df, [SqlQuery("q", "SELECT n FROM dataset")], max_rows=3)
     assert (found.row_count, len(found.rows)) == (200, 3)
     assert runs.value == 200
+
+
+# As many tasks as there are cores, so that the others of a batch wait for its end.
+ENDLESS = "SELECT count_if(xxhash64(id) = 3) AS n FROM range(0, 4000000000000000, 1, 8)"
+
+
+def test_a_query_without_end_is_cancelled_alone(spark):
+    df = spark.range(1000).selectExpr("id", "pmod(id, 3) AS k")
+    queries = [
+        SqlQuery("endless", ENDLESS),
+        SqlQuery("counted", "SELECT count(*) AS n FROM dataset"),
+        SqlQuery("grouped", "SELECT k, count(*) AS n FROM dataset GROUP BY k ORDER BY k"),
+    ]
+    cancelled, *others = run_queries(df, queries, max_seconds=6)
+    assert (cancelled.status, cancelled.row_count) == ("failed", 0)
+    assert cancelled.error_message == "cancelled after 6 seconds"
+    alone = run_queries(df, queries[1:])
+    assert others == alone and {r.status for r in others} == {"passed"}
+    assert batch_status([cancelled, *others]) == "warning"
+    assert len(spark.sparkContext.getJobTags()) == 0
+    assert spark.range(5).count() == 5
+
+
+def test_time_limits_of_runs(spark):
+    df = spark.range(20).selectExpr("id", "pmod(id, 3) AS k")
+    queries = [SqlQuery("endless", ENDLESS), SqlQuery("counted", "SELECT count(*) AS n FROM dataset")]
+    result = run_checks(df, RunConfig(sql_queries=queries), max_query_seconds=4)
+    found = {r.query_name: r.status for r in result.sql_results.collect()}
+    assert found == {"endless": "failed", "counted": "passed"}
+    assert result.sql_summary.first().status == "warning"
+    refused = run_queries(df, queries[1:], max_seconds=0)
+    assert refused[0].status == "failed"
