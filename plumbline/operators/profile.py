@@ -98,12 +98,24 @@ def sample_values(df: DataFrame, dataset: str = "dataset", max_values: int = 5)
     table = Table.of(df)
     if max_values <= 0 or not table.names:
         return df.sparkSession.createDataFrame([], SAMPLE_ROW)
-    values = table.frame.select(
-        *[
-            _comparable(F.col(f"c{i}"), kind).alias(f"c{i}")
-            for i, kind in enumerate(table.kinds)
-        ]
+    names = F.array(*[F.lit(name) for name in table.names])
+    return smallest_values(table, max_values).select(
+        F.lit(dataset).alias("dataset"),
+        "position",
+        F.get(names, F.col("position")).alias("column_name"),
+        "sample_rank",
+        "sample_value",
     )
+
+
+def smallest_values(table: Table, max_values: int, further: Sequence[Column] = ()) -> DataFrame:
+    """Rows ``(position, sample_rank, sample_value)``; ``further`` values are positions behind the columns.
+
+    There has to be a column, and at least one value of each is asked for.
+    """
+    columns = [_comparable(F.col(f"c{i}"), kind) for i, kind in enumerate(table.kinds)]
+    columns += further
+    values = table.frame.select(*[column.alias(f"c{i}") for i, column in enumerate(columns)])
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in values.schema.fields])
     # Each task's few rows meet in one, which holds no more than the smallest values either.
     smallest = values.mapInArrow(_thinner(max_values), schema).repartition(1)
@@ -115,21 +127,19 @@ def sample_values(df: DataFrame, dataset: str = "dataset", max_values: int = 5)
             F.col(f"c{i}").isNotNull(),
             F.struct(F.lit(i).alias("position"), F.col(f"c{i}").cast("string").alias("sample_value")),
         )
-        for i in range(len(table.names))
+        for i in range(len(columns))
     ]
-    names = F.array(*[F.lit(name) for name in table.names])
     return rows.select("sample_rank", F.inline(F.array_compact(F.array(*cells)))).select(
-        F.lit(dataset).alias("dataset"),
-        "position",
-        F.get(names, F.col("position")).alias("column_name"),
-        "sample_rank",
-        "sample_value",
+        "position", "sample_rank", "sample_value"
     )
 
 
 def preview(df: DataFrame, max_rows: int = 20, order_by: Sequence[str] = ()) -> DataFrame:
     """The first rows of the table; in the order of ``order_by`` where given."""
-    Table.of(df).require(order_by, "preview order")
+    table = Table.of(df)
+    table.require(order_by, "preview order")
     if order_by:
-        df = df.orderBy(*[df[f"`{name.replace('`', '``')}`"] for name in order_by])
+        # By position, as names that differ in case only can't be told apart otherwise.
+        named = df.toDF(*[f"c{i}" for i in range(len(table.names))])
+        df = named.orderBy(*[table.column(name) for name in order_by]).toDF(*table.names)
     return df.limit(max_rows)

@@ -14,10 +14,13 @@ from pyspark.sql import types as T
 
 from plumbline.functions.parsing import DATE_PATTERN, NUMBER_PATTERN, is_checkable
 from plumbline.functions.text import WHITESPACE, is_boolean_word, strip
-from plumbline.operators.profile import sample_values
+from plumbline.operators.profile import smallest_values
 from plumbline.plans.config import Rule, RunConfig, SqlQuery
 from plumbline.plans.table import Table
 
+#: Sample values of each column that suggestions look at.
+SAMPLES = 5
+
 # Words in a column name, and what they say about the column.
 DATE_WORDS = ("date", "datetime", "timestamp", "time")
 AMOUNT_WORDS = ("amount", "price", "cost", "revenue", "sales", "total", "balance", "value")
@@ -41,52 +44,51 @@ def describe_tables(tables: Mapping[str, DataFrame]) -> DataFrame:
 
 
 def describe_table(df: DataFrame, dataset: str = "dataset") -> DataFrame:
-    spark = df.sparkSession
+    """Samples and boolean words are found in one pass: that a column has other words is one more value
+    to look for.
+    """
+    spark, table = df.sparkSession, Table.of(df)
     schema = spark.createDataFrame(
-        [
-            (dataset, i, field.name, field.dataType.simpleString())
-            for i, field in enumerate(df.schema.fields)
-        ],
-        "dataset string, position int, column_name string, data_type string",
+        [(i, n, kind.simpleString()) for i, (n, kind) in enumerate(zip(table.names, table.kinds, strict=True))],
+        "position int, column_name string, data_type string",
     )
-    samples = sample_values(df, dataset).select(
-        "dataset", "position", "column_name", "sample_rank", "sample_value"
+    found = spark.createDataFrame([], "position int, sample_rank int, sample_value string")
+    if table.names:
+        found = smallest_values(table, SAMPLES, _other_words(table))
+    columns = len(table.names)
+    of_column = F.col("position") < columns
+    samples = F.array_sort(
+        F.collect_list(F.when(of_column, F.struct("sample_rank", "sample_value")))
     )
-    ranked = F.array_sort(
-        F.collect_list(
-            F.when(F.col("sample_rank").isNotNull(), F.struct("sample_rank", "sample_value"))
-        )
+    of_columns = found.groupBy(F.pmod("position", F.lit(columns or 1)).alias("position")).agg(
+        F.bool_and(of_column).alias("boolean_words"),
+        F.transform(samples, lambda sample: sample["sample_value"]).alias("sample_values"),
     )
-    return (
-        schema.unionByName(samples, allowMissingColumns=True)
-        .unionByName(_boolean_columns(df, dataset), allowMissingColumns=True)
-        .groupBy("dataset", "position", "column_name")
-        .agg(
-            F.max("data_type").alias("data_type"),
-            F.max("boolean_words").alias("boolean_words"),
-            F.transform(ranked, lambda sample: sample["sample_value"]).alias("sample_values"),
-        )
+    return schema.join(F.broadcast(of_columns), "position", "left").select(
+        F.lit(dataset).alias("dataset"),
+        "position",
+        "column_name",
+        "data_type",
+        F.coalesce("boolean_words", F.lit(True)).alias("boolean_words"),
+        F.coalesce("sample_values", F.array().cast("array<string>")).alias("sample_values"),
     )
 
 
-def _boolean_columns(df: DataFrame, dataset: str) -> DataFrame:
-    """Whether all values of a column are words for a boolean, in one pass over the table."""
-    table = Table.of(df)
+def _other_words(table: Table) -> list[Column]:
+    """For each column, 1 where its value is present and no word for a boolean, null elsewhere."""
     found = []
-    for i, (name, kind) in enumerate(zip(table.names, table.kinds, strict=True)):
+    for i, kind in enumerate(table.kinds):
         text = F.col(f"c{i}").cast("string") if is_checkable(kind) else F.lit("none")
-        other = F.count_if(F.coalesce(~is_boolean_word(text), F.lit(False)))
-        found.append(
-            F.struct(
-                F.lit(i).alias("position"), F.lit(name).alias("column_name"), (other == 0).alias("boolean_words")
-            )
-        )
-    if not found:
-        return df.sparkSession.createDataFrame(
-            [], "dataset string, position int, column_name string, boolean_words boolean"
-        )
-    return table.frame.agg(F.array(*found).alias("found")).select(
-        F.lit(dataset).alias("dataset"), F.inline("found")
+        found.append(F.when(~is_boolean_word(text), F.lit(1)))
+    return found
+
+
+def described_samples(columns: DataFrame) -> DataFrame:
+    """The rows of ``sample_values``, from a description."""
+    return columns.select(
+        "dataset", "position", "column_name", F.posexplode("sample_values").alias("rank", "sample_value")
+    ).select(
+        "dataset", "position", "column_name", (F.col("rank") + 1).alias("sample_rank"), "sample_value"
     )
 
 

@@ -42,6 +42,7 @@ from plumbline.operators.sqlcheck import (
 )
 from plumbline.operators.suggest import (
     describe_table,
+    described_samples,
     is_generated,
     suggest_config,
     suggestion_notes,
@@ -146,6 +147,8 @@ def run_checks(
     high_threshold: float = 5.0,
     missing_thresholds: tuple[float, float] = (5.0, 20.0),
     max_query_seconds: float | None = None,
+    max_samples: int = 5,
+    samples: DataFrame | None = None,
 ) -> RunResult:
     """Run every configured check.
 
@@ -155,12 +158,14 @@ def run_checks(
     ordered and labelled, by default the duplicate key. ``date_formats`` are read besides ISO dates,
     ``max_rows`` bounds the rows kept of a query's result. The thresholds are percentages from which
     duplicates, invalid values and violations are a warning or high, and those of missing values.
-    A query whose tasks run for more than ``max_query_seconds`` is cancelled and failed.
+    A query whose tasks run for more than ``max_query_seconds`` is cancelled and failed. Sample values
+    take a pass of their own, unless ``samples`` has their rows already or ``max_samples`` is 0.
     """
     config = config or RunConfig()
     check_limit("max_examples", max_examples)
     check_limit("max_groups", max_groups)
     check_limit("max_rows", max_rows)
+    check_limit("max_samples", max_samples)
     check_thresholds(warning_threshold, high_threshold)
     thresholds = (warning_threshold, high_threshold)
     reference_date = reference_date or date.today()
@@ -189,12 +194,12 @@ def run_checks(
         groups.keep()
         return groups
 
-    one_row, groups, samples = side_by_side(
+    one_row, groups, sampled = side_by_side(
         df.sparkSession,
         [
             lambda: settle(scan.row(**parts)),
             group_keys,
-            lambda: settle(sample_values(df, dataset)),
+            lambda: settle(sample_values(df, dataset, max_samples)) if samples is None else samples,
         ],
     )
     counted = one_row.withColumns({part: _as_texts(one_row, part) for part in ("numbers", "days")}).first()
@@ -225,7 +230,7 @@ def run_checks(
     tables = {
         "counts": counts,
         "profile": one_row.select("dataset", F.inline("profile")),
-        "samples": samples,
+        "samples": sampled,
         "missing": one_row.select("dataset", F.inline("missing")),
         "missing_summary": summarize_missing(one_row),
         "duplicates": duplicates.filter("scope IS NOT NULL").drop(
@@ -334,6 +339,8 @@ def auto_run(
         config = _without_distributions(
             config, set(free_text(df, max_distinct)), max_categorical_queries
         )
+    if "max_samples" not in options:
+        options = {"samples": described_samples(columns)} | options
     result = run_checks(df, config, row_id=row_id, reference_date=reference_date, **options)
     return AutoRun(columns, config, suggestion_notes(config), verify_run(df, result))
 

@@ -1,11 +1,13 @@
 import pytest
-from conftest import rows
+from conftest import plan_of, rows
 
 from plumbline import (
     RunConfig,
     describe_table,
     describe_tables,
+    preview,
     run_queries,
+    sample_values,
     suggest_config,
     suggest_configs,
     suggest_keys,
@@ -13,7 +15,7 @@ from plumbline import (
     suggest_rules,
     suggest_types,
 )
-from plumbline.operators.suggest import suggestion_notes
+from plumbline.operators.suggest import described_samples, suggestion_notes
 
 
 def described(spark, *columns):
@@ -139,3 +141,21 @@ def test_boolean_words_are_looked_for_in_all_values(spark):
     df = spark.createDataFrame([(w, w if w != "zebra" else None) for w in words], "mark string, vote string")
     found = {r.column_name: r.expected_type for r in suggest_types(describe_table(df)).collect()}
     assert found == {"mark": "string", "vote": "boolean"}
+
+
+def test_a_description_is_one_pass_and_has_the_samples(spark, tmp_path):
+    data = [(i, ["yes", " No", None][i % 3], None, float("nan"), [i]) for i in range(50)]
+    df = spark.createDataFrame(data, "`a.b` int, flag string, none string, d double, l array<int>")
+    df.write.parquet(str(tmp_path / "t"))
+    for table in (spark.read.parquet(str(tmp_path / "t")), df.limit(0)):
+        described = describe_table(table)
+        assert rows(described_samples(described)) == rows(sample_values(table))
+        given = {r.position: r.boolean_words for r in described.collect()}
+        empty = table.count() == 0
+        assert given == {0: empty, 1: True, 2: True, 3: True, 4: empty}
+    assert plan_of(describe_table(spark.read.parquet(str(tmp_path / "t")))).count("FileScan") == 1
+
+
+def test_preview_tells_names_apart_by_case(spark):
+    df = spark.createDataFrame([(1, 9), (2, 8)], "b int, B int")
+    assert [tuple(r) for r in preview(df, 1, ["B"]).collect()] == [(2, 8)]
