@@ -330,6 +330,18 @@ AUTO_QUERIES.append(
 )
 
 
+def _distributions(table: str, columns: list[str], most: int) -> str:
+    return union(
+        [
+            f"SELECT '{table}' AS dataset, '{c}' AS column_name, CAST(n AS INTEGER) AS value_rank, "
+            f"CAST({c} AS VARCHAR) AS value, row_count, value_count FROM (SELECT *, count(*) OVER () AS value_count, "
+            f"row_number() OVER (ORDER BY row_count DESC, {c} ASC NULLS FIRST) AS n "
+            f"FROM (SELECT {c}, count(*) AS row_count FROM {table} GROUP BY {c})) WHERE n <= {most}"
+            for c in columns
+        ]
+    )
+
+
 def _distribution(column: str) -> str:
     return f"SELECT {column} AS value, count(*) AS row_count FROM d GROUP BY {column}"
 
@@ -840,6 +852,10 @@ def oracle_sql() -> dict[str, str]:
                 for i, c in enumerate(DIRTY_COLUMNS)
             ]
         ),
+        "distributions_documents": _distributions("documents", ["text", "lang", "source", "n_chars"], 50),
+        "distributions_lineitem": _distributions(
+            "lineitem", ["l_returnflag", "l_linenumber", "l_shipdate", "l_orderkey"], 20
+        ),
         "numeric_quantiles": dirty + union(
             [
                 f"SELECT '{c}' AS column_name, {i} AS position, count(x) AS value_count, "

@@ -38,6 +38,7 @@ from plumbline.operators.sqlcheck import (
 from plumbline.operators.suggest import suggest_configs
 from plumbline.operators.asof import asof_join
 from plumbline.operators.distinct import distinct_counts
+from plumbline.operators.distributions import value_distributions
 from plumbline.operators.quantiles import numeric_quantiles
 from plumbline.operators.slices import check_slices, missing_by_slice, rules_by_slice
 from plumbline.plans.incremental import incremental_run
@@ -444,6 +445,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "sink_two_datasets": _two_datasets,
         "asof_events": _asof,
         "distinct_counts": lambda s, d: distinct_counts(dirty(s, d), exact=True),
+        "distributions_documents": lambda s, d: value_distributions(
+            load(s, d, "documents"), ["text", "lang", "source", "n_chars"], "documents"
+        ),
+        "distributions_lineitem": lambda s, d: value_distributions(
+            load(s, d, "lineitem"), ["l_returnflag", "l_linenumber", "l_shipdate", "l_orderkey"], "lineitem", 20
+        ),
         "numeric_quantiles": lambda s, d: numeric_quantiles(
             dirty(s, d), ["age", "amount", "reading"], QUANTILES, exact=True
         ),

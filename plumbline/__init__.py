@@ -2,6 +2,7 @@
 
 from plumbline.operators.asof import asof_join
 from plumbline.operators.distinct import distinct_counts, distinct_states, merge_distinct
+from plumbline.operators.distributions import value_distributions
 from plumbline.operators.duplicates import (
     check_duplicates,
     duplicate_rows,
@@ -109,6 +110,7 @@ __all__ = [
     "type_examples",
     "type_summary",
     "types_by_slice",
+    "value_distributions",
     "verify",
     "verify_run",
     "write_result",

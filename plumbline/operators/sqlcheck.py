@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from plumbline.functions.grading import check_limit
 from plumbline.functions.parsing import NESTED_TYPES
 from plumbline.functions.text import strip
+from plumbline.operators.distributions import distributions
 from plumbline.plans.config import SqlQuery
 from plumbline.plans.storage import cancelled_after, side_by_side
 from plumbline.plans.table import Scan, Table, rows_of
@@ -255,6 +256,25 @@ def answer_distribution(
     return SqlResult(query.query_name, query.sql, "passed", row_count, ["value", "row_count"], rows)
 
 
+def answer_distributions(
+    df: DataFrame, queries: Sequence[SqlQuery], max_rows: int
+) -> list[SqlResult]:
+    """The results of several suggested distributions, from one pass. If that fails, each is tried alone, so
+    that the error is told where it belongs.
+    """
+    try:
+        found = distributions(df, [query.column_name for query in queries], max_rows)
+    except Exception:
+        return [answer_distribution(df, query, max_rows) for query in queries]
+    return [
+        SqlResult(
+            query.query_name, query.sql, "passed", value_count, ["value", "row_count"],
+            [{"value": "" if value is None else value, "row_count": str(n)} for value, n in rows],
+        )
+        for query, (value_count, rows) in zip(queries, found, strict=True)
+    ]
+
+
 NUMERIC_ROW = "column_name string, min_value double, max_value double, avg_value double"
 DATE_ROW = "column_name string, min_date date, max_date date"
 

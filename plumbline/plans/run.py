@@ -15,6 +15,7 @@ from plumbline.functions.grading import check_limit, check_thresholds
 from plumbline.functions.parsing import TIME_TYPES, is_checkable
 from plumbline.operators import findings
 from plumbline.operators.distinct import free_text
+from plumbline.operators.distributions import MOST_SHOWN, can_share_pass
 from plumbline.operators.duplicates import DuplicateGroups
 from plumbline.operators.missing import plan_missing, summarize_missing
 from plumbline.operators.profile import plan_profile, sample_values
@@ -32,6 +33,7 @@ from plumbline.operators.scoring import score_components, score_recommendations,
 from plumbline.operators.sqlcheck import (
     SqlResult,
     answer_distribution,
+    answer_distributions,
     check_read_only,
     plan_date_range,
     plan_numeric_summary,
@@ -471,10 +473,20 @@ def _answer_queries(
         and is_groupable(kinds.get(query.column_name))
         and is_generated(query, kinds[query.column_name])
     ]
+    # A limit is for each query, so with one they are not answered together.
+    together = [
+        i for i in spread
+        if max_seconds is None and max_rows <= MOST_SHOWN and can_share_pass(kinds[queries[i].column_name])
+    ]
+    alone = [i for i in spread if i not in together]
     others = [i for i in range(len(queries)) if i not in found and i not in spread]
-    jobs = [partial(answer_distribution, df, queries[i], max_rows, max_seconds) for i in spread]
-    rest = [queries[i] for i in others]
+    jobs = [partial(answer_distribution, df, queries[i], max_rows, max_seconds) for i in alone]
+    shared, rest = [queries[i] for i in together], [queries[i] for i in others]
+    if shared:
+        jobs.append(partial(answer_distributions, df, shared, max_rows))
     jobs.append(lambda: run_queries(df, rest, max_rows=max_rows, max_seconds=max_seconds))
     *distributions, answers = side_by_side(df.sparkSession, jobs)
-    found |= dict(zip(spread, distributions, strict=True)) | dict(zip(others, answers, strict=True))
+    if shared:
+        found |= dict(zip(together, distributions.pop(), strict=True))
+    found |= dict(zip(alone, distributions, strict=True)) | dict(zip(others, answers, strict=True))
     return [found[i] for i in range(len(queries))]
