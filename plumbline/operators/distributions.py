@@ -30,6 +30,10 @@ SHOWN_WHOLE = 32
 #: Spark's default for that; it is not to be asked for more here.
 MOST_SHOWN = 1000
 
+#: Up to this number of groups, of four numbers each, go to every task to look up their texts; beyond it
+#: texts are shuffled.
+SENT_TO_ALL = 100_000
+
 #: Digits that a double holds exactly.
 EXACT_DIGITS = 15
 
@@ -113,6 +117,7 @@ def _looked_up(table: Table, groups: DataFrame, shown: list[Row], max_rows: int)
         .join(F.broadcast(cuts), "position")
         .filter(as_far)
         .select("position", "one", "other", "row_count")
+        .persist(StorageLevel.DISK_ONLY)
     )
     texts = table.frame.select(
         F.inline(
@@ -122,13 +127,18 @@ def _looked_up(table: Table, groups: DataFrame, shown: list[Row], max_rows: int)
         )
     ).filter(F.length("value") > SHOWN_WHOLE)
     one, other = key_hashes([F.col("value")], [T.StringType()])
-    found = (
-        texts.withColumns({"one": one, "other": other})
-        .join(wanted, ["position", "one", "other"])
-        .select("position", "value", "row_count")
-        .distinct()
-    )
-    return _first(found, max_rows, F.desc("row_count"), "value").collect()
+    try:
+        # Counted first, as otherwise texts are shuffled before the other side is known to be small.
+        few = wanted.count() <= SENT_TO_ALL
+        found = (
+            texts.withColumns({"one": one, "other": other})
+            .join(F.broadcast(wanted) if few else wanted, ["position", "one", "other"])
+            .select("position", "value", "row_count")
+            .distinct()
+        )
+        return _first(found, max_rows, F.desc("row_count"), "value").collect()
+    finally:
+        wanted.unpersist()
 
 
 def distributions(df: DataFrame, columns: Sequence[str], max_rows: int = 50) -> list[tuple[int, list[tuple]]]:

@@ -61,7 +61,9 @@ def test_longer_texts_are_ordered_by_the_whole_text(spark, most):
     same(df, ["one", "One"], most)
 
 
-def test_random_texts_with_many_ties(spark):
+@pytest.mark.parametrize("sent", [0, 100_000])
+def test_random_texts_with_many_ties(spark, monkeypatch, sent):
+    monkeypatch.setattr(shared, "SENT_TO_ALL", sent)
     random.seed(5)
     for most in (2, 5, 20):
         texts = ["".join(random.choices("ab", k=random.randint(30, 36))) for _ in range(60)]
