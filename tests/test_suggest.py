@@ -1,5 +1,6 @@
 import pytest
 from conftest import plan_of, rows
+from pyspark.sql import functions as F
 
 from plumbline import (
     RunConfig,
@@ -159,3 +160,16 @@ def test_a_description_is_one_pass_and_has_the_samples(spark, tmp_path):
 def test_preview_tells_names_apart_by_case(spark):
     df = spark.createDataFrame([(1, 9), (2, 8)], "b int, B int")
     assert [tuple(r) for r in preview(df, 1, ["B"]).collect()] == [(2, 8)]
+
+
+def test_only_texts_are_compared_with_words_for_a_boolean(spark):
+    """Numbers, days and booleans are told by their values, which costs a fraction of that."""
+    kinds = "i int, l bigint, d double, t timestamp, day date, b boolean"
+    df = spark.createDataFrame([(0, 1, 1.0, None, None, True), (1, 2, None, None, None, False)], kinds)
+    df = df.withColumns({"t": F.lit("2024-01-01").cast("timestamp"), "day": F.lit("2024-01-01").cast("date")})
+    plan = plan_of(describe_table(df))
+    assert "trim(" not in plan and "lower(" not in plan
+    found = {r.column_name: r.boolean_words for r in describe_table(df).collect()}
+    assert found == {"i": True, "l": False, "d": False, "t": False, "day": False, "b": True}
+    decimals = spark.sql("SELECT CAST(1 AS DECIMAL(3,0)) AS whole, CAST(1 AS DECIMAL(3,1)) AS tenths")
+    assert [r.boolean_words for r in describe_table(decimals).orderBy("position").collect()] == [True, False]
