@@ -97,3 +97,37 @@ def test_only_files_with_line_breaks_in_values_are_read_whole(spark, tmp_path):
         assert rows(df.filter("n = 7"), "t") == [('plain "7"',)]
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_one_file_with_line_breaks_is_read_by_many_tasks(spark, tmp_path):
+    """Blocks begin within values, some values span several, and odd quotes read as Spark reads them."""
+    long = "\n".join(f'said ""{i}"", then' for i in range(2000))
+    records = [f'{i},"two, ""{i}""\n\nlines {i}",x"y' for i in range(4000)] + [f'-1,"{long}"', '-2,"a"b,"', ',""']
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20k")
+    try:
+        for name, end in (("unix", "\n"), ("windows", "\r\n")):
+            file = tmp_path / f"{name}.csv"
+            file.write_bytes(("n,t,u" + end + end.join(records) + end + '"",z\n').encode())
+            if name == "unix":  # no value is open at the end
+                file.write_bytes(file.read_bytes().replace(b'-2,"a"b,"', b'-2,"a"b, "'))
+            text = read_csv_text(spark, str(file))
+            whole = spark.read.options(header=True, quote='"', escape='"', multiLine=True).csv(str(file))
+            assert rows(text) == rows(whole)
+            if name == "unix":
+                sizes = text.rdd.mapPartitions(lambda part: [sum(1 for _ in part)]).collect()
+                assert (len(sizes) > 8, sum(sizes)) == (True, 4004) and max(sizes) < 1000
+            given = read_csv(spark, str(file), multi_line=True)
+            assert given.filter("n >= 0").count() == 4000
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_files_that_can_not_be_cut_are_read_whole(spark, tmp_path):
+    folder = tmp_path / "odd"
+    folder.mkdir()
+    (folder / "cut.csv").write_text('a,b\n1,"x\ny"\n')
+    (folder / "returns.csv").write_bytes(b'a,b\r2,"x\ny"\r3,z')
+    (folder / "open.csv").write_text('a,b\n4,"x\ny\n')
+    (folder / "case.csv").write_text('A,"b"\n5,"x\ny"\n')
+    whole = spark.read.options(header=True, quote='"', escape='"', multiLine=True).csv(str(folder))
+    assert rows(read_csv_text(spark, str(folder))) == rows(whole)
